@@ -198,7 +198,9 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 80, k: int = K) -> DataFr
             centre = weight.groupBy("token", "band").agg(F.max_by(F.struct(F.col("centre"), F.col("comp").alias("ccomp"), F.col("c")), F.struct("c", F.negative("comp"))).alias("m"))
             centre = centre.select("token", "band", "m.centre", "m.ccomp")
             seen = at.join(centre, ["token", "band"]).where("comp <> ccomp and id <> centre")
-            pairs = seen.groupBy("id", "centre").agg(F.count("*").alias("c")).groupBy("id").agg(F.max_by("centre", F.struct("c", F.negative("centre"))).alias("centre"))
+            # A star only saves pairs later, so it takes the likely links: half of the overlap that both prefixes must show.
+            likely = seen.groupBy("id", "n", "centre").agg(F.count("*").alias("c")).where(f"2 * c >= ceil({2 * percent} * n / {100 + percent}) - floor({percent} * n / 100)")
+            pairs = likely.groupBy("id").agg(F.max_by("centre", F.struct("c", F.negative("centre"))).alias("centre"))
             pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         else:
             x = at.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
