@@ -123,7 +123,7 @@ def signatures(docs: DataFrame, percent: int, k: int, bits: int, common) -> Data
                     at = np.minimum(np.searchsorted(last, key), len(last) - 1)
                     late = last[at] == key
                     s = np.r_[s[~late], s[late]]
-                head = np.sort(s[:p]).view(np.int64)
+                head = s[:p].view(np.int64)  # in the global order
                 prefix.append(head)
                 grp.append(int.from_bytes(hashlib.blake2b(head.tobytes() + len(s).to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True))
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
@@ -175,12 +175,12 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 80, k: int = K) -> DataFr
     members = written(classes.join(groups, ["grp", "n"]).select("id", "gid", "n", "members"), "members")
 
     # Postings of one member of each group, of the tokens that two groups share.
-    heads = signed.join(groups.select(F.col("gid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), F.explode("prefix").alias("token"))
+    heads = signed.join(groups.select(F.col("gid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), F.posexplode("prefix").alias("pos", "token"))
     shared = heads.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     postings = heads.join(shared, "token", "left_semi")
-    expanded = postings.join(members, "gid").select("token", "id", "n")
+    expanded = postings.join(members, "gid").select("token", "id", "n", "pos")
     # Members of a group share all of its prefix: the group stands for one more token.
-    inside = members.where("members > 1").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "id", "n")
+    inside = members.where("members > 1").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "id", "n", F.lit(0).alias("pos"))
     lists = written(expanded.unionByName(inside), "postings")
 
     links = None
@@ -203,13 +203,16 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 80, k: int = K) -> DataFr
             pairs = likely.groupBy("id").agg(F.max_by("centre", F.struct("c", F.negative("centre"))).alias("centre"))
             pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         else:
-            x = at.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+            # Of two sets the smaller one (a) needs only the prefix for partners of its size or more.
+            x = at.where(f"pos <= n - ceil({2 * percent} * n / {100 + percent})").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
             y = at.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            close = f"a < b and ca <> cb and 100 * na >= {percent} * nb and 100 * nb >= {percent} * na"
-            pairs = x.join(y, "token").where(close).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("o"))
+            close = f"(na < nb or na = nb and a < b) and ca <> cb and 100 * na >= {percent} * nb"
+            pairs = written(x.join(y, "token").where(close).select("a", "b").distinct(), "near")
             # Past the prefix that ends first, at most its set's rest can still be shared.
+            part = signed.select("doc_id", "n", "prefix")
+            both = pairs.join(part.toDF("a", "na", "pa"), "a").join(part.toDF("b", "nb", "pb"), "b")
             rest = f"floor({percent} * greatest(na, nb) / 100)"
-            pairs = pairs.where(f"{100 + percent} * (o + {rest}) >= {percent} * (na + nb)").select("a", "b")
+            pairs = both.where(f"{100 + percent} * (size(array_intersect(pa, pb)) + {rest}) >= {percent} * (na + nb)").select("a", "b")
         pairs = written(pairs, "pairs")
         new = verified(docs, pairs, percent, k)
         links = written(new if links is None else links.unionByName(new).distinct(), "links")

@@ -40,6 +40,10 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LETTER_HASH = _BYTE[_LOWER]
+#: For words without punctuation: every ASCII character but letters and digits separates.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[128:] = False
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -85,10 +89,10 @@ class Words:
     """Words of consecutive texts: ``start``/``end`` byte offsets, ``hash`` and
     ``first`` (index of each text's first word; len(texts) + 1 entries)."""
 
-    def __init__(self, off: np.ndarray, raw: np.ndarray):
+    def __init__(self, off: np.ndarray, raw: np.ndarray, space: np.ndarray = _SPACE):
         off = off - off[0]
         n = len(raw)
-        solid = ~_SPACE[raw]
+        solid = ~space[raw]
         inner = off[1:-1]
         before = np.empty(n, bool)
         if n:
