@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .store import written
 from .words import chunks, text_buffers
@@ -153,7 +154,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             cols = [*batch.columns, pa.array(names, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(cols, names=[*kept, *(n for n, _ in added)])
 
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    schema = StructType([*docs.select(*kept).schema.fields, *StructType.fromDDL("lang_pred string, score double, rejected boolean").fields])
     return docs.select(*kept).mapInArrow(label, schema)
 
 

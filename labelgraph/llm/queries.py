@@ -6,15 +6,41 @@ Each runs its operator with production parameters over its whole table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contamination
+from .language_id import held_out, identify_language
 from .ngram_jaccard import ngram_jaccard_join
+from .packing import pack
+from .secrets import find_secrets
 from .store import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = "transform({}, s -> concat(s.kind, ':', s.start, ':', s.end))"
+    base = F.expr("array_join(" + text.format("filter(secrets, s -> s.kind <> 'format')") + ", ',')")
+    count = lambda k: F.expr(f"cast(size(filter(secrets, s -> s.kind = '{k}')) as long)").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, ("assign", "access", "hex", "format")), F.sha2(base, 256).alias("base_sha256"), F.expr("array_join(" + text.format("secrets") + ", ',')").alias("spans"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify_language(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op4_language_id, op7_best_fit_packing, op8_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -15,7 +15,6 @@ automata and only base spans; repeated rows get the same spans each.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import defaultdict
@@ -25,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .words import chunks, text_buffers
 
@@ -251,7 +251,8 @@ def find_secrets(docs: DataFrame, automata: dict[str, tuple[Automaton, float]] |
                         out[lo + d] = [{"kind": KINDS[k], "start": int(points[s]), "end": int(points[e]), "likest": m, "score": x} for s, k, e, m, x in sorted(rows, key=lambda r: r[:3])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(item))], names=[*kept, "secrets"])
 
-    schema = docs.select(*kept).schema.add("secrets", "array<struct<kind:string,start:bigint,end:bigint,likest:string,score:double>>")
+    added = StructType.fromDDL("secrets array<struct<kind:string,start:bigint,end:bigint,likest:string,score:double>>")
+    schema = StructType([*docs.select(*kept).schema.fields, *added.fields])
     return docs.select(*kept).mapInArrow(mark, schema)
 
 
@@ -272,7 +273,3 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
     return docs.mapInArrow(cut, docs.schema)
-
-
-def digest(spans: list) -> str:
-    return hashlib.sha256(",".join(spans).encode()).hexdigest()
