@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .language_id import held_out, identify_language
+from .license_scan import license_scan
+from .license_scan import oracle_sql as license_sql
+from .line_quality import ORACLE as LINE_SQL
+from .line_quality import line_quality
 from .ngram_jaccard import ngram_jaccard_join
 from .packing import pack
 from .secrets import find_secrets
 from .store import table
+from .token_files import token_files
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +33,19 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify_language(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -41,6 +54,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op4_language_id, op7_best_fit_packing, op8_decontamination)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_line_frequency, op4_language_id, op6_token_files, op7_best_fit_packing, op8_decontamination, op10_license_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_frequency": LINE_SQL, "op10_license_scan": license_sql()}
