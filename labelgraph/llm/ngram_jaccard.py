@@ -204,9 +204,10 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 80, k: int = K) -> DataFr
             pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         else:
             # Of two sets the smaller one (a) needs only the prefix for partners of its size or more.
-            x = at.where(f"pos <= n - ceil({2 * percent} * n / {100 + percent})").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            y = at.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            close = f"(na < nb or na = nb and a < b) and ca <> cb and 100 * na >= {percent} * nb"
+            x = at.where(f"pos <= n - ceil({2 * percent} * n / {100 + percent})").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), (F.col("n") - F.col("pos")).alias("ra"))
+            y = at.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), (F.col("n") - F.col("pos")).alias("rb"))
+            # The first token that a pair shares leaves it enough others on both sides.
+            close = f"(na < nb or na = nb and a < b) and ca <> cb and 100 * na >= {percent} * nb and {100 + percent} * least(ra, rb) >= {percent} * (na + nb)"
             pairs = written(x.join(y, "token").where(close).select("a", "b").distinct(), "near")
             # Past the prefix that ends first, at most its set's rest can still be shared.
             part = signed.select("doc_id", "n", "prefix")
