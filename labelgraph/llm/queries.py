@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .html_text import html_text
 from .language_id import held_out, identify_language
 from .license_scan import license_scan
 from .license_scan import oracle_sql as license_sql
@@ -42,6 +43,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -58,6 +63,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_line_frequency, op4_language_id, op6_token_files, op7_best_fit_packing, op8_decontamination, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_line_frequency, op4_language_id, op5_html_text, op6_token_files, op7_best_fit_packing, op8_decontamination, op10_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {"op3_line_frequency": LINE_SQL, "op10_license_scan": license_sql()}
