@@ -17,6 +17,7 @@ from .line_quality import ORACLE as LINE_SQL
 from .line_quality import line_quality
 from .ngram_jaccard import ngram_jaccard_join
 from .packing import pack
+from .repeats import remove_repeats
 from .secrets import find_secrets
 from .store import table
 from .token_files import token_files
@@ -59,10 +60,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_line_frequency, op4_language_id, op5_html_text, op6_token_files, op7_best_fit_packing, op8_decontamination, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_line_frequency, op4_language_id, op5_html_text, op6_token_files, op7_best_fit_packing, op8_decontamination, op9_repeated_strings, op10_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {"op3_line_frequency": LINE_SQL, "op10_license_scan": license_sql()}

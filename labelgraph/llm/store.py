@@ -6,6 +6,7 @@ everything an operator writes between its steps goes below it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,3 +43,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def released(table: DataFrame) -> None:
+    """Delete a table that ``written`` made and let Spark drop shuffle files that nothing refers to any more."""
+    jvm = table.sparkSession.sparkContext._jvm
+    for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
