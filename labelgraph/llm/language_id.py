@@ -33,6 +33,8 @@ from .words import chunks, text_buffers
 PER_LANGUAGE = 600
 CLUSTERS = 3
 DIMS = 8192
+#: Up to so many languages their sampling rates go to the scan instead of being joined.
+LANGUAGES_SENT = 10_000
 #: Share of the 0.1 % quantile of training cosines below which a text is rejected.
 FLOOR = 0.5
 _LETTER = re.compile(r"[^\W\d_]")
@@ -88,7 +90,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = C
     """The model of ``labelled`` (doc_id, text, lang): idf, centroids, their languages, floors."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rate = rows.groupBy("lang").agg((F.lit(float(per_language << 20)) / F.count("*")).alias("rate"))
-    picked = rows.join(rate, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("rate"))
+    few = rate.limit(LANGUAGES_SENT + 1).count() <= LANGUAGES_SENT
+    picked = rows.join(F.broadcast(rate) if few else rate, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("rate"))
     sample = written(picked.select("lang", "text"), "langs")
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

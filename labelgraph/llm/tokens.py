@@ -11,10 +11,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
-
-#: Words kept by each worker; the cache starts anew beyond that.
+#: Words in each of a worker's two caches; beyond that the newer becomes the older one.
 CACHE = 300_000
 
 # The letters and numbers (Unicode L and N) below U+0250, and the two pre-token patterns.
@@ -41,28 +40,35 @@ class Encoder:
         self.pattern = _PATTERNS.get(name)
         self.lower = name.startswith("word")
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the cache before this one
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
-        out: list[bytes] = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif self.pattern is None or _OTHER.search(text):
-                out += self.whole([text])
-            else:
-                words = self.pattern.findall(text.lower() if self.lower else text)
-                try:
-                    out.append(b"".join(map(self.cache.__getitem__, words)))
-                except KeyError:
-                    if len(self.cache) > CACHE:
-                        self.cache.clear()
-                    new = [w for w in set(words) if w not in self.cache]
-                    self.cache.update(zip(new, self.whole(new), strict=True))
-                    out.append(b"".join(map(self.cache.__getitem__, words)))
+        out: list[bytes | None] = [b""] * len(texts)
+        split: list[tuple[int, list[str]]] = []
+        for i, text in enumerate(texts):
+            if text and (self.pattern is None or _OTHER.search(text)):
+                out[i] = self.whole([text])[0]
+            elif text:
+                split.append((i, self.pattern.findall(text.lower() if self.lower else text)))
+        if len(self.cache) > CACHE:
+            self.old, self.cache = self.cache, {}
+        get = self.cache.__getitem__
+        late = []
+        for i, words in split:
+            try:
+                out[i] = b"".join(map(get, words))
+            except KeyError:
+                late.append((i, words))
+        new = {w for _, words in late for w in words if w not in self.cache}
+        self.cache.update((w, self.old[w]) for w in new if w in self.old)
+        new = [w for w in new if w not in self.cache]
+        self.cache.update(zip(new, self.whole(new), strict=True))
+        for i, words in late:
+            out[i] = b"".join(map(get, words))
         return out
 
 
