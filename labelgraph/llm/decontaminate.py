@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import K, PUNCTUATION, Words, chunks, mix, text_buffers
+from .words import K, PUNCTUATION, Words, chunks, mix, parts, text_buffers
 
 RADIUS = 11
 STEP, SHIFT = 4, 4
@@ -189,7 +189,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
         index = spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), radius, k))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts(batches):
                 found = []
                 for lo, w in normal_words(batch.column(1)):
                     found += [(lo + d, *index.value.items[i][:2], a, x) for d, i, a, x in _match(w, index.value, radius, k, similarity)]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import partitions, written
-from .words import K, Words, chunks, shingle_sets, text_buffers
+from .words import K, Words, chunks, parts, shingle_sets, text_buffers
 
 #: A shingle in at least so many texts is ordered last; at most so many are listed.
 COMMON, MOST_COMMON = 32, 1 << 20
@@ -39,7 +39,7 @@ COMMON, MOST_COMMON = 32, 1 << 20
 ROUNDS = 3
 #: Ids up to this count (16 MB) are sent to the scan instead of being joined.
 IDS_SENT = 1_000_000
-_FLUSH = 1 << 21
+_FLUSH = 1 << 20
 _BUCKET_VALUES = 1 << 20
 
 
@@ -71,7 +71,7 @@ def common_shingles(docs: DataFrame, k: int = K, least: int = COMMON, most: int
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["bucket", "once", "more", "times"])
 
-        for batch in batches:
+        for batch in parts(batches):
             for _, s in shingle_sets(batch.column(0), k):
                 held.append(s)
                 room += len(s)
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, percent: int, k: int, bits: int, common) -> Data
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = common.value
-        for batch in batches:
+        for batch in parts(batches):
             n, fp, grp, prefix = [], [], [], []
             for _, s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
@@ -139,7 +139,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     asked = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             got = [s.view(np.int64) for _, s in shingle_sets(batch.column(1), k)]
             at = np.cumsum([0, *map(len, got)], dtype=np.int32)
             flat = np.concatenate(got) if got else np.zeros(0, np.int64)

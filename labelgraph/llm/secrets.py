@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .words import chunks, text_buffers
+from .words import chunks, parts, text_buffers
 
 KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = re.compile(rb"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -195,7 +195,7 @@ def labelled_values(docs: DataFrame) -> DataFrame:
     """(kind, value) of every base match in ``docs``."""
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             off, raw = text_buffers(batch.column(0))
             for lo, hi in chunks(off):
                 got = {v for _, _, vs in scan(off[lo : hi + 1] - off[lo], raw[off[lo] : off[hi]]).values() for v in vs}
@@ -231,7 +231,7 @@ def find_secrets(docs: DataFrame, automata: dict[str, tuple[Automaton, float]] |
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             off, raw = text_buffers(batch.column(at))
             out: list[list[dict]] = [[] for _ in range(len(batch))]
             for lo, hi in chunks(off):
@@ -260,7 +260,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every secret span of text replaced by ``mark``; needs find_secrets' ``secrets``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column("text").to_pylist()
             for i, spans in enumerate(batch.column("secrets").to_pylist()):
                 if spans:

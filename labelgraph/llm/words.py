@@ -75,12 +75,19 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], raw[off[0] : off[-1]]
 
 
-def chunks(off: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of whole texts of at most ``size`` bytes, or one longer text."""
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so that less is held at once."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.slice(lo, rows)
+
+
+def chunks(off: np.ndarray, size: int = CHUNK, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` whole texts of at most ``size`` bytes, or one longer text."""
     lo, n = 0, len(off) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + rows)
         yield lo, hi
         lo = hi
 
