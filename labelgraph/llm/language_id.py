@@ -103,9 +103,9 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = C
                 n += hi - lo
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([df.tobytes()], pa.binary())], names=["n", "df"])
 
-    parts = sample.select("text").coalesce(4).mapInArrow(frequency, "n long, df binary").collect()
-    total = sum(p["n"] for p in parts)
-    df = sum((np.frombuffer(p["df"], np.int64) for p in parts), np.zeros(DIMS, np.int64))
+    counted = sample.select("text").coalesce(4).mapInArrow(frequency, "n long, df binary").collect()
+    total = sum(p["n"] for p in counted)
+    df = sum((np.frombuffer(p["df"], np.int64) for p in counted), np.zeros(DIMS, np.int64))
     idf = np.where(df > 0, np.log((total + 1) / (df + 0.5)), 0).astype(np.float32)
 
     def train(key: tuple, rows: pa.Table) -> pa.Table:

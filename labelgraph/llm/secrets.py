@@ -264,12 +264,12 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             texts = batch.column("text").to_pylist()
             for i, spans in enumerate(batch.column("secrets").to_pylist()):
                 if spans:
-                    parts, at = [], 0
+                    kept, at = [], 0
                     for s in spans:
                         if s["end"] > at:
-                            parts += [texts[i][at : max(at, s["start"])], mark if s["start"] >= at else ""]
+                            kept += [texts[i][at : max(at, s["start"])], mark if s["start"] >= at else ""]
                             at = s["end"]
-                    texts[i] = "".join(parts) + texts[i][at:]
+                    texts[i] = "".join(kept) + texts[i][at:]
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
     return docs.mapInArrow(cut, docs.schema)
