@@ -1 +1 @@
-
+"""Relational operators over token, graph, tuple and score tables."""

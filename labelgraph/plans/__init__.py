@@ -1 +1 @@
-
+"""Compositions of operators and the stage registry."""

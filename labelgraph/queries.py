@@ -1,14 +1,627 @@
-"""Registered queries of the reference's operators and their DuckDB SQL."""
+"""Registered queries of the operators and their DuckDB SQL, over the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracle as O
+from .functions import rules as R
+from .operators import associate as A
+from .operators import classify as C
+from .operators import correct as K
+from .operators import enrich as E
+from .operators import evaluate as V
+from .operators import extract as X
+from .operators import graph as G
+from .operators import match as M
+from .operators import model_text as T
+from .operators import profile as P
+from .plans import pipeline
+from .sources import files
+from .sources.adapters import tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _lab(spark: SparkSession, d: str) -> DataFrame:
+    return C.classify(tokens(spark, d))
+
+
+def _grouped(spark: SparkSession, d: str) -> DataFrame:
+    return E.headers(E.induce(_lab(spark, d).where("label <> 'NOISE'")))
+
+
+def _graph(spark: SparkSession, d: str, version: int = 2) -> tuple[DataFrame, DataFrame]:
+    n = G.nodes(E.enrich(_lab(spark, d)), version).cache()
+    return n, G.edges(n, version).cache()
+
+
+def _rules(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Tuples of every image, counted by document."""
+    t = pipeline.tuples(tokens(spark, d))
+    return t.groupBy(F.expr("image_id div 100000").alias("doc_id")).agg(F.count("*").alias("n_tuples"), F.count("quantity").alias("n_quantities"), F.count("unit").alias("n_units"), F.count("context").alias("n_contexts"))
+
+
+# Correction
+
+
+@query(O.rewrite("SELECT image_id, tok_idx, original, token, array_to_string(fired, '+') fired FROM rw"))
+def correct_rewrite(spark, d):
+    return K.rewrite(tokens(spark, d)).select("image_id", "tok_idx", "original", "token", F.array_join("rules_fired", "+").alias("fired"))
+
+
+@query(O.rewrite("SELECT rule, count(*) n FROM (SELECT unnest(fired) rule FROM rw) GROUP BY rule"))
+def correct_report(spark, d):
+    return K.report(K.rewrite(tokens(spark, d)))
+
+
+@query(O.split())
+def correct_split(spark, d):
+    return K.split(tokens(spark, d)).select("image_id", "tok_idx", "part", "token", "rule", "x1", "x2", F.round("cx", 4).alias("cx"))
+
+
+@query(O.split_in_two())
+def correct_split_in_two(spark, d):
+    return K.split_in_two(tokens(spark, d)).select("image_id", "tok_idx", "half", "token", "x1", "x2")
+
+
+@query(O.merge_micro())
+def correct_merge_micro(spark, d):
+    t = tokens(spark, d).withColumn("token", F.expr("CASE WHEN wn = 2 AND ln % 2 = 0 THEN 'µ' WHEN wn = 3 AND ln % 4 = 0 THEN 'g' ELSE token END")).withColumn("x1", F.expr("x1 - 40 * wn")).withColumn("x2", F.expr("x2 - 40 * wn"))
+    return K.merge_micro(t).select("image_id", "tok_idx", "token", "x1", "x2", "merged")
+
+
+@query()
+def correct_snap(spark, d):
+    return K.snap(tokens(spark, d), _rules(spark, [(n,) for n in R.NUTRIENTS], "term string")).where("snap_score is not null").select("image_id", "tok_idx", "token", "snapped", F.round("snap_score", 6).alias("snap_score"))
+
+
+@query(O.edit_snap())
+def correct_edit_snap(spark, d):
+    return K.edit_snap(tokens(spark, d), _rules(spark, [(n,) for n in R.NUTRIENTS], "term string"))
+
+
+@query()
+def correct_merge_compounds(spark, d):
+    return K.merge_compounds(tokens(spark, d), prefixes=("vitamin c", "calcium", "zink"), gap=120)
+
+
+@query(O.across_lines())
+def correct_merge_across_lines(spark, d):
+    return K.merge_across_lines(tokens(spark, d), heads=("energie", "fett", "zucker"))
+
+
+@query(O.header_units())
+def correct_split_header_units(spark, d):
+    t = tokens(spark, d).withColumn("token", F.expr("CASE WHEN wn = 0 AND ln % 2 = 0 THEN concat(token, ' (g)') ELSE token END"))
+    return K.split_header_units(t).select("image_id", "tok_idx", "piece", "token")
+
+
+@query(O.canonical("SELECT image_id, tok_idx, norm_name, canonical FROM cn"))
+def correct_canonical_names(spark, d):
+    return K.canonical_names(tokens(spark, d), _rules(spark, R.CANONICAL, "name string, canonical string")).select("image_id", "tok_idx", "norm_name", "canonical")
+
+
+@query(O.canonical("SELECT norm_name, count(*) n FROM cn WHERE canonical IS NULL GROUP BY norm_name"))
+def correct_unmapped_names(spark, d):
+    return K.unmapped(K.canonical_names(tokens(spark, d), _rules(spark, R.CANONICAL, "name string, canonical string")))
+
+
+@query(O.flags())
+def correct_flags(spark, d):
+    return K.flags(tokens(spark, d))
+
+
+# Classification
+
+
+@query(O.lab("SELECT image_id, tok_idx, norm, label FROM lab"))
+def classify_tokens(spark, d):
+    return _lab(spark, d).select("image_id", "tok_idx", "norm", "label")
+
+
+@query(O.lab("SELECT label, count(*) n, round(count(*) / sum(count(*)) OVER (), 6) share FROM lab GROUP BY label"))
+def classify_summary(spark, d):
+    return C.label_summary(_lab(spark, d))
+
+
+def _prototypes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = _table(spark, d, "embeddings")
+    firsts = e.groupBy("label").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, 3).alias("ids")).select(F.explode("ids").alias("vec_id"))
+    protos = e.join(firsts, "vec_id", "left_semi").select(F.concat(F.lit("c"), "label").alias("category"), F.col("embedding").alias("vec"))
+    return e.join(firsts, "vec_id", "left_anti"), protos
+
+
+@query(O.prototypes("SELECT vec_id, category, round(score, 5) + 0.0 score FROM sc"))
+def classify_prototype_scores(spark, d):
+    v, p = _prototypes(spark, d)
+    return C.category_scores(v, p).withColumn("score", F.round("score", 5) + 0.0)
+
+
+@query(O.prototypes("SELECT vec_id, round(own, 5) score, round(other, 5) other, (own >= 0.2 AND own - other >= 0.04) hit FROM (SELECT vec_id, max(score) FILTER (category = 'c1') own, max(score) FILTER (category <> 'c1') other FROM sc GROUP BY vec_id)"))
+def classify_prototype_decision(spark, d):
+    v, p = _prototypes(spark, d)
+    return C.decide(C.category_scores(v, p), "c1", 0.2).select("vec_id", F.round("score", 5).alias("score"), F.round("other", 5).alias("other"), "hit")
+
+
+@query()
+def classify_row_contexts(spark, d):
+    return C.row_contexts(tokens(spark, d))
+
+
+@query(O.tok("SELECT image_id, tok_idx, array_to_string(list(token) OVER (PARTITION BY image_id, ln ORDER BY tok_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), ' ') context FROM tok"))
+def classify_context_strings(spark, d):
+    return C.context_strings(tokens(spark, d))
+
+
+@query(O.tok(f"SELECT DISTINCT token, {R.duck_fold_letters('token')} folded FROM tok"))
+def classify_fold_letters(spark, d):
+    return tokens(spark, d).select("token", R.fold_letters(F.col("token")).alias("folded")).distinct()
+
+
+@query(O.spans())
+def classify_assign_spans(spark, d):
+    s = E.serialize(tokens(spark, d))
+    spans = s.select("image_id", F.col("tok_idx").alias("span_idx"), "start", (F.col("end") + F.col("tok_idx") % 3 * 8).alias("end"), F.concat(F.lit("e"), (F.col("tok_idx") % 4).cast("string")).alias("entity"), ((F.col("tok_idx") * 7) % 10 / F.lit(10.0)).alias("score"))
+    return C.assign_spans(s, spans)
+
+
+@query(O.entities())
+def classify_parse_entities(spark, d):
+    r = _table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit('[{"text":"'), F.regexp_extract("text", "^([A-Za-z]*)", 1), F.lit('","label":"'), F.when(F.col("turn") % 3 == 0, "nutrient").when(F.col("turn") % 3 == 1, "UNIT").otherwise("other"), F.lit('"}]')).alias("reply"))
+    return C.parse_entities(r)
+
+
+@query()
+def classify_find_entities(spark, d):
+    t = tokens(spark, d).select("image_id", "tok_idx", "token")
+    ents = t.where("token rlike '^[A-Z][a-zé]+$'").select("image_id", F.col("tok_idx").alias("entity_idx"), F.concat(F.lower("token"), F.lit("s")).alias("text"), F.lit("NUTRIENT").alias("kind"))
+    return C.find_entities(t, ents).withColumn("score", F.round("score", 6))
+
+
+# Enrichment and serialization
+
+
+@query(O.tok("SELECT image_id, tok_idx, x2 - x1 width, y2 - y1 height, 0.0::DOUBLE angle_deg FROM tok"))
+def enrich_geometry(spark, d):
+    return E.geometry(tokens(spark, d)).select("image_id", "tok_idx", "width", "height", "angle_deg")
+
+
+@query(O.compatible())
+def enrich_compatible(spark, d):
+    c = E.compatible(tokens(spark, d))
+    return c.groupBy("image_id").agg(F.count_if("row_ok").alias("rows_ok"), F.count_if("col_ok").alias("cols_ok"), *(F.sum(F.round(F.col(c) * 10000).cast("long")).alias(c) for c in ("row_conf", "col_conf")))
+
+
+@query(O.grouped("SELECT image_id, tok_idx, round(scale, 6) AS scale, row_id, column_id FROM grp"))
+def enrich_rows_and_columns(spark, d):
+    return _grouped(spark, d).select("image_id", "tok_idx", F.round("scale", 6).alias("scale"), "row_id", "column_id")
+
+
+@query(O.deskew())
+def enrich_deskew(spark, d):
+    return E.deskew(tokens(spark, d)).withColumn("slope", F.round("slope", 6))
+
+
+@query(O.grouped("SELECT image_id, column_id, role, n, stream AS dosage_stream_id FROM rol"))
+def enrich_column_roles(spark, d):
+    return E.streams(E.column_roles(_grouped(spark, d))).select("image_id", "column_id", "role", F.col("n").cast("long").alias("n"), "dosage_stream_id")
+
+
+@query(O.grouped("SELECT image_id, tok_idx, is_header, column_context_id FROM hdr"))
+def enrich_headers(spark, d):
+    return _grouped(spark, d).select("image_id", "tok_idx", "is_header", "column_context_id")
+
+
+@query(O.grouped("SELECT image_id, tok_idx, rank_in_row, data_rank_in_column, qty_rank_in_column, nutrient_rank_in_column FROM rnk"))
+def enrich_ranks(spark, d):
+    return E.ranks(_grouped(spark, d)).select("image_id", "tok_idx", "rank_in_row", "data_rank_in_column", "qty_rank_in_column", "nutrient_rank_in_column")
+
+
+@query(O.confidence("row_id", "cy", 25.0))
+def enrich_row_confidence(spark, d):
+    return E.confidence(_grouped(spark, d), "row_id", "cy", 25.0).withColumn("conf", F.round("conf", 3))
+
+
+@query(O.confidence("column_id", "cx", 60.0))
+def enrich_column_confidence(spark, d):
+    return E.confidence(_grouped(spark, d), "column_id", "cx", 60.0).withColumn("conf", F.round("conf", 3))
+
+
+@query(O.diagnostics())
+def enrich_diagnostics(spark, d):
+    return E.diagnostics(E.enrich(_lab(spark, d)))
+
+
+@query(O.tok("SELECT image_id, tok_idx, greatest(8.0, 0.5 * quantile_cont((y2 - y1)::DOUBLE, 0.5) OVER (PARTITION BY image_id ORDER BY cy, tok_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))::DOUBLE threshold FROM tok"))
+def enrich_local_thresholds(spark, d):
+    return E.local_thresholds(tokens(spark, d))
+
+
+@query()
+def enrich_lines(spark, d):
+    return E.lines(tokens(spark, d))
+
+
+@query(O.serialized("SELECT image_id, tok_idx, token, s AS start, s + length(token) AS \"end\" FROM ser"))
+def enrich_serialize(spark, d):
+    return E.serialize(tokens(spark, d))
+
+
+@query(O.tok("SELECT image_id, string_agg(l, chr(10) ORDER BY ln) AS text, count(*) n_lines FROM (SELECT image_id, ln, string_agg(token, ' ' ORDER BY x1, tok_idx) l FROM tok GROUP BY image_id, ln) GROUP BY image_id"))
+def enrich_texts(spark, d):
+    return E.texts(tokens(spark, d))
+
+
+@query(O.tok("SELECT image_id, string_agg(tok_idx::VARCHAR || ' | ' || token || ' | ' || x1 || ',' || y1 || ',' || x2 || ',' || y2, chr(10) ORDER BY tok_idx) AS \"table\" FROM tok GROUP BY image_id"))
+def enrich_prompt_table(spark, d):
+    return E.prompt_table(tokens(spark, d))
+
+
+# Graph
+
+
+@query(O.edges(1, "SELECT image_id, type, count(*) n, sum(round(weight * 10000)::BIGINT)::BIGINT weight, sum(src * 100 + dst)::BIGINT ends FROM edg GROUP BY image_id, type"))
+def graph_edges_v1(spark, d):
+    return _edge_sums(_graph(spark, d, 1)[1])
+
+
+@query(O.edges(2, "SELECT image_id, type, count(*) n, sum(round(weight * 10000)::BIGINT)::BIGINT weight, sum(src * 100 + dst)::BIGINT ends FROM edg GROUP BY image_id, type"))
+def graph_edges_v2(spark, d):
+    return _edge_sums(_graph(spark, d)[1])
+
+
+def _edge_sums(e: DataFrame) -> DataFrame:
+    return e.groupBy("image_id", "type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("weight") * 10000).cast("long")).alias("weight"), F.sum(F.col("src") * 100 + F.col("dst")).alias("ends"))
+
+
+@query(O.edges(2, "SELECT type, count(*) n_edges, count(DISTINCT image_id) n_images, sum(round(weight * 10000)::BIGINT)::BIGINT weight FROM edg GROUP BY type"))
+def graph_summary(spark, d):
+    return G.summary(_graph(spark, d)[1])
+
+
+@query(O.edges(2, "SELECT e.image_id, e.src id, count(*) n, min(o.tok_idx) first_id, round(max(e.weight), 4) weight FROM edg e JOIN nod o ON o.image_id = e.image_id AND o.tok_idx = e.dst AND o.label = 'UNIT' WHERE e.type = 'ROW_COMPAT' GROUP BY e.image_id, e.src"))
+def graph_neighbours(spark, d):
+    n, e = _graph(spark, d)
+    return G.neighbours(n, e, "ROW_COMPAT", "UNIT").groupBy("image_id", "id").agg(F.count("*").alias("n"), F.min("o_id").alias("first_id"), F.round(F.max("weight"), 4).alias("weight"))
+
+
+@query(O.edges(2, "SELECT image_id, dst id, count(*) n FROM edg WHERE type = 'CONTEXT_SCOPE' GROUP BY image_id, dst"))
+def graph_context_ancestors(spark, d):
+    n, e = _graph(spark, d)
+    return G.neighbours(n, e, "CONTEXT_SCOPE", "CONTEXT", incoming=True).groupBy("image_id", "id").agg(F.count("*").alias("n"))
+
+
+# Association
+
+
+@query(O.parse_quantity())
+def associate_parse_quantity(spark, d):
+    v, u = A.parse_quantity(F.col("token"))
+    return tokens(spark, d).select("image_id", "tok_idx", v.alias("value"), u.alias("unit"), A.parse_nrv(F.col("token")).alias("nrv"), A.nutrient_text(F.col("token")).alias("name"))
+
+
+@query(O.quantities("abs(q.cy - n.cy)"))
+def associate_top_quantities(spark, d):
+    return A.quantities(*_graph(spark, d)).select("image_id", "nutrient", "q", "rank")
+
+
+@query(O.quantities("-q.conf"))
+def associate_surest_quantities(spark, d):
+    return A.quantities(*_graph(spark, d), order="conf").select("image_id", "nutrient", "q", "rank")
+
+
+@query(O.quantities("q.cx"))
+def associate_leftmost_quantities(spark, d):
+    return A.quantities(*_graph(spark, d), order="cx").select("image_id", "nutrient", "q", "rank")
+
+
+@query(O.column_fallback())
+def associate_column_fallback(spark, d):
+    n, e = _graph(spark, d)
+    return A.column_fallback(n, A.quantities(n, e))
+
+
+@query(O.rank_fallback())
+def associate_rank_fallback(spark, d):
+    n, e = _graph(spark, d)
+    return A.rank_fallback(n, A.quantities(n, e))
+
+
+@query(O.units())
+def associate_units(spark, d):
+    return A.units(*_graph(spark, d))
+
+
+@query(O.contexts())
+def associate_contexts(spark, d):
+    return A.contexts(*_graph(spark, d))
+
+
+@query(O.smallest_context())
+def associate_smallest_context(spark, d):
+    return A.smallest_context(*_graph(spark, d))
+
+
+@query(O.tuples())
+def associate_tuples(spark, d):
+    return pipeline.tuples(tokens(spark, d))
+
+
+@query(O.match_scores())
+def associate_match_scores(spark, d):
+    s = A.match_scores(*_graph(spark, d))
+    return s.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.round(F.col("score") * 10000).cast("long")).alias("score"))
+
+
+# Extraction from text
+
+
+def _part_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("image_id"), F.expr("concat(p_name, ' pro 100 g contains ', cast(p_size as string), ' mg Zink und Calcium ', cast(p_size as string), ',5 mg provides 7 g Fett')").alias("text"))
+
+
+@query(O.sentences())
+def extract_sentences(spark, d):
+    return X.sentences(_part_texts(spark, d))
+
+
+@query()
+def extract_paragraphs(spark, d):
+    return X.paragraphs(_part_texts(spark, d))
+
+
+@query(O.gate())
+def extract_gate(spark, d):
+    t = _part_texts(spark, d).select("image_id", F.explode(F.array("text", F.concat("text", F.lit(" 1 g 2 g 3 mg 4 g"), "text"), "text")).alias("token"))
+    found = X.sentences(_part_texts(spark, d)).where("nutrient = 'Zink'")
+    return X.gate(t, found)
+
+
+@query(O.replace_if_more())
+def extract_replace_if_more(spark, d):
+    s = X.sentences(_part_texts(spark, d)).select("image_id", "nutrient", "quantity")
+    own = _table(spark, d, "part").select(F.col("p_partkey").alias("image_id"), F.explode(F.expr("sequence(1, cast(1 + p_size % 4 as int))")).alias("k")).select("image_id", F.lit("x").alias("nutrient"), F.col("k").cast("string").alias("quantity"))
+    return X.replace_if_more(own, s).groupBy("image_id").agg(F.count("*").alias("n"), F.max("nutrient").alias("nutrient"))
+
+
+# Model replies
+
+
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("image_id"), F.expr(O.REPLY).alias("reply"))
+
+
+@query(O.replies("SELECT image_id, mode AS parse_mode, count(*) FILTER (mode <> 'fail') AS n FROM it GROUP BY image_id, mode"))
+def model_parse_modes(spark, d):
+    return T.parse(_replies(spark, d)).groupBy("image_id", "parse_mode").agg(F.count("idx").alias("n"))
+
+
+@query(O.replies("SELECT image_id, idx, nutrient, quantity, unit, context FROM post"))
+def model_postprocess(spark, d):
+    return T.postprocess(T.parse(_replies(spark, d))).select("image_id", "idx", "nutrient", "quantity", "unit", "context")
+
+
+# Evaluation
+
+
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    _table(spark, d, "lineitem").createOrReplaceTempView("_lineitem")
+    return spark.sql(O.GOLD.format(table="_lineitem"))
+
+
+def _pred(spark: SparkSession, d: str) -> DataFrame:
+    _table(spark, d, "lineitem").createOrReplaceTempView("_lineitem")
+    return spark.sql(O.PRED.format(table="_lineitem"))
+
+
+def _matched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    g, p = _gold(spark, d), _pred(spark, d)
+    return g, p, V.match(g, p)
+
+
+@query(O.evaluation("SELECT image_id, count(*) n, count(*) FILTER (name_ok) n_name, count(*) FILTER (qty_ok) n_qty, count(*) FILTER (unit_ok) n_unit, count(*) FILTER (ctx_ok) n_ctx, sum(score)::DOUBLE score FROM cand GROUP BY image_id", False))
+def evaluate_candidates(spark, d):
+    c = V.candidates(_gold(spark, d), _pred(spark, d))
+    return c.groupBy("image_id").agg(F.count("*").alias("n"), *(F.count_if(f"{k}_ok").alias(f"n_{k}") for k in ("name", "qty", "unit", "ctx")), F.sum("score").alias("score"))
+
+
+@query(O.evaluation("SELECT image_id, g, p, qty_ok, unit_ok, ctx_ok, full_4f FROM mat"))
+def evaluate_match(spark, d):
+    return _matched(spark, d)[2].select("image_id", "g", "p", "qty_ok", "unit_ok", "ctx_ok", "full_4f")
+
+
+@query(O.first_fit())
+def evaluate_first_fit(spark, d):
+    return V.first_fit(_gold(spark, d), _pred(spark, d))
+
+
+@query(O.evaluation(O.PER_IMAGE))
+def evaluate_per_image(spark, d):
+    return V.per_image(*_matched(spark, d))
+
+
+@query(O.evaluation(O.METRICS))
+def evaluate_metrics(spark, d):
+    return V.metrics(*_matched(spark, d))
+
+
+@query(O.evaluation("SELECT gold.image_id, gold.g, CASE WHEN p IS NULL THEN 'missing' ELSE 'incorrect' END tag, concat_ws('+', CASE WHEN NOT qty_ok THEN 'qty' END, CASE WHEN NOT unit_ok THEN 'unit' END, CASE WHEN NOT ctx_ok THEN 'ctx' END) reason FROM gold LEFT JOIN mat USING (image_id, g) WHERE p IS NULL OR NOT full_4f"))
+def evaluate_analysis(spark, d):
+    return V.analysis(*_matched(spark, d))
+
+
+@query(O.suppress())
+def match_suppress(spark, d):
+    return M.suppress(_boxes(spark, d))
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").selectExpr(*O.BOXES)
+
+
+# Profiles
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = _table(spark, d, "documents"), _table(spark, d, "labels")
+    return docs.join(labels, "doc_id").selectExpr("n_chars % 101 AS score100", "(doc_id * 7) % 60 AS margin100", "quality AS gold")
+
+
+@query(O.sweep("SELECT * FROM cells"))
+def profile_sweep(spark, d):
+    return P.sweep(_scores(spark, d))
+
+
+@query(O.sweep("SELECT * FROM cells ORDER BY f1 DESC, t, m LIMIT 10"))
+def profile_best_cells(spark, d):
+    return P.best(P.sweep(_scores(spark, d)))
+
+
+@query("SELECT gold, score100 // 10 bucket, count(*) n FROM (SELECT n_chars % 101 score100, quality::BIGINT gold FROM documents JOIN labels USING (doc_id)) GROUP BY ALL")
+def profile_histogram(spark, d):
+    return P.histogram(_scores(spark, d).withColumn("gold", F.col("gold").cast("long")), "score100", "gold")
+
+
+@query("SELECT count(*) groups, sum(c)::BIGINT AS rows, round(avg(c), 6) mean, median(c)::DOUBLE median, round(stddev_samp(c), 6) std, min(c) least, max(c) most FROM (SELECT l_orderkey, count(*) c FROM lineitem GROUP BY 1)")
+def profile_counts_per_group(spark, d):
+    return P.counts_per_group(_table(spark, d, "lineitem"), "l_orderkey")
+
+
+@query("SELECT c_mktsegment AS value, count(*) n, round(count(*) / sum(count(*)) OVER (), 6) share FROM customer GROUP BY 1")
+def profile_value_counts(spark, d):
+    return P.value_counts(_table(spark, d, "customer"), "c_mktsegment")
+
+
+@query("SELECT n_distinct, count(*) groups FROM (SELECT l_suppkey, count(DISTINCT l_partkey) n_distinct FROM lineitem GROUP BY 1) GROUP BY 1")
+def profile_distinct_per_group(spark, d):
+    return P.distinct_per_group(_table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
+
+
+@query("SELECT bucket, count(*) n FROM (SELECT CASE WHEN v > 0 AND v <= 1 THEN '(0,1]' WHEN v > 1 AND v <= 10 THEN '(1,10]' WHEN v > 10 AND v <= 100 THEN '(10,100]' WHEN v > 100 AND v <= 1000 THEN '(100,1000]' END bucket FROM (SELECT l_quantity * l_tax v FROM lineitem)) GROUP BY 1")
+def profile_buckets(spark, d):
+    return _table(spark, d, "lineitem").groupBy(P.buckets(F.col("l_quantity") * F.col("l_tax"), [0, 1, 10, 100, 1000]).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(O.tok("SELECT unit, count(*) n, round(sum(v), 4) grams FROM (SELECT unit, v * CASE unit WHEN 'g' THEN 1.0 WHEN 'mg' THEN 0.001 WHEN 'µg' THEN 0.000001 WHEN 'ug' THEN 0.000001 END v FROM (SELECT l_quantity v, CASE l_linenumber % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'mg' WHEN 2 THEN 'µg' ELSE 'kJ' END unit FROM lineitem)) GROUP BY unit"))
+def profile_to_grams(spark, d):
+    t = _table(spark, d, "lineitem").selectExpr("l_quantity v", "CASE l_linenumber % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'mg' WHEN 2 THEN 'µg' ELSE 'kJ' END unit")
+    return t.groupBy("unit").agg(F.count("*").alias("n"), F.round(F.sum(P.to_grams(F.col("v"), F.col("unit"))), 4).alias("grams"))
+
+
+@query("SELECT unit, bin, count(*) n FROM (SELECT l_quantity v, CASE l_linenumber % 2 WHEN 0 THEN 'g' ELSE 'mg' END unit FROM lineitem) JOIN (VALUES ('g', 'low', 0, 10), ('g', 'high', 20, 60), ('mg', 'any', 5, 40)) b(unit, bin, lo, hi) USING (unit) WHERE v BETWEEN lo AND hi GROUP BY 1, 2")
+def profile_bins(spark, d):
+    table = _rules(spark, [("g", "low", 0, 10), ("g", "high", 20, 60), ("mg", "any", 5, 40)], "unit string, bin string, lo int, hi int")
+    return P.bins(_table(spark, d, "lineitem").selectExpr("l_quantity AS value", "CASE l_linenumber % 2 WHEN 0 THEN 'g' ELSE 'mg' END unit"), table)
+
+
+_FAMILIES = [(1, "steel", "metal"), (2, "brass", "metal"), (3, "green", "colour"), (4, "blue", "colour"), (5, "e", "other_e")]
+
+
+@query(f"SELECT coalesce(family, 'other') family, sum(n)::BIGINT n, count(*) surface_forms FROM (SELECT name, n, arg_min(family, rule) family FROM (SELECT lower(p_name) name, count(*) n FROM part GROUP BY 1) LEFT JOIN (VALUES {', '.join(map(str, _FAMILIES))}) f(rule, keyword, family) ON contains(name, keyword) GROUP BY 1, 2) GROUP BY 1")
+def profile_families(spark, d):
+    return P.families(_table(spark, d, "part"), "p_name", _rules(spark, _FAMILIES, "rule int, keyword string, family string"))
+
+
+@query("SELECT 'text' AS \"column\", count(*) FILTER (text IS NULL OR trim(text) = '') n_missing FROM documents UNION ALL SELECT 'lang', count(*) FILTER (lang IS NULL OR trim(lang) = '') FROM documents")
+def profile_missing(spark, d):
+    return P.missing(_table(spark, d, "documents"), ["text", "lang"])
+
+
+@query("SELECT len(list_filter(string_split_regex(replace(text, '&', '/'), '[/|]'), lambda s: trim(s) <> '')) n_segments, count(*) n FROM documents GROUP BY 1")
+def profile_segments(spark, d):
+    return P.segments(_table(spark, d, "documents").withColumn("text", F.replace("text", F.lit("&"), F.lit("/"))), "text")
+
+
+@query(O.tok("SELECT length(regexp_extract(token, '^[0-9]+[.,]([0-9]+)$', 1)) places, count(*) n FROM tok GROUP BY 1"))
+def profile_decimals(spark, d):
+    return P.decimals(tokens(spark, d), "token")
+
+
+@query(O.evaluation("SELECT concat_ws('+', CASE WHEN NOT qty_ok THEN 'qty' END, CASE WHEN NOT unit_ok THEN 'unit' END, CASE WHEN NOT ctx_ok THEN 'ctx' END) combination, count(*) n FROM mat WHERE NOT full_4f GROUP BY 1"))
+def profile_failures(spark, d):
+    return P.failures(_matched(spark, d)[2])
+
+
+@query(O.evaluation("SELECT CASE WHEN pred.quantity IS NULL THEN 'absent' WHEN EXISTS (SELECT 1 FROM gold x WHERE x.image_id = mat.image_id AND x.quantity = pred.quantity) THEN 'other_row' ELSE 'other_value' END category, count(*) n FROM mat JOIN pred USING (image_id, p) WHERE NOT qty_ok GROUP BY 1"))
+def profile_wrong_quantities(spark, d):
+    return P.wrong_quantities(*_matched(spark, d))
+
+
+@query(O.evaluation("SELECT gold.unit AS gold, pred.unit AS pred, count(*) n FROM mat JOIN gold USING (image_id, g) JOIN pred USING (image_id, p) WHERE gold.unit IS DISTINCT FROM pred.unit GROUP BY 1, 2 ORDER BY n DESC, 1 NULLS FIRST, 2 NULLS FIRST LIMIT 15"))
+def profile_confusions(spark, d):
+    return P.confusions(*_matched(spark, d))
+
+
+@query(O.evaluation("SELECT count(*) n_flips, count(DISTINCT image_id) n_images FROM mat WHERE full_3f AND NOT full_4f"))
+def profile_context_flips(spark, d):
+    return P.context_flips(_matched(spark, d)[2])
+
+
+@query(O.evaluation(f"SELECT CASE WHEN v >= 80 THEN 'GOOD' WHEN v >= 40 THEN 'PARTIAL' ELSE 'POOR' END verdict, count(*) n FROM (SELECT full4f_pct * match / greatest(gt, 1) v FROM ({O.PER_IMAGE})) GROUP BY 1"))
+def profile_verdicts(spark, d):
+    return P.verdicts(V.per_image(*_matched(spark, d)))
+
+
+@query(O.evaluation(f"SELECT image_id, gt - match AS gap FROM ({O.PER_IMAGE}) WHERE gt - match >= 3"))
+def profile_targets(spark, d):
+    return P.targets(V.per_image(*_matched(spark, d)))
+
+
+@query("SELECT event_type, count(*) n, round(sum(value), 3) total, round(avg(value), 6) mean, round(median(value), 6) median, round(min(value), 6) least, round(max(value), 6) most FROM events GROUP BY 1")
+def profile_timing(spark, d):
+    return P.timing(_table(spark, d, "events"), "event_type", "value")
+
+
+@query("SELECT metric, base, value, round(value - base, 6) delta, CASE WHEN round(value - base, 6) > 0 THEN 'up' WHEN round(value - base, 6) < 0 THEN 'down' ELSE 'same' END direction FROM (SELECT 'n' metric, (SELECT count(*)::DOUBLE FROM orders WHERE o_orderstatus = 'O') base, (SELECT count(*)::DOUBLE FROM orders) AS value UNION ALL SELECT 'most', (SELECT max(o_custkey)::DOUBLE FROM orders WHERE o_orderstatus = 'O'), (SELECT max(o_custkey)::DOUBLE FROM orders))")
+def profile_compare(spark, d):
+    m = lambda df: df.agg(F.count("*").alias("n"), F.max("o_custkey").alias("most"))
+    o = _table(spark, d, "orders")
+    return P.compare(m(o), m(o.where("o_orderstatus = 'O'")), ["n", "most"])
+
+
+@query("SELECT p_name AS value, length(p_name) length FROM (SELECT DISTINCT p_name FROM part) ORDER BY 2 DESC, 1 LIMIT 10")
+def profile_longest(spark, d):
+    return P.longest(_table(spark, d, "part"), "p_name")
+
+
+# Sources
+
+
+@query("SELECT p_partkey, regexp_replace(n, '\\.[A-Za-z]+$', '') || lower(regexp_extract(n, '(\\.[A-Za-z]+)$', 1)) AS name FROM (SELECT p_partkey, regexp_replace('Data/Raw/' || p_name || '.PNG', '^.*[/\\\\]', '') n FROM part)")
+def source_image_names(spark, d):
+    return _table(spark, d, "part").select("p_partkey", files.image_name(F.concat(F.lit("Data/Raw/"), "p_name", F.lit(".PNG"))).alias("name"))
+
+
+@query("SELECT p_partkey, CASE WHEN s <> '' AND NOT contains(c, '(') THEN c || ' (' || s || ')' ELSE c END AS context FROM (SELECT p_partkey, p_type || CASE WHEN p_size % 5 = 0 THEN ' (x)' ELSE '' END c, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END s FROM part)")
+def source_serving_context(spark, d):
+    t = _table(spark, d, "part").selectExpr("p_partkey", "concat(p_type, CASE WHEN p_size % 5 = 0 THEN ' (x)' ELSE '' END) c", "CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END s")
+    return t.select("p_partkey", files.with_serving(F.col("c"), F.col("s")).alias("context"))
+
+
+@query("SELECT o_orderkey AS image_id, list_sort(list(l_linenumber::VARCHAR || ':' || l_partkey::VARCHAR)) AS items FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def source_nested_gold(spark, d):
+    rows = _table(spark, d, "orders").join(_table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).selectExpr("o_orderkey AS image_id", "concat(cast(l_linenumber AS string), ':', cast(l_partkey AS string)) AS item")
+    return files.nest(rows).select("image_id", F.col("nutrients.item").alias("items"))

@@ -1 +1 @@
-
+"""Readers and writers of annotations, tokens, tuples and graphs."""

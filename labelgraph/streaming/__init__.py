@@ -1 +1,17 @@
+"""Stages over streams of token tables (one image is self-contained, so any stage by image also runs in foreachBatch)."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+
+def run_stage(stream: DataFrame, stage: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Apply ``stage`` to each micro-batch and append the result to ``path`` as Parquet."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        stage(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
