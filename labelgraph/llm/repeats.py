@@ -43,7 +43,7 @@ from .words import _BYTE, mix, powers, text_buffers
 LENGTH = 100
 # A perfect difference set, every residue mod 57 is a difference of two of its members.
 V, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
-BLOCK, BUCKET = 4 << 20, 1_500_000
+BLOCK, BUCKET = 2 << 20, 1_000_000
 IDS_SENT = 1_000_000
 _IN_COVER = np.isin(np.arange(V), COVER)
 
