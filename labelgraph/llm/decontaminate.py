@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import bounded_batches
 from .words import K, PUNCTUATION, Words, chunks, mix, parts, text_buffers
 
 RADIUS = 11
@@ -180,6 +181,7 @@ def _short(h: np.ndarray) -> int:
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = RADIUS, k: int = K, items_a_slice: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, start_word, n_item_words, similarity): the best window of each text for each item it holds."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     # Slices by a hash of the item: each has about items_a_slice items whatever the benchmark's size.
     n = benchmark.count()
     slices = max(1, -(-n // items_a_slice))

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from .store import bounded_batches
+
 WIDE, DEPTH = 40, 200
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(>|\Z)", re.S)
@@ -412,6 +414,7 @@ def html_text(pages: DataFrame, column: str = "html") -> DataFrame:
     """``pages`` plus text: the rendered ``column``."""
     kept = [c for c in pages.columns if c != "text"]
     at = kept.index(column)
+    bounded_batches(pages.sparkSession)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

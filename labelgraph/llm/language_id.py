@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .store import written
+from .store import bounded_batches, written
 from .words import chunks, parts, text_buffers
 
 PER_LANGUAGE = 600
@@ -135,6 +135,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     kept = [c for c in docs.columns if c not in dict(added)]
     shared = docs.sparkSession.sparkContext.broadcast(centres)
     at_text = kept.index("text")
+    bounded_batches(docs.sparkSession)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value

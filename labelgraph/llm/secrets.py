@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .store import bounded_batches
 from .words import chunks, parts, text_buffers
 
 KINDS = ("assign", "access", "hex", "format")
@@ -193,6 +194,7 @@ def scan(off: np.ndarray, raw: np.ndarray) -> dict[int, tuple[list[tuple[int, in
 
 def labelled_values(docs: DataFrame) -> DataFrame:
     """(kind, value) of every base match in ``docs``."""
+    bounded_batches(docs.sparkSession)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -226,6 +228,7 @@ def find_secrets(docs: DataFrame, automata: dict[str, tuple[Automaton, float]] |
     automata = fit(docs) if automata is None else automata
     kept = [c for c in docs.columns if c != "secrets"]
     at = kept.index("text")
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(automata)
     item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("likest", pa.string()), ("score", pa.float64())])
 

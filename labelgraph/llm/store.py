@@ -33,14 +33,33 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/labelgraph/{what}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there.
+
+    The shuffle files of the write go as soon as it ends.
+    """
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
+    bounded_batches(spark)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Whole texts may be long, so fewer of them go to Python at once, unless the session sets its own number."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

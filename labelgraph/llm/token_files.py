@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rans import pack_shard, unpack_shard
-from .store import scratch
+from .store import bounded_batches, scratch
 from .tokens import encoder
 
 SHARD = 16 << 20
@@ -35,6 +35,7 @@ _NULL = -(1 << 63)
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", tokenizer_path: str | None = None, end: int = END, shard: int = SHARD) -> DataFrame:
     """Write the shards of ``docs`` (doc_id, text) below ``path``; returns the manifest (shard, file, docs, ids, bytes)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     last = int(end).to_bytes(4, "little")
 
