@@ -28,12 +28,19 @@ def rewrite(tokens: DataFrame) -> DataFrame:
     # Each step binds the state of the one before, so that the expression grows by one step only.
     state = F.array(F.struct(F.col("token").alias("t"), F.array().cast("array<string>").alias("f")))
     for name, new in steps:
-        changed = lambda s, name, n: F.struct(n.alias("t"), F.when(n != s["t"], F.array_append(s["f"], F.lit(name))).otherwise(s["f"]).alias("f"))
-        state = F.transform(state, lambda s, name=name, new=new: F.transform(F.array(new(s["t"])), lambda n: changed(s, name, n))[0])
+        state = F.transform(state, _step(name, new))
     out = tokens.withColumn("original", F.col("token")).withColumn("_s", state[0])
     return out.withColumn("token", F.col("_s.t")).withColumn("rules_fired", F.col("_s.f")).drop("_s").where("token <> ''")
 
 
+def _step(name: str, new: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    def both(s: Column) -> Column:
+        changed = lambda n: F.struct(n.alias("t"), F.when(n != s["t"], F.array_append(s["f"], F.lit(name))).otherwise(s["f"]).alias("f"))
+        return F.transform(F.array(new(s["t"])), changed)[0]
+
+    return both
+
+
 def _context_header(t: Column) -> Column:
     low = F.lower(t)
     return F.when(low.rlike(R.CONTEXT_100G), F.when(low.startswith("je"), F.lit("je 100g")).otherwise(F.lit("pro 100g"))).when(low.rlike(R.CONTEXT_100ML), F.lit("per 100ml")).when(low.rlike(R.CONTEXT_10G), F.lit("pro 10g")).otherwise(t)

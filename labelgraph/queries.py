@@ -42,7 +42,8 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _lab(spark: SparkSession, d: str) -> DataFrame:
-    return C.classify(tokens(spark, d))
+    # Cached: the steps after read it several times, and their plans stay small.
+    return C.classify(tokens(spark, d)).cache()
 
 
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
