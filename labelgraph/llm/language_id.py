@@ -98,7 +98,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = C
         df, n = np.zeros(DIMS, np.int64), 0
         for batch in parts(batches):
             off, raw = text_buffers(batch.column(0))
-            for lo, hi in chunks(off, rows=256):
+            for lo, hi in chunks(off, rows=128):
                 df += (features(off[lo : hi + 1] - off[lo], raw[off[lo] : off[hi]]) > 0).sum(0)
                 n += hi - lo
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([df.tobytes()], pa.binary())], names=["n", "df"])
@@ -110,7 +110,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = C
 
     def train(key: tuple, rows: pa.Table) -> pa.Table:
         off, raw = text_buffers(rows["text"])
-        x = np.concatenate([_unit(features(off[lo : hi + 1] - off[lo], raw[off[lo] : off[hi]]) * idf) for lo, hi in chunks(off, rows=256)])
+        x = np.concatenate([_unit(features(off[lo : hi + 1] - off[lo], raw[off[lo] : off[hi]]) * idf) for lo, hi in chunks(off, rows=128)])
         c = _kmeans(x, clusters)
         floors = []
         for e in range(15):  # pieces of 2**e bytes, spread over all training texts
@@ -144,7 +144,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             off, raw = text_buffers(texts)
             pred, score = np.zeros(len(texts), int), np.zeros(len(texts))
             if len(c):
-                for lo, hi in chunks(off, rows=256):
+                for lo, hi in chunks(off, rows=128):
                     x = features(off[lo : hi + 1] - off[lo], raw[off[lo] : off[hi]])
                     x *= idf
                     norm = np.sqrt(np.einsum("ij,ij->i", x, x))

@@ -8,15 +8,23 @@ bounded by the chunk or the longest text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 K = 5
 
+# Large arrays go back to the system when they are freed, not to the worker's heap.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
 _U = np.uint64
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
@@ -76,7 +84,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most ``rows`` rows, so that less is held at once."""
+    """The batches in slices of at most ``rows`` rows, so that less is held at once.
+
+    A worker that tokenized before drops its encoders first.
+    """
+    if (tokens := sys.modules.get("labelgraph.llm.tokens")) and tokens._encoders:
+        tokens._encoders.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
     for batch in batches:
         for lo in range(0, len(batch), rows):
             yield batch.slice(lo, rows)
