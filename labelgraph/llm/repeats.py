@@ -51,7 +51,7 @@ _IN_COVER = np.isin(np.arange(V), COVER)
 def fingerprints(raw: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """64-bit fingerprints of raw[p : p + size] for p in ``at``, in pieces of bounded size."""
     out = np.empty(len(at), np.uint64)
-    step = 1 << 20
+    step = 1 << 19
     for lo in range(0, len(raw), step):
         a, b = np.searchsorted(at, (lo, lo + step))
         if a < b:
