@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import bounded_batches
-from .words import K, PUNCTUATION, Words, chunks, mix, parts, text_buffers
+from .words import K, PUNCTUATION, Words, chunks, mix, parts, text_buffers, whole_shingle
 
 RADIUS = 11
 STEP, SHIFT = 4, 4
@@ -157,7 +157,7 @@ def _match(w: Words, index: Index, radius: int, k: int, similarity: float) -> It
         if size < k:
             # Short items are one shingle, the words in order; compare the words of each place.
             for a in sorted(places):
-                if a + size <= hi and _short(h[a : a + size]) in bag:
+                if a + size <= hi and int(whole_shingle(h[a : a + size])) in bag:
                     best = max(best, (1.0, lo - a))
         else:
             tried = {max(lo, min(a + j, hi - size)) for a in places for j in range(-SHIFT, SHIFT + 1)}
@@ -172,12 +172,6 @@ def _match(w: Words, index: Index, radius: int, k: int, similarity: float) -> It
             yield d, i, -best[1], best[0]
 
 
-def _short(h: np.ndarray) -> int:
-    from .words import _SHINGLE
-
-    return int(mix(np.array([(h * _SHINGLE[: len(h)]).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64))[0])
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = RADIUS, k: int = K, items_a_slice: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, start_word, n_item_words, similarity): the best window of each text for each item it holds."""
     spark = docs.sparkSession

@@ -108,6 +108,11 @@ def chunks(off: np.ndarray, size: int = CHUNK, rows: int = 1 << 30) -> Iterator[
         lo = hi
 
 
+def whole_shingle(h: np.ndarray) -> np.ndarray:
+    """The one shingle of a text of fewer words than a shingle has, from its word hashes."""
+    return mix(np.array([(h * _SHINGLE[: len(h)]).sum(dtype=np.uint64) + _U(len(h))], np.uint64))[0]
+
+
 class Words:
     """Words of consecutive texts: ``start``/``end`` byte offsets, ``hash`` and
     ``first`` (index of each text's first word; len(texts) + 1 entries)."""
