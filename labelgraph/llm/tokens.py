@@ -13,6 +13,8 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 #: Words in each of a worker's two caches; beyond that the newer becomes the older one.
 CACHE = 200_000
 
@@ -39,6 +41,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.pattern = _PATTERNS.get(name)
         self.lower = name.startswith("word")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word, or that break words
+        self.ends[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.lower else t == "Ċ")]] = True
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # the cache before this one
 
@@ -56,21 +61,37 @@ class Encoder:
                 split.append((i, self.pattern.findall(text.lower() if self.lower else text)))
         if len(self.cache) > CACHE:
             self.old, self.cache = self.cache, {}
-        get = self.cache.__getitem__
-        late = []
-        for i, words in split:
-            try:
-                out[i] = b"".join(map(get, words))
-            except KeyError:
-                late.append((i, words))
-        new = {w for _, words in late for w in words if w not in self.cache}
+        words = set().union(*(w for _, w in split))
+        new = [w for w in words if w not in self.cache]
         self.cache.update((w, self.old[w]) for w in new if w in self.old)
         new = [w for w in new if w not in self.cache]
-        self.cache.update(zip(new, self.whole(new), strict=True))
-        for i, words in late:
+        self.cache.update(zip(new, self._each(new), strict=True))
+        get = self.cache.__getitem__
+        for i, words in split:
             out[i] = b"".join(map(get, words))
         return out
 
+    def _each(self, words: list[str]) -> list[bytes]:
+        """Ids of each pre-token: all in one text, a line break between two, cut at the ids that end words.
+
+        Pre-tokens of white space would join the breaks and are encoded alone.
+        """
+        solid = [w for w in words if not w.isspace()]
+        found: dict[str, bytes] = {}
+        if solid:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(solid)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if self.lower:
+                at = np.c_[np.r_[0, last[:-1]], last]  # a word's last id is marked, breaks have none
+            else:
+                at = np.c_[np.r_[0, last], np.r_[last - 1, len(ids)]]  # breaks have an id of their own
+            if len(at) == len(solid):
+                raw = ids.tobytes()
+                found = {w: raw[a:b] for w, (a, b) in zip(solid, (4 * at).tolist(), strict=True)}
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self.whole(rest), strict=True))
+        return [found[w] for w in words]
+
 
 _encoders: dict[tuple, Encoder] = {}
 
