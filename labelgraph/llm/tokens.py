@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 
 #: Words in each of a worker's two caches; beyond that the newer becomes the older one.
-CACHE = 200_000
+CACHE = 350_000
 
 # The letters and numbers (Unicode L and N) below U+0250, and the two pre-token patterns.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
