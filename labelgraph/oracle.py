@@ -218,7 +218,7 @@ def grouped(sql: str, *more: str) -> str:
 
 def confidence(group: str, at: str, most: float) -> str:
     return grouped(
-        f"SELECT image_id, {group}, round(coalesce(conf, 1.0), 3)::DOUBLE conf FROM (SELECT DISTINCT image_id, {group} FROM grp) LEFT JOIN m USING (image_id, {group})",
+        f"SELECT image_id, {group}, coalesce(conf, 1.0)::DOUBLE conf FROM (SELECT DISTINCT image_id, {group} FROM grp) LEFT JOIN m USING (image_id, {group})",
         f"m AS (SELECT a.image_id, a.{group}, round(avg(greatest(0.0, 1 - abs(a.{at} - b.{at}) / ({most} * a.scale))), 4) conf FROM grp a JOIN grp b ON a.image_id = b.image_id AND a.{group} = b.{group} AND a.tok_idx < b.tok_idx GROUP BY 1, 2)",
     )
 

@@ -243,12 +243,12 @@ def enrich_ranks(spark, d):
 
 @query(O.confidence("row_id", "cy", 25.0))
 def enrich_row_confidence(spark, d):
-    return E.confidence(_grouped(spark, d), "row_id", "cy", 25.0).withColumn("conf", F.round("conf", 3))
+    return E.confidence(_grouped(spark, d), "row_id", "cy", 25.0)
 
 
 @query(O.confidence("column_id", "cx", 60.0))
 def enrich_column_confidence(spark, d):
-    return E.confidence(_grouped(spark, d), "column_id", "cx", 60.0).withColumn("conf", F.round("conf", 3))
+    return E.confidence(_grouped(spark, d), "column_id", "cx", 60.0)
 
 
 @query(O.diagnostics())
