@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import partitions, written
-from .words import K, Words, chunks, parts, shingle_sets, text_buffers
+from .store import written
+from .words import K, parts, shingle_sets
 
 #: A shingle in at least so many texts is ordered last; at most so many are listed.
 COMMON, MOST_COMMON = 32, 1 << 20

@@ -60,10 +60,6 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(_ROWS, str(rows))
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def released(table: DataFrame) -> None:
     """Delete a table that ``written`` made and let Spark drop shuffle files that nothing refers to any more."""
     jvm = table.sparkSession.sparkContext._jvm
