@@ -4,8 +4,10 @@ A text is a vector of hashed byte n-grams (1 to 3 bytes; ASCII letters
 lower-cased, all other ASCII characters one separator) with weight
 sqrt(count) * idf, scaled to length 1. Each language has up to ``clusters``
 centroids from spherical k-means. The nearest centroid by cosine gives the
-language. A prediction is rejected if its cosine is below the floor measured,
-for texts of that length, on pieces of the training texts.
+language. A prediction is rejected if its cosine is below the floor of its
+language for texts of that length. Floors are measured on whole training texts
+by centroids fitted without them: the texts are dealt to two halves by their
+bytes, copies together, and each half is scored by the centroids of the other.
 
 Training uses a bounded sample: about ``per_language`` labelled texts of each
 language, picked by a hash of doc_id. Everything else covers all rows.
@@ -13,12 +15,14 @@ language, picked by a hash of doc_id. Everything else covers all rows.
 Edge cases: null, empty or letterless text gets ``und``, score 0, rejected; rows
 with null lang are predicted but not learned; repeated rows are predicted alike;
 with no labelled text at all every row is ``und``; equal cosines go to the
-language that sorts first.
+language that sorts first; a language whose texts all fall in one half takes the
+least floors of the others, 0 if there are none.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +39,10 @@ CLUSTERS = 3
 DIMS = 8192
 #: Up to so many languages their sampling rates go to the scan instead of being joined.
 LANGUAGES_SENT = 10_000
-#: Share of the 0.1 % quantile of training cosines below which a text is rejected.
-FLOOR = 0.5
+#: Quantile of the cosines of texts not fitted on below which a text is rejected.
+FLOOR = 0.005
+#: Texts a length is measured on; where fewer have it, starts of longer texts and then shorter texts are added.
+ENOUGH = 200
 _LETTER = re.compile(r"[^\W\d_]")
 
 _CLASS = np.full(256, 32, np.uint8)
@@ -71,10 +77,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; the first centres are the mean and the farthest texts."""
+    """Spherical k-means; the first centres are the mean and far texts, past the farthest 2 %, each of which would keep a centroid for itself."""
     centres = [_unit(x.mean(0, keepdims=True))[0]]
     while len(centres) < min(k, len(x)):
-        centres.append(x[np.argmin(np.max(x @ np.array(centres).T, 1))])
+        centres.append(x[np.argsort(np.max(x @ np.array(centres).T, 1), kind="stable")[len(x) // 50]])
     c = np.array(centres)
     for _ in range(rounds):
         own = np.argmax(x @ c.T, 1)
@@ -86,6 +92,33 @@ def _bucket(n_bytes: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(n_bytes, 1)).astype(int), 14)
 
 
+def _floors(off: np.ndarray, raw: np.ndarray, x: np.ndarray, idf: np.ndarray, clusters: int) -> list[float]:
+    """The floor of each length (2**e bytes and more) of one language; NaN if no text can be left out."""
+    n_bytes = np.diff(off)
+    half = np.array([zlib.crc32(raw[a:b]) & 1 for a, b in zip(off, off[1:], strict=False)])
+    if half.min() == half.max():
+        return [float("nan")] * 15
+    other = [_kmeans(x[half != h], clusters) for h in (0, 1)]
+    whole = np.where(half == 0, (x @ other[0].T).max(1), (x @ other[1].T).max(1))
+    bucket = _bucket(n_bytes)
+    floors = []
+    for e in range(15):
+        got = whole[bucket == e]
+        longer = np.flatnonzero(bucket > e)
+        if len(got) < ENOUGH and len(longer):
+            pick = longer[np.unique(np.linspace(0, len(longer) - 1, ENOUGH - len(got)).astype(int))]
+            at = off[pick][:, None] + np.arange(1 << e)
+            for lo in range(0, len(pick), 32):
+                starts = _unit(features(np.arange(len(at[lo : lo + 32]) + 1) << e, raw[at[lo : lo + 32].ravel()]) * idf)
+                own = half[pick[lo : lo + 32]]
+                got = np.append(got, np.where(own == 0, (starts @ other[0].T).max(1), (starts @ other[1].T).max(1)))
+        if len(got) < ENOUGH:
+            shorter = np.flatnonzero(bucket < e)
+            got = np.append(got, whole[shorter[np.argsort(-n_bytes[shorter], kind="stable")][: ENOUGH - len(got)]])
+        floors.append(float(np.quantile(got, FLOOR)))
+    return floors
+
+
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS) -> dict:
     """The model of ``labelled`` (doc_id, text, lang): idf, centroids, their languages, floors."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -112,20 +145,16 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = C
         off, raw = text_buffers(rows["text"])
         x = np.concatenate([_unit(features(off[lo : hi + 1] - off[lo], raw[off[lo] : off[hi]]) * idf) for lo, hi in chunks(off, rows=128)])
         c = _kmeans(x, clusters)
-        floors = []
-        for e in range(15):  # pieces of 2**e bytes, spread over all training texts
-            at = np.arange(0, len(raw) + 1, 1 << e)
-            if len(at) < 2:
-                floors.append(floors[-1] if floors else 0.0)
-                continue
-            pick = np.unique(np.linspace(0, len(at) - 2, min(len(at) - 1, 400)).astype(int))
-            got = [np.max(_unit(features(np.array([0, 1 << e]), raw[at[i] : at[i] + (1 << e)]) * idf) @ c.T) for i in pick]
-            floors.append(float(np.quantile(got, 0.001)) * FLOOR)
+        floors = _floors(off, raw, x, idf, clusters)
         return pa.table({"lang": pa.array([key[0].as_py()] * len(c)), "centre": pa.array([r.tobytes() for r in c], pa.binary()), "floors": pa.array([floors] * len(c), pa.list_(pa.float64()))})
 
     got = sorted(sample.groupBy("lang").applyInArrow(train, "lang string, centre binary, floors array<double>").collect(), key=lambda r: (r["lang"], r["centre"]))
     centres = np.array([np.frombuffer(r["centre"], np.float32) for r in got]) if got else np.zeros((0, DIMS), np.float32)
-    return {"idf": idf, "centres": centres, "langs": [r["lang"] for r in got], "floors": np.array([r["floors"] for r in got]).reshape(len(got), 15)}
+    floors = np.array([r["floors"] for r in got]).reshape(len(got), 15)
+    alone = np.isnan(floors[:, 0])
+    if alone.any():
+        floors[alone] = floors[~alone].min(0) if not alone.all() else 0.0
+    return {"idf": idf, "centres": centres, "langs": [r["lang"] for r in got], "floors": floors}
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:

@@ -178,6 +178,18 @@ def test_language(spark, docs, none):
     assert {x["lang_pred"] for x in identify_language(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_rejects_what_was_not_learned(spark):
+    r = random.Random(8)
+    odd = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (600, 2400) for _ in range(3)]
+    odd += [(t * 40)[:n] for t in ("wszyscy ludzie rodzą się wolni i równi pod względem swej godności ", "la casa della nonna era molto grande e piena di luce ") for n in (600, 1200, 2400)]
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    got = identify_language(df.unionByName(more)).drop("text").collect()
+    assert [x["doc_id"] for x in got if x["doc_id"] < 0 and not x["rejected"]] == []
+    held = [x for x in got if x["doc_id"] >= 0 and x["lang"] and x["lang_pred"] != "und" and brute.zlib.crc32(str(x["doc_id"]).encode()) % 4 == 2]
+    assert np.mean([x["rejected"] for x in held]) < 0.01 and np.mean([x["lang_pred"] == x["lang"] for x in held]) > 0.99
+
+
 def test_html():
     page = "<title>t</title><style>.ad{display:none}</style><ul><li>One<li>Two</ul><div class=ad>AD</div><p>a  <b>b</b>c<p hidden>no<p>x<br>y &amp; z<table><tr><th>Name<th>Q<tr><td>long name<td>1</table><pre>\n a\n  b</pre><script>if(a<b){}</script>end <!-- c -->"
     assert page_text(page) == "- One\n- Two\n\na bc\n\nx\ny & z\n\nName      | Q\nlong name | 1\n\n a\n  b\n\nend"
