@@ -11,8 +11,9 @@ sequences, longest first, in groups of equal sequences. The plan lists groups,
 not sequences, so its size depends on the lengths alone; pieces find their
 place in it by their rank among pieces of their length.
 
-Lengths are priced in steps of ``GRID`` tokens, rounded up; room that this leaves
-is filled with the pieces left over.
+Lengths are priced in steps of ``GRID`` tokens, rounded up; each configuration
+is then filled to its capacity in exact tokens with the longest pieces that fit,
+and used only as often as pieces remain.
 
 Edge cases: null or empty text is one piece, its end token; repeated rows are
 packed each; equal lengths are placed by their rank; an empty table gives an
@@ -114,29 +115,38 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grid: int = GRID)
         kinds.setdefault(-(-n // grid), []).append(n)
     size = np.array(sorted(kinds))
     rest = np.array([sum(left[n] for n in kinds[k]) for k in size.tolist()], np.int64)
+    kind_at = {n: j for j, k in enumerate(size.tolist()) for n in kinds[k]}
     solved = fractional(size, rest.astype(float), capacity // grid)
+    has = np.zeros(capacity + 1, bool)
+    has[list(left)] = True
     for take, x in sorted(solved, key=lambda s: (-s[1], s[0].tobytes())):
-        on = np.flatnonzero(take)
-        times = int(min(np.floor(x + 1e-9), *(rest[on] // take[on])))
-        if times < 1:
-            continue
-        rest[on] -= times * take[on]
-        # Fill the slots with runs of equal lengths: one group for each stretch in which no slot's length changes.
-        slots = [j for j in on.tolist() for _ in range(take[j])]
-        runs, cuts = [], {0, times}
-        for j in slots:
-            need, at, own = times, 0, []
-            for n in kinds[int(size[j])]:
-                got = min(need, left[n])
+        wanted = int(np.floor(x + 1e-9))
+        on = np.flatnonzero(take).tolist()
+        while wanted and all(rest[j] >= take[j] for j in on):
+            content: dict[int, int] = {}
+            for j in on:
+                need = int(take[j])
+                for n in kinds[int(size[j])]:
+                    got = min(need, left[n])
+                    if got:
+                        content[n], need = got, need - got
+            # Rounding leaves room: the longest pieces that fit it come in at once.
+            free = capacity - sum(n * t for n, t in content.items())
+            n = free
+            while n > 0 and has[1 : n + 1].any():
+                n -= int(np.argmax(has[n:0:-1]))
+                got = min(free // n, left[n] - content.get(n, 0))
                 if got:
-                    own.append((at, n))
-                    at, need = at + got, need - got
-                    left[n] -= got
-                    cuts.add(at)
-            runs.append(own)
-        edges = sorted(cuts)
-        for a, b in zip(edges, edges[1:], strict=False):
-            groups.append([b - a, list(Counter(max(r for r in own if r[0] <= a)[1] for own in runs).items())])
+                    content[n] = content.get(n, 0) + got
+                    free -= n * got
+                n = min(n - 1, free)
+            times = min(wanted, *(left[n] // t for n, t in content.items()))
+            wanted -= times
+            for n, t in content.items():
+                left[n] -= times * t
+                has[n] = left[n] > 0
+                rest[kind_at[n]] -= times * t
+            groups.append([times, list(content.items())])
     # What is left: best fit by counts, longest first.
     room: dict[int, list[list]] = {}
     open_ = np.zeros(capacity + 1, bool)

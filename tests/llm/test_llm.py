@@ -293,6 +293,18 @@ def test_plan_places_every_piece(histogram):
     assert n <= max(big, 1.5 * total / 4096) + 2
 
 
+@pytest.mark.parametrize("histogram", [{17: 1_000_000}, {1: 1_000_000}, {33: 400_000, 2000: 1000}, {1: 300_000, 5: 300_000, 17: 300_000, 700: 20_000}])
+def test_plan_of_many_short_pieces(histogram):
+    rows, n = packing.plan(histogram)
+    assert sum(b - a for _, a, b, *_ in rows) == sum(histogram.values())
+    fill = Counter()
+    for length, a, b, m, base, at in rows:
+        assert (b - a) % m == 0 and at + (b - a) // m * length <= 4096
+        fill.update({base + k: (b - a) // m * length for k in range(m)})
+    assert max(fill.values()) <= 4096 and len(fill) == n
+    assert n <= 1.02 * sum(k * v for k, v in histogram.items()) / 4096 + 2
+
+
 def test_contamination(spark, docs):
     r = random.Random(8)
     items = [(i, " ".join(words(r, n, 9999)).capitalize()) for i, n in enumerate((3, 12, 25, 40, 300))] + [(9, None), (10, "")]
