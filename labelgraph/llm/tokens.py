@@ -3,20 +3,26 @@
 Both vocabularies split a text into pre-tokens by a fixed pattern and encode
 each alone, so a text's ids are those of its pre-tokens in order. Texts whose
 characters all lie in the Latin blocks are split here by the same pattern and
-looked up in a bounded cache; unknown pre-tokens, and all other texts whole,
-go to the tokenizers library.
+looked up in a cache bounded in bytes; unknown pre-tokens, and all other texts
+whole, go to the tokenizers library, with its settings as the file has them. A
+text that holds the string of an added token (in any case) always goes whole.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 from array import array
 
 import numpy as np
 
-#: Words in each of a worker's two caches; beyond that the newer becomes the older one.
-CACHE = 350_000
+#: Bytes, estimated, of each of a worker's two caches; beyond that the newer becomes the older one.
+CACHE = 40 << 20
+#: What an entry of a cache takes besides its characters and ids.
+_ENTRY = 190
 
 # The letters and numbers (Unicode L and N) below U+0250, and the two pre-token patterns.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
@@ -38,7 +44,8 @@ class Encoder:
 
             path = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         self.pattern = _PATTERNS.get(name)
         self.lower = name.startswith("word")
         vocabulary = self.tokenizer.get_vocab()
@@ -46,6 +53,7 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.lower else t == "Ċ")]] = True
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # the cache before this one
+        self.held = 0  # bytes of the newer cache
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -55,17 +63,20 @@ class Encoder:
         out: list[bytes | None] = [b""] * len(texts)
         split: list[tuple[int, list[str]]] = []
         for i, text in enumerate(texts):
-            if text and (self.pattern is None or _OTHER.search(text)):
+            if text and (self.pattern is None or _OTHER.search(text) or (self.added and self.added.search(text))):
                 out[i] = self.whole([text])[0]
             elif text:
                 split.append((i, self.pattern.findall(text.lower() if self.lower else text)))
-        if len(self.cache) > CACHE:
-            self.old, self.cache = self.cache, {}
+        if self.held > CACHE:
+            self.old, self.cache, self.held = self.cache, {}, 0
         words = set().union(*(w for _, w in split))
         new = [w for w in words if w not in self.cache]
-        self.cache.update((w, self.old[w]) for w in new if w in self.old)
+        known = [(w, self.old[w]) for w in new if w in self.old]
+        self.cache.update(known)
         new = [w for w in new if w not in self.cache]
-        self.cache.update(zip(new, self._each(new), strict=True))
+        known += zip(new, self._each(new), strict=True)
+        self.cache.update(known)
+        self.held += sum(_ENTRY + len(w) + len(x) for w, x in known)
         get = self.cache.__getitem__
         for i, words in split:
             out[i] = b"".join(map(get, words))
@@ -97,7 +108,11 @@ _encoders: dict[tuple, Encoder] = {}
 
 
 def encoder(name: str, path: str | None = None) -> Encoder:
-    """This worker's encoder."""
+    """This worker's encoder; it keeps one at a time, and returns free memory before it loads another."""
     if (name, path) not in _encoders:
+        _encoders.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
         _encoders[name, path] = Encoder(name, path)
     return _encoders[name, path]
