@@ -2,8 +2,8 @@
 
 Per text: words, word characters, symbols, repeated lines and repeated 3-word
 windows. Across texts: every line is normalised (lower-cased, white space
-collapsed, trimmed) and hashed; distinct documents (identical texts of one host
-count once) are counted by (host, line). Lines in more than
+collapsed, trimmed) and hashed; distinct documents are counted by (host, line),
+each row one document. Lines in more than
 ``max(least_docs, share * documents of the host)`` documents are removed, and a
 document is rejected when over ``depleted`` of its words lie in removed lines.
 
@@ -12,8 +12,10 @@ host nor a hot line meets one task. Frequent lines go to the scan only while
 there are at most ``SENT`` of them, else they are joined.
 
 Edge cases: null or blank text has zeros and fails the base rules; a null host
-is a host of its own; repeated rows are returned each and count as one document;
-an empty table gives an empty result; other columns are ignored.
+is a host of its own; repeated rows are returned each and count each (with
+``copies=False`` identical texts of a host count once); a line in just as many
+documents as a limit stays; an empty table gives an empty result; other columns
+are ignored; a long text is one row, its words and lines arrays of it.
 """
 
 from __future__ import annotations
@@ -78,16 +80,16 @@ def normal_lines(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
 
 
-def line_quality(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+def line_quality(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, depleted: float = DEPLETED, copies: bool = True) -> DataFrame:
     """doc_id, the per-text rules, base_failed, n_frequent_words, kept: one row for each row of ``docs``."""
     # A row is known by its place in the written table, so that repeated and null ids stay apart.
     base = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     marked = base.select("doc_id", "host", F.xxhash64("text").alias("t"), text_rules(F.col("text")).alias("r"), normal_lines(F.col("text")).alias("lines"))
     marked = written(marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", "host", "t", "r.*", "lines"), "lines")
 
-    first = marked.groupBy("host", "t").agg(F.min("row").alias("row"))
-    sizes = first.groupBy("host").agg(F.count("*").alias("docs"))
-    once = marked.join(first.select("row"), "row", "left_semi").select("host", F.explode(F.array_distinct("lines.h")).alias("h"))
+    counted = marked if copies else marked.join(marked.groupBy("host", "t").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
+    sizes = counted.groupBy("host").agg(F.count("*").alias("docs"))
+    once = counted.select("host", F.explode(F.array_distinct("lines.h")).alias("h"))
     counts = once.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
     frequent = written(counts.join(sizes, "host").where(F.col("n") > F.col("docs") * share).select("host", "h"), "frequent")
     few = frequent.limit(SENT + 1).count() <= SENT
@@ -109,7 +111,7 @@ dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 cov AS (SELECT doc_id, sum(least(3, coalesce(nxt - i, 3)))::BIGINT n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) nxt FROM dup) GROUP BY doc_id),
 ln AS (SELECT doc_id, host, t, trim(x) x FROM d, unnest(string_split(regexp_replace(lower(t), '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g'), chr(10))) u(x)),
 lw AS (SELECT doc_id, host, t, x, len(string_split(x, ' ')) n FROM ln WHERE x <> ''),
-f AS (SELECT host, x FROM lw GROUP BY host, x HAVING count(DISTINCT t) > {LEAST_DOCS} AND count(DISTINCT t) > any_value((SELECT count(DISTINCT t) FROM d d2 WHERE d2.host = lw.host)) * {SHARE}),
+f AS (SELECT host, x FROM lw GROUP BY host, x HAVING count(DISTINCT doc_id) > {LEAST_DOCS} AND count(DISTINCT doc_id) > any_value((SELECT count(*) FROM d d2 WHERE d2.host = lw.host)) * {SHARE}),
 r AS (SELECT doc_id, sum(n)::BIGINT n FROM lw SEMI JOIN f USING (host, x) GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(w.w)::BIGINT n_words, coalesce(length(array_to_string(w.w, '')), 0)::BIGINT word_chars,
  (length(w.t) - length(regexp_replace(w.t, '[#*$%&|<>]', '', 'g')))::BIGINT n_symbols, (len(l) - len(list_distinct(l)))::BIGINT n_dup_lines,
