@@ -2,23 +2,27 @@
 
 Words are runs of letters and digits of the lower-cased text (ASCII punctuation
 separates), so that case, spacing and punctuation do not hide a passage.
-Every benchmark item of L words has a 64-bit SimHash of its two-word features
-over its core, its first c words (L rounded down to a multiple of ``STEP``, so
-that few window sizes arise). Every window of c words of every text gets its
-SimHash from running sums of the feature bits. Fingerprints meet by multi-index
+Every benchmark item of L words has a 64-bit SimHash of its two-word features,
+and so has every window of L words of every text, for every L that occurs. The
+64 bit counts of a window are differences of running sums, kept modulo 256
+(for items beyond 256 words modulo 2**16 or 2**32). Fingerprints meet by multi-index
 hashing: with 4 blocks of 16 bits, two within ``radius`` bits agree in some
 block to within radius // 4 bits, so a lookup of all such block values finds all
 of them. Each candidate is then verified exactly: the bags of 5-word shingles
 of the item and of the L words at the window (shifted by up to ``SHIFT``) must
 have sum(min) / sum(max) >= similarity.
 
-Benchmark items are collected in slices of ``ITEMS`` items, so what is sent to
-the executors is bounded for any benchmark; texts are never shuffled.
+Benchmark items are taken in slices of ``ITEMS`` items, one after the other, and
+a slice's index takes about 4 KB an item whatever the items' lengths; with more
+than one slice, what a slice finds is written before the next one's index is
+made. Texts are never shuffled, but read once for each slice.
 
 Edge cases: null or empty texts and items match nothing; an item of fewer than
-5 words is one shingle and must occur whole; texts shorter than an item's core
+5 words is one shingle and must occur whole; texts shorter than an item
 are one window; repeated items and texts are reported each; among equal windows
-the first is reported; a null doc_id or item_id is kept as null.
+the first is reported; a null doc_id or item_id is kept as null; empty tables
+give an empty result; other columns are ignored; a long text is worked on whole,
+in arrays of some 100 bytes a word of it.
 """
 
 from __future__ import annotations
@@ -33,11 +37,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches
+from .store import bounded_batches, written
 from .words import K, PUNCTUATION, Words, chunks, mix, parts, text_buffers, whole_shingle
 
 RADIUS = 11
-STEP, SHIFT = 4, 4
+SHIFT = 4
 ITEMS = 20_000
 _B, _BITS = 4, 16
 _PAIR = np.uint64(0x9FB21C651E98DF25)
@@ -62,7 +66,7 @@ def _near(radius: int) -> np.ndarray:
 
 
 class Index:
-    """Items by core size; each size has its fingerprints and block lists."""
+    """Items by size; each size has its fingerprints and, for each block, the values near them in order with their items."""
 
     def __init__(self, items: list[tuple[int, str]], radius: int, k: int):
         self.sizes: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}
@@ -73,80 +77,135 @@ class Index:
             n = len(w.hash)
             if not n:
                 continue
-            core = n - n % STEP if n > 2 * STEP else n
-            f = _features(w.hash[:core])
-            print_ = _simhash(f[None, :])[0] if len(f) else mix(w.hash[:1])[0]
-            by[core].append((len(self.items), int(print_)))
+            print_ = int(_whole(_simhash(_sums(w.hash, _wide(n)), np.zeros(1, np.int64), n - 1))[0]) if n > 1 else int(mix(w.hash[:1])[0])
+            by[n].append((len(self.items), print_))
             self.items.append((item_id, n, Counter(w.shingles(k)[0].tolist())))
         masks = _near(radius // _B)
-        for core, rows in by.items():
-            which = np.array([i for i, _ in rows])
+        for size, rows in by.items():
+            which = np.array([i for i, _ in rows], np.int32)
             prints = np.array([p for _, p in rows], np.uint64)
             lists = []
-            for b in range(_B):
-                block = ((prints >> np.uint64(_BITS * b)) & np.uint64(0xFFFF)).astype(np.uint32)
-                value = (block[:, None] ^ masks[None, :]).ravel()
-                item = np.repeat(np.arange(len(rows)), len(masks))
+            for block in prints.view(np.uint16).reshape(-1, _B).T:
+                value = (block[:, None] ^ masks[None, :].astype(np.uint16)).ravel()
                 order = np.argsort(value, kind="stable")
-                lists.append((np.r_[0, np.cumsum(np.bincount(value, minlength=1 << _BITS))].astype(np.int32), item[order].astype(np.int32)))
-            self.sizes[core] = (which, prints, lists)
+                lists.append((value[order], (order // len(masks)).astype(np.int32)))
+            self.sizes[size] = (which, prints, lists)
 
 
-def _simhash(features: np.ndarray) -> np.ndarray:
-    """Fingerprint of each row of feature hashes: bits set in over half of them."""
-    bits = np.unpackbits(features.view(np.uint8).reshape(*features.shape, 8), axis=2, bitorder="little")
-    return np.packbits(bits.sum(1) * 2 > features.shape[1], axis=1, bitorder="little").view(np.uint64)[:, 0]
+def _sums(h: np.ndarray, wide: type) -> np.ndarray:
+    """Running sums of the 64 feature bits of word hashes ``h``, (64, words), modulo what ``wide`` holds."""
+    f = _features(h)
+    out = np.zeros((64, len(f) + 1), wide)
+    np.cumsum(np.unpackbits(f.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T, axis=1, dtype=wide, out=out[:, 1:])
+    return out
+
+
+def _wide(size: int) -> type:
+    return np.uint8 if size <= 256 else np.uint16 if size <= 65536 else np.uint32
+
+
+_PLACE = (1 << (np.arange(64) % 8)).astype(np.uint8)[:, None]
+
+
+def _simhash(sums: np.ndarray, at: np.ndarray | slice, n: int, room: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """(8, windows) bytes of the fingerprints of the windows of ``n`` features from each of ``at`` on: bits set in over half of them.
+
+    ``at`` may be a slice of consecutive places; then ``room`` may have two arrays to work in.
+    """
+    half = sums.dtype.type(n // 2)
+    if room is None:
+        after = slice(at.start + n, at.stop + n) if isinstance(at, slice) else at + n
+        over = (sums[:, after] - sums[:, at] > half).view(np.uint8)
+    else:
+        many = at.stop - at.start
+        x, over = room[0][: 64 * many].reshape(64, many), room[1][: 64 * many].reshape(64, many)
+        np.subtract(sums[:, at.start + n : at.stop + n], sums[:, at], out=x)
+        np.greater(x, half, out=over.view(bool))
+    over *= _PLACE
+    return np.bitwise_or.reduce(over.reshape(8, 8, -1), axis=1)
+
+
+def _whole(prints: np.ndarray) -> np.ndarray:
+    """(8, windows) bytes as 64-bit fingerprints."""
+    return np.ascontiguousarray(prints.T).view(np.uint64)[:, 0]
+
+
+#: A size of up to so many items has its candidates compared with all of them.
+_FEW = 32
+_SPAN = 16384  # windows worked on at once, so that they stay in the processor's cache
 
 
 def _match(w: Words, index: Index, radius: int, k: int, similarity: float) -> Iterator[tuple[int, int, int, float]]:
     """(text, item, start word, similarity) of verified windows."""
     h, first = w.hash, w.first
     n_words = np.diff(first)
-    if not len(h):
+    if not len(h) or not index.sizes:
         return
-    f = _features(h)
-    wide = np.uint8 if max(index.sizes, default=0) <= 255 else np.uint16 if max(index.sizes) <= 65535 else np.uint32
-    sums = np.zeros((64, len(f) + 1), wide)
-    bits = np.unpackbits(f.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
-    for b in range(64):
-        np.cumsum(bits[b], dtype=wide, out=sums[b, 1:])
+    sums = {wide: _sums(h, wide) for wide in {_wide(size) for size in index.sizes if size > 1}}
     doc = np.repeat(np.arange(len(n_words)), n_words)
     last = first[1:][doc]  # end of each word's text
+    room = last - np.arange(len(h))
     hits: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for core, (which, prints, lists) in index.sizes.items():
-        n_feat = core - 1
-        if n_feat == 0:
+    near = [np.zeros(1 << _BITS, bool) for _ in range(_B)]
+
+    def add(places: np.ndarray, items: np.ndarray) -> None:
+        for a, x in zip(places.tolist(), items.tolist(), strict=True):
+            hits[int(doc[a]), x].add(a)
+
+    def look(fp: np.ndarray, at: np.ndarray | int, size: int, which: np.ndarray, prints: np.ndarray, lists: list) -> None:
+        blocks = fp[1::2].astype(np.uint16) << np.uint16(8) | fp[::2]
+        some = near[0].take(blocks[0], mode="wrap")
+        for b in range(1, _B):
+            some |= near[b].take(blocks[b], mode="wrap")
+        some = np.flatnonzero(some)
+        if isinstance(at, int):
+            some = some[room[some + at] >= size]  # windows inside one text
+        if not len(some):
+            return
+        fp = _whole(fp[:, some])
+        if len(prints) <= _FEW:  # found by a block; compare with all items of the size
+            rep, i = np.nonzero(np.bitwise_count(fp[:, None] ^ prints[None, :]) <= radius)
+            add(some[rep] + at if isinstance(at, int) else at[some[rep]], which[i])
+            return
+        blocks = blocks[:, some]
+        for b, (value, item) in enumerate(lists):
+            mine = np.flatnonzero(near[b].take(blocks[b]))
+            if not len(mine):
+                continue
+            lo = np.searchsorted(value, blocks[b, mine], "left")
+            many = np.searchsorted(value, blocks[b, mine], "right") - lo
+            rep = np.repeat(mine, many)
+            i = item[np.repeat(lo, many) + np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)]
+            ok = np.flatnonzero(np.bitwise_count(fp[rep] ^ prints[i]) <= radius)
+            add(some[rep[ok]] + at if isinstance(at, int) else at[some[rep[ok]]], which[i[ok]])
+
+    span = -(-len(h) // -(-len(h) // _SPAN))
+    rooms = {wide: (np.empty(64 * span, wide), np.empty(64 * span, np.uint8)) for wide in sums}
+    for lo in range(0, len(h), span):  # a span's sums serve all sizes while they are in the cache
+        for size, (which, prints, lists) in index.sizes.items():
+            hi = min(lo + span, len(h) - size + 1)
+            if size == 1 or lo >= hi:
+                continue
+            for b, (value, _) in enumerate(lists):
+                near[b][value] = True
+            look(_simhash(sums[_wide(size)], slice(lo, hi), size - 1, rooms[_wide(size)]), lo, size, which, prints, lists)
+            for b, (value, _) in enumerate(lists):
+                near[b][value] = False
+    for size, (which, prints, lists) in index.sizes.items():
+        if size == 1:
             for i, p in zip(which.tolist(), prints, strict=True):
                 for at in np.flatnonzero(mix(h) == p).tolist():
                     hits[int(doc[at]), i].add(at)
             continue
-        acc = np.zeros((8, max(0, len(h) - core + 1)), np.uint8)
-        n = acc.shape[1]
-        for b in range(64):
-            row = sums[b]
-            over = (row[n_feat : n_feat + n] - row[:n]) > wide(n_feat // 2)
-            acc[b >> 3] |= over.view(np.uint8) << np.uint8(b & 7)
-        at = np.flatnonzero(last[:n] >= np.arange(n) + core) if n else np.zeros(0, np.int64)
-        fp = np.ascontiguousarray(acc.T).view(np.uint64)[:, 0][at] if n else np.zeros(0, np.uint64)
-        short = np.flatnonzero((n_words > 1) & (n_words < core))  # whole texts too short for the core
+        short = np.flatnonzero((n_words > 1) & (n_words < size))  # whole texts shorter than the item
         if len(short):
-            a, e = first[short], first[short + 1] - 1
-            count = sums[:, e] - sums[:, a]
-            whole = count > ((e - a) // 2).astype(wide)[None, :]
-            fp = np.r_[fp, np.packbits(whole.T, axis=1, bitorder="little").view(np.uint64)[:, 0]]
-            at = np.r_[at, a]
-        for b, (start, entry) in enumerate(lists):
-            value = ((fp >> np.uint64(_BITS * b)) & np.uint64(0xFFFF)).astype(np.int32)
-            many = start[value + 1] - start[value]
-            got = np.flatnonzero(many)
-            if not len(got):
-                continue
-            rep = np.repeat(got, many[got])
-            inner = np.arange(len(rep)) - np.repeat(np.cumsum(many[got]) - many[got], many[got])
-            item = entry[start[value[rep]] + inner]
-            ok = np.bitwise_count(fp[rep] ^ prints[item]) <= radius
-            for a, i in zip(at[rep[ok]].tolist(), which[item[ok]].tolist(), strict=True):
-                hits[int(doc[a]), i].add(a)
+            for b, (value, _) in enumerate(lists):
+                near[b][value] = True
+            for n in np.unique(n_words[short]).tolist():
+                at = first[:-1][short[n_words[short] == n]]
+                look(_simhash(sums[_wide(size)], at, n - 1), at, size, which, prints, lists)
+            for b, (value, _) in enumerate(lists):
+                near[b][value] = False
     if not hits:
         return
     s, s_first = w.shingles(k)
@@ -176,9 +235,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     """(doc_id, item_id, start_word, n_item_words, similarity): the best window of each text for each item it holds."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Slices by a hash of the item: each has about items_a_slice items whatever the benchmark's size.
-    n = benchmark.count()
-    slices = max(1, -(-n // items_a_slice))
+    slices = max(1, -(-benchmark.count() // items_a_slice))
     out = []
     for part in range(slices):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == part).select("item_id", "text").collect()
@@ -192,6 +251,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
                 cols = list(zip(*found, strict=True)) if found else [[]] * 5
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[4], pa.float64())], names=["doc_id", "item_id", "start_word", "n_item_words", "similarity"])
 
-        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        out.append(ids.mapInArrow(scan, "doc_id long, item_id long, start_word long, n_item_words long, similarity double"))
+        found = ids.mapInArrow(scan, "doc_id long, item_id long, start_word long, n_item_words long, similarity double")
+        if slices > 1:
+            found = written(found, "contaminated")
+            index.destroy()
+        out.append(found)
     return reduce(DataFrame.unionByName, out)
