@@ -3,20 +3,26 @@
 Each text's set of distinct 5-word shingles is put in one global order:
 shingles common in the corpus last, otherwise by hash. Two sets with Jaccard
 >= t share a shingle among their first ``n - ceil(t * n) + 1`` ones, so only
-those prefixes are joined. Texts with the same prefix and size form one group;
-groups are joined, group pairs filtered by size, then expanded to their
-members (one per distinct set) and verified on the whole sets.
-
-A large family of near copies would make all its pairs candidates. So pairs are
-first verified in a few rounds of stars (each member with one centre), which is
-linear, and only pairs that the links so far leave in different components are
-then joined in full, with the overlap bound that the prefixes give. No link
-between components is lost; links inside a component do not change the result.
+those prefixes are joined. Texts with the same prefix and size form one group
+with one list of postings. Groups are joined by shingle and band of sizes, group
+pairs filtered by size, by the place of the shingle they share and by the overlap
+of their prefixes, and only then expanded to their members (one per distinct
+set), which are verified on the whole sets.
+
+A large family of near copies would make all its pairs candidates. So group
+pairs are first taken in a few rounds of stars (each group with one centre, each
+member with one member of it), which is linear, and in the full join that
+follows only members that the links so far leave in different components are
+paired. No link between components is lost; links inside a component do not
+change the result. Bands of sizes split the postings of a shingle that very many
+texts share; adaptive execution splits what is left of such a join.
 
 Edge cases: null, empty or blank text has no shingle, size 0 and its own
 component; texts of 1-4 words have one shingle; identical sets (repeated rows
 included) are one class and share a component; doc_id must be unique and not
-null (a null one is returned as its own row with a null component).
+null (a null one is returned as its own row with a null component); an empty
+table gives an empty result; other columns are ignored; a long text is one set,
+worked on whole.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -157,6 +163,46 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFra
     return both.where(F.expr(f"100 * i >= {percent} * (size(x) + size(y) - i)")).select("a", "b")
 
 
+def _band(n: str, percent: int) -> Column:
+    """Sizes in bands; sets that can be similar are of one band or of neighbouring ones."""
+    return F.floor(F.log(n) / float(np.log(100 / percent)))
+
+
+def _star(at: DataFrame, of: DataFrame, states: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members: those of a group with the pivot of the group they share most with, or of their own."""
+    weight = at.groupBy("token", "band", "lo").agg(F.sum("members").alias("c"), F.min_by(F.struct("gid", "hi"), F.xxhash64("pivot")).alias("m"))
+    centre = weight.groupBy("token", "band").agg(F.max_by(F.struct(F.col("m.gid").alias("centre"), F.col("lo").alias("clo"), F.col("m.hi").alias("chi")), F.struct("c", F.negative("lo"))).alias("m"))
+    seen = at.join(centre.select("token", "band", "m.*"), ["token", "band"]).where("gid <> centre and not (lo = hi and clo = chi and lo = clo)")
+    # A star only saves pairs later, so it takes the likely links: half of the overlap that both prefixes must show.
+    likely = seen.groupBy("gid", "n", "centre").agg(F.count("*").alias("c")).where(f"2 * c >= ceil({2 * percent} * n / {100 + percent}) - floor({percent} * n / 100)")
+    best = likely.groupBy("gid").agg(F.max_by("centre", F.struct("c", F.negative("centre"))).alias("centre"))
+    inside = states.where("lo < hi").select("gid", F.col("gid").alias("centre"))
+    pivots = of.join(states.select(F.col("pivot").alias("id")), "id", "left_semi").select(F.col("gid").alias("centre"), F.col("id").alias("pivot"), F.col("comp").alias("pcomp"))
+    both = of.join(best.unionByName(inside), "gid").join(pivots, "centre").where("comp <> pcomp")
+    return both.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
+def _rest(at: DataFrame, of: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of members of two components that the group pairs' filters leave."""
+    # Of two sets the smaller one needs only the prefix for partners of its size or more.
+    x = at.where(f"pos <= n - ceil({2 * percent} * n / {100 + percent})").withColumn("top", F.floor(100 * F.col("n") / percent))
+    x = x.select("token", F.explode(F.sequence("band", _band("top", percent))).alias("band"), F.col("gid").alias("ga"), F.col("n").alias("na"), F.col("lo").alias("la"), F.col("hi").alias("ha"), (F.col("n") - F.col("pos")).alias("ra"))
+    y = at.select("token", "band", F.col("gid").alias("gb"), F.col("n").alias("nb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), (F.col("n") - F.col("pos")).alias("rb"))
+    # The first shingle that a pair shares leaves it enough others on both sides.
+    close = f"(na < nb or na = nb and ga < gb) and not (la = ha and lb = hb and la = lb) and 100 * na >= {percent} * nb and {100 + percent} * least(ra, rb) >= {percent} * (na + nb)"
+    pairs = written(x.join(y, ["token", "band"]).where(close).select("ga", "gb").distinct(), "near")
+    # Past the prefix that ends first, at most its set's rest can still be shared.
+    both = pairs.join(prefixes.toDF("ga", "na", "pa"), "ga").join(prefixes.toDF("gb", "nb", "pb"), "gb")
+    rest = f"floor({percent} * greatest(na, nb) / 100)"
+    pairs = both.where(f"{100 + percent} * (size(array_intersect(pa, pb)) + {rest}) >= {percent} * (na + nb)").select("ga", "gb")
+    # Members of a group share all of its prefix: a group of several components is a pair with itself.
+    own = of.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
+    a = of.select(F.col("gid").alias("ga"), F.col("id").alias("a"), F.col("comp").alias("ca"))
+    b = of.select(F.col("gid").alias("gb"), F.col("id").alias("b"), F.col("comp").alias("cb"))
+    found = written(pairs.unionByName(own), "grouppairs").join(a, "ga").join(b, "gb").where("ca <> cb and (ga <> gb or a < b)")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def ngram_jaccard_join(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, group_id) for every row of ``docs`` (doc_id, text).
 
@@ -170,52 +216,29 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 80, k: int = K) -> DataFr
 
     sets = signed.where("n > 0 and doc_id is not null")
     classes = written(sets.groupBy("n", "fp").agg(F.min_by(F.struct("doc_id", "grp"), "doc_id").alias("m")).select("n", "fp", F.col("m.doc_id").alias("id"), F.col("m.grp").alias("grp")), "classes")
-    groups = classes.groupBy("grp", "n").agg(F.min("id").alias("gid"), F.count("*").alias("members"))
-    groups = written(groups, "groups")
+    groups = written(classes.groupBy("grp", "n").agg(F.min("id").alias("gid"), F.count("*").alias("members")), "groups")
     members = written(classes.join(groups, ["grp", "n"]).select("id", "gid", "n", "members"), "members")
+    prefixes = written(signed.join(groups.select(F.col("gid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), "n", "prefix"), "prefixes")
 
-    # Postings of one member of each group, of the tokens that two groups share.
-    heads = signed.join(groups.select(F.col("gid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), F.posexplode("prefix").alias("pos", "token"))
+    # Postings of groups, of the shingles that two of them share.
+    heads = prefixes.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = heads.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    postings = heads.join(shared, "token", "left_semi")
-    expanded = postings.join(members, "gid").select("token", "id", "n", "pos")
-    # Members of a group share all of its prefix: the group stands for one more token.
-    inside = members.where("members > 1").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "id", "n", F.lit(0).alias("pos"))
-    lists = written(expanded.unionByName(inside), "postings")
-
-    links = None
-    comp = None
+    lists = written(heads.join(shared, "token", "left_semi"), "postings")
+
+    links = comp = None
     for r in range(ROUNDS + 1):
-        at = lists.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component") if comp is not None else lists.withColumn("comp", F.col("id"))
-        if comp is not None:
-            mixed = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+        of = members.join(comp, "id", "left") if comp is not None else members.withColumn("component", F.lit(None).cast("long"))
+        of = written(of.select("id", "gid", "n", F.coalesce("component", "id").alias("comp")), "states")
+        # Of each group its components, first and last, its members, and this round's pivot among them.
+        pick = F.xxhash64("id", F.lit(r)) if r else F.col("id")
+        states = of.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.min_by("id", pick).alias("pivot"))
+        at = lists.join(states, "gid")
+        if r:
+            mixed = at.groupBy("token").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("token")
             at = at.join(mixed, "token", "left_semi")
-        if r < ROUNDS:
-            # The centre of a list and size band; each member of another component keeps the centre it shares most with.
-            at = at.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent))))
-            pick = F.xxhash64("id", F.lit(r)) if r else F.col("id")
-            weight = at.groupBy("token", "band", "comp").agg(F.count("*").alias("c"), F.min_by("id", pick).alias("centre"))
-            centre = weight.groupBy("token", "band").agg(F.max_by(F.struct(F.col("centre"), F.col("comp").alias("ccomp"), F.col("c")), F.struct("c", F.negative("comp"))).alias("m"))
-            centre = centre.select("token", "band", "m.centre", "m.ccomp")
-            seen = at.join(centre, ["token", "band"]).where("comp <> ccomp and id <> centre")
-            # A star only saves pairs later, so it takes the likely links: half of the overlap that both prefixes must show.
-            likely = seen.groupBy("id", "n", "centre").agg(F.count("*").alias("c")).where(f"2 * c >= ceil({2 * percent} * n / {100 + percent}) - floor({percent} * n / 100)")
-            pairs = likely.groupBy("id").agg(F.max_by("centre", F.struct("c", F.negative("centre"))).alias("centre"))
-            pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        else:
-            # Of two sets the smaller one (a) needs only the prefix for partners of its size or more.
-            x = at.where(f"pos <= n - ceil({2 * percent} * n / {100 + percent})").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), (F.col("n") - F.col("pos")).alias("ra"))
-            y = at.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), (F.col("n") - F.col("pos")).alias("rb"))
-            # The first token that a pair shares leaves it enough others on both sides.
-            close = f"(na < nb or na = nb and a < b) and ca <> cb and 100 * na >= {percent} * nb and {100 + percent} * least(ra, rb) >= {percent} * (na + nb)"
-            pairs = written(x.join(y, "token").where(close).select("a", "b").distinct(), "near")
-            # Past the prefix that ends first, at most its set's rest can still be shared.
-            part = signed.select("doc_id", "n", "prefix")
-            both = pairs.join(part.toDF("a", "na", "pa"), "a").join(part.toDF("b", "nb", "pb"), "b")
-            rest = f"floor({percent} * greatest(na, nb) / 100)"
-            pairs = both.where(f"{100 + percent} * (size(array_intersect(pa, pb)) + {rest}) >= {percent} * (na + nb)").select("a", "b")
-        pairs = written(pairs, "pairs")
-        new = verified(docs, pairs, percent, k)
+        at = at.withColumn("band", _band("n", percent))
+        pairs = _star(at, of, states, percent) if r < ROUNDS else _rest(at, of, prefixes, percent)
+        new = verified(docs, written(pairs, "pairs"), percent, k)
         links = written(new if links is None else links.unionByName(new).distinct(), "links")
         comp = written(components(links), "component")
 
