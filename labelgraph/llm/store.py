@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set."""
+    """The cluster's shared folder; one of our own only where none is set and driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = "file://" + tempfile.mkdtemp(prefix="labelgraph-")
         spark.sparkContext.setCheckpointDir(current)
     return current.rstrip("/")
@@ -55,11 +58,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Whole texts may be long, so fewer of them go to Python at once, unless the session sets its own number."""
+    """Whole texts may be long, so fewer of them go to Python at once, unless the session sets its own number.
+
+    Plans read this setting when they run, after the operator has returned, so it stays set.
+    """
     if spark.conf.get(_ROWS) == "10000":
         spark.conf.set(_ROWS, str(rows))
 
 
+def relieved(spark: SparkSession) -> None:
+    """Executors collect their garbage and return the memory, before a step that needs it in Python."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def released(table: DataFrame) -> None:
     """Delete a table that ``written`` made and let Spark drop shuffle files that nothing refers to any more."""
     jvm = table.sparkSession.sparkContext._jvm

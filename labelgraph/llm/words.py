@@ -21,9 +21,10 @@ import pyarrow.compute as pc
 CHUNK = 1 << 19
 K = 5
 
-# Large arrays go back to the system when they are freed, not to the worker's heap.
+# Large arrays go back to the system when they are freed, not to the worker's heap, and so do Arrow's.
 with contextlib.suppress(OSError, AttributeError):
     ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+pa.set_memory_pool(pa.system_memory_pool())
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
@@ -96,6 +97,10 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Re
     for batch in batches:
         for lo in range(0, len(batch), rows):
             yield batch.slice(lo, rows)
+    if len(_powers[0]) > CHUNK + 1:  # grown for a long text
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def chunks(off: np.ndarray, size: int = CHUNK, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
