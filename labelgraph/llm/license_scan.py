@@ -5,9 +5,10 @@ fixed table of license texts and notices. Each hit votes for a diagonal, its
 place in the text less its place in the template. Diagonals within ``MERGE`` of
 each other merge, so that inserted, dropped or replaced words do not split a
 match, and a merged span is verified: at least ``LEAST`` distinct places of the
-template must vote, and the votes must fill ``DENSE`` of the span. Word runs that
-templates of two labels share do not vote. The score is the largest share of a
-template that one span covers.
+template must vote, they must be ``DENSE`` of those between the first and the
+last one, and the span may be ``STRETCH`` times as long as that part of the
+template. Word runs that templates of two labels share do not vote. The score is
+the largest share of a template's votes that one span has.
 
 Short phrases (the base) are templates of two-word hashes that must hold all of
 theirs on one diagonal, so they match exactly where their words stand
@@ -29,7 +30,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-K, MERGE, LEAST, DENSE = 5, 5, 8, 0.4
+K, MERGE, LEAST, DENSE, STRETCH = 5, 5, 8, 0.4, 1.5
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -88,8 +89,8 @@ TEMPLATES = [
 ]
 
 
-def _grams() -> list[tuple[list[str], int, int, int, bool, str]]:
-    """(words, template, place, voting hashes of the template, base, label); runs of words under two labels are left out."""
+def _grams() -> list[tuple[list[str], int, int, int, int, bool, str]]:
+    """(words, template, place, rank among and number of the voting hashes of the template, base, label); runs of words under two labels are left out."""
     rows, labels = [], {}
     for t, (text, label) in enumerate([*PHRASES, *TEMPLATES]):
         base = t < len(PHRASES)
@@ -99,16 +100,21 @@ def _grams() -> list[tuple[list[str], int, int, int, bool, str]]:
             labels.setdefault((base, *w[i : i + k]), set()).add(label)
     rows = [r for r in rows if r[3] or len(labels[(False, *r[0])]) == 1]
     voting = Counter(r[1] for r in rows)
-    return [(w, t, i, voting[t], base, label) for w, t, i, base, label in rows]
+    rank = Counter()
+    out = []
+    for w, t, i, base, label in rows:
+        out.append((w, t, i, rank[t], voting[t], base, label))
+        rank[t] += 1
+    return out
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    """(h, template, place, size, base, label): the hash of every gram."""
+    """(h, template, place, rank, size, base, label): the hash of every gram."""
     out = []
     for k, base in ((2, True), (K, False)):
         names = ", ".join(f"w{i}" for i in range(k))
-        rows = ", ".join("(" + ", ".join(f"'{x}'" for x in w) + f", {t}, {i}, {n}, {str(b).lower()}, '{label}')" for w, t, i, n, b, label in _grams() if b == base)
-        out.append(spark.sql(f"SELECT xxhash64({names}) AS h, template, place, size, base, label FROM VALUES {rows} AS t({names}, template, place, size, base, label)"))
+        rows = ", ".join("(" + ", ".join(f"'{x}'" for x in w) + f", {t}, {i}, {v}, {n}, {str(b).lower()}, '{label}')" for w, t, i, v, n, b, label in _grams() if b == base)
+        out.append(spark.sql(f"SELECT xxhash64({names}) AS h, template, place, rank, size, base, label FROM VALUES {rows} AS t({names}, template, place, rank, size, base, label)"))
     return out[0].unionByName(out[1])
 
 
@@ -128,18 +134,18 @@ def license_scan(docs: DataFrame) -> DataFrame:
     packed = F.transform(F.array(w), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), hashes(w).alias("hashes")))[0]
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", packed.alias("p"))
     grams = texts.select("row", "doc_id", F.col("p.n_words").alias("n_words"), F.inline("p.hashes").alias("at", "h"))
-    none = spark.sql("SELECT 0L AS h, -1 AS template, 0 AS place, 1 AS size, false AS base, '' AS label")
+    none = spark.sql("SELECT 0L AS h, -1 AS template, 0 AS place, 0 AS rank, 1 AS size, false AS base, '' AS label")
     hits = grams.join(F.broadcast(_templates(spark).unionByName(none)), "h").where("template >= 0 or at = -1")
     hits = hits.withColumn("diagonal", F.col("at") - F.col("place"))
 
     keys = ["row", "doc_id", "n_words", "template", "size", "base", "label"]
-    votes = hits.repartition("row").groupBy(*keys, "diagonal").agg(F.collect_set("place").alias("places"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    votes = hits.repartition("row").groupBy(*keys, "diagonal").agg(F.collect_set("place").alias("places"), F.min("at").alias("lo"), F.max("at").alias("hi"), *(f(c).alias(f"{c}_{n}") for c in ("place", "rank") for f, n in ((F.min, "lo"), (F.max, "hi"))))
     by = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > MERGE, F.lit(True))
     spans = votes.withColumn("new", apart.cast("int")).withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy(*keys, "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("diagonal"))
+    spans = spans.groupBy(*keys, "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *(f(f"{c}_{n}").alias(f"{c}_{n}") for c in ("place", "rank") for f, n in ((F.min, "lo"), (F.max, "hi"))))
     spans = spans.withColumn("score", F.col("votes") / F.col("size").cast("double"))
-    good = F.when(F.col("base"), F.col("votes") == F.col("size")).otherwise((F.col("votes") >= LEAST) & (F.col("votes") >= DENSE * (F.col("hi") - F.col("lo") + 1)))
+    good = F.when(F.col("base"), F.col("votes") == F.col("size")).otherwise(F.expr(f"votes >= {LEAST} and votes >= {DENSE} * (rank_hi - rank_lo + 1) and hi - lo + {K} <= {STRETCH} * (place_hi - place_lo + {K})"))
     spans = spans.withColumn("ok", F.coalesce(good, F.lit(False)) & (F.col("template") >= 0))
 
     base = F.col("ok") & F.col("base")
@@ -158,18 +164,18 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 def oracle_sql() -> str:
     """DuckDB SQL of the contract's columns."""
-    rows = ", ".join(f"({t}, {i}, {n}, {b}, '{label}', '{' '.join(w)}')" for w, t, i, n, b, label in _grams())
+    rows = ", ".join(f"({t}, {i}, {v}, {n}, {b}, '{label}', '{' '.join(w)}')" for w, t, i, v, n, b, label in _grams())
     gram = lambda k: " || ' ' || ".join(f"w[i + {j}]" if j else "w[i]" for j in range(k))
     return f"""
-WITH g(template, place, size, base, label, g) AS (VALUES {rows}),
+WITH g(template, place, rank, size, base, label, g) AS (VALUES {rows}),
 d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') w FROM documents),
 k AS (SELECT doc_id, i - 1 pos, {gram(2)} g FROM d, unnest(range(1, len(w))) u(i) UNION ALL SELECT doc_id, i - 1, {gram(K)} FROM d, unnest(range(1, len(w) - {K - 2})) u(i)),
-h AS (SELECT doc_id, template, label, base, size, place, pos, pos - place diagonal FROM k JOIN g USING (g)),
-v AS (SELECT doc_id, template, label, base, size, diagonal, list(DISTINCT place) places, min(pos) lo, max(pos) hi FROM h GROUP BY ALL),
+h AS (SELECT doc_id, template, label, base, size, place, rank, pos, pos - place diagonal FROM k JOIN g USING (g)),
+v AS (SELECT doc_id, template, label, base, size, diagonal, list(DISTINCT place) places, min(pos) lo, max(pos) hi, min(place) pl, max(place) ph, min(rank) rl, max(rank) rh FROM h GROUP BY ALL),
 s AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER o > {MERGE}, true) THEN 1 ELSE 0 END fresh FROM v WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 c AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) span FROM s),
-m AS (SELECT doc_id, template, label, base, size, span, len(list_distinct(flatten(list(places)))) votes, min(lo) lo, max(hi) hi FROM c GROUP BY ALL),
-ok AS (SELECT *, votes / size::DOUBLE score FROM m WHERE CASE WHEN base THEN votes = size ELSE votes >= {LEAST} AND votes >= {DENSE} * (hi - lo + 1) END),
+m AS (SELECT doc_id, template, label, base, size, span, len(list_distinct(flatten(list(places)))) votes, min(lo) lo, max(hi) hi, min(pl) pl, max(ph) ph, min(rl) rl, max(rh) rh FROM c GROUP BY ALL),
+ok AS (SELECT *, votes / size::DOUBLE score FROM m WHERE CASE WHEN base THEN votes = size ELSE votes >= {LEAST} AND votes >= {DENSE} * (rh - rl + 1) AND hi - lo + {K} <= {STRETCH} * (ph - pl + {K}) END),
 r AS (SELECT doc_id, count(*) FILTER (base) n_base, min(lo) FILTER (base) first_word, max(lo) FILTER (base) last_word,
  coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ','), '') base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') labels, max(least(score, 1.0)) score FROM ok GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_base, 0)::BIGINT n_base, first_word::BIGINT first_word, last_word::BIGINT last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, 0)::DOUBLE score
