@@ -4,8 +4,8 @@ Words are runs of letters and digits of the lower-cased text (ASCII punctuation
 separates), so that case, spacing and punctuation do not hide a passage.
 Every benchmark item of L words has a 64-bit SimHash of its two-word features,
 and so has every window of L words of every text, for every L that occurs. The
-64 bit counts of a window are differences of running sums, kept modulo 256
-(for items beyond 256 words modulo 2**16 or 2**32). Fingerprints meet by multi-index
+64 bit counts of a window are differences of running sums, kept eight (for items
+beyond 256 words four or two) to a 64-bit number. Fingerprints meet by multi-index
 hashing: with 4 blocks of 16 bits, two within ``radius`` bits agree in some
 block to within radius // 4 bits, so a lookup of all such block values finds all
 of them. Each candidate is then verified exactly: the bags of 5-word shingles
@@ -42,6 +42,8 @@ from .words import K, PUNCTUATION, Words, chunks, mix, parts, text_buffers, whol
 
 RADIUS = 11
 SHIFT = 4
+#: A size of up to so many items has its candidates compared with all of them.
+FEW = 32
 ITEMS = 20_000
 _B, _BITS = 4, 16
 _PAIR = np.uint64(0x9FB21C651E98DF25)
@@ -68,7 +70,8 @@ def _near(radius: int) -> np.ndarray:
 class Index:
     """Items by size; each size has its fingerprints and, for each block, the values near them in order with their items."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int, k: int):
+    def __init__(self, items: list[tuple[int, str]], radius: int, k: int, few: int = FEW):
+        self.few = few
         self.sizes: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}
         self.items = []
         by: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -77,7 +80,7 @@ class Index:
             n = len(w.hash)
             if not n:
                 continue
-            print_ = int(_whole(_simhash(_sums(w.hash, _wide(n)), np.zeros(1, np.int64), n - 1))[0]) if n > 1 else int(mix(w.hash[:1])[0])
+            print_ = int(_simhash(_sums(w.hash, _width(n)), np.zeros(1, np.int64), n - 1)[0]) if n > 1 else int(mix(w.hash[:1])[0])
             by[n].append((len(self.items), print_))
             self.items.append((item_id, n, Counter(w.shingles(k)[0].tolist())))
         masks = _near(radius // _B)
@@ -92,46 +95,43 @@ class Index:
             self.sizes[size] = (which, prints, lists)
 
 
-def _sums(h: np.ndarray, wide: type) -> np.ndarray:
-    """Running sums of the 64 feature bits of word hashes ``h``, (64, words), modulo what ``wide`` holds."""
+def _sums(h: np.ndarray, width: int) -> np.ndarray:
+    """Running sums of the feature bits of word hashes ``h`` in lanes of ``width`` bits, (width, words).
+
+    Row r has bits r, r + width, r + 2 * width ... of the features, one a lane. Differences of
+    two sums are taken modulo 2**64 and have the lanes' counts, whatever the sums carried.
+    """
     f = _features(h)
-    out = np.zeros((64, len(f) + 1), wide)
-    np.cumsum(np.unpackbits(f.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T, axis=1, dtype=wide, out=out[:, 1:])
+    lanes = np.uint64(sum(1 << (width * i) for i in range(64 // width)))
+    out = np.zeros((width, len(f) + 1), np.uint64)
+    for r in range(width):
+        np.cumsum((f >> np.uint64(r)) & lanes, out=out[r, 1:])
     return out
 
 
-def _wide(size: int) -> type:
-    return np.uint8 if size <= 256 else np.uint16 if size <= 65536 else np.uint32
-
+def _width(size: int) -> int:
+    return 8 if size <= 256 else 16 if size <= 65536 else 32
 
-_PLACE = (1 << (np.arange(64) % 8)).astype(np.uint8)[:, None]
 
+def _simhash(sums: np.ndarray, at: np.ndarray | slice, n: int, room: np.ndarray | None = None) -> np.ndarray:
+    """Fingerprints of the windows of ``n`` features from each of ``at`` on: bits set in over half of them.
 
-def _simhash(sums: np.ndarray, at: np.ndarray | slice, n: int, room: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """(8, windows) bytes of the fingerprints of the windows of ``n`` features from each of ``at`` on: bits set in over half of them.
-
-    ``at`` may be a slice of consecutive places; then ``room`` may have two arrays to work in.
+    ``at`` may be a slice of consecutive places; then ``room`` may have an array to work in.
     """
-    half = sums.dtype.type(n // 2)
+    width = len(sums)
+    top = np.uint64(sum(1 << (width * i + width - 1) for i in range(64 // width)))
+    more = np.uint64(sum(((1 << (width - 1)) - n // 2 - 1) << (width * i) for i in range(64 // width)))
     if room is None:
-        after = slice(at.start + n, at.stop + n) if isinstance(at, slice) else at + n
-        over = (sums[:, after] - sums[:, at] > half).view(np.uint8)
+        x = sums[:, slice(at.start + n, at.stop + n) if isinstance(at, slice) else at + n] - sums[:, at]
     else:
-        many = at.stop - at.start
-        x, over = room[0][: 64 * many].reshape(64, many), room[1][: 64 * many].reshape(64, many)
+        x = room[: width * (at.stop - at.start)].reshape(width, -1)
         np.subtract(sums[:, at.start + n : at.stop + n], sums[:, at], out=x)
-        np.greater(x, half, out=over.view(bool))
-    over *= _PLACE
-    return np.bitwise_or.reduce(over.reshape(8, 8, -1), axis=1)
-
+    np.add(x, more, out=x)
+    np.bitwise_and(x, top, out=x)
+    np.right_shift(x, np.arange(width - 1, -1, -1, dtype=np.uint64)[:, None], out=x)  # counts' top bits back to their places in the features
+    return np.bitwise_or.reduce(x, axis=0)
 
-def _whole(prints: np.ndarray) -> np.ndarray:
-    """(8, windows) bytes as 64-bit fingerprints."""
-    return np.ascontiguousarray(prints.T).view(np.uint64)[:, 0]
 
-
-#: A size of up to so many items has its candidates compared with all of them.
-_FEW = 32
 _SPAN = 16384  # windows worked on at once, so that they stay in the processor's cache
 
 
@@ -141,7 +141,7 @@ def _match(w: Words, index: Index, radius: int, k: int, similarity: float) -> It
     n_words = np.diff(first)
     if not len(h) or not index.sizes:
         return
-    sums = {wide: _sums(h, wide) for wide in {_wide(size) for size in index.sizes if size > 1}}
+    sums = {width: _sums(h, width) for width in {_width(size) for size in index.sizes if size > 1}}
     doc = np.repeat(np.arange(len(n_words)), n_words)
     last = first[1:][doc]  # end of each word's text
     room = last - np.arange(len(h))
@@ -153,17 +153,17 @@ def _match(w: Words, index: Index, radius: int, k: int, similarity: float) -> It
             hits[int(doc[a]), x].add(a)
 
     def look(fp: np.ndarray, at: np.ndarray | int, size: int, which: np.ndarray, prints: np.ndarray, lists: list) -> None:
-        blocks = fp[1::2].astype(np.uint16) << np.uint16(8) | fp[::2]
-        some = near[0].take(blocks[0], mode="wrap")
+        blocks = fp.view(np.uint16).reshape(-1, _B).T.astype(np.intp, order="C")
+        some = near[0].take(blocks[0], mode="clip")
         for b in range(1, _B):
-            some |= near[b].take(blocks[b], mode="wrap")
+            some |= near[b].take(blocks[b], mode="clip")
         some = np.flatnonzero(some)
         if isinstance(at, int):
             some = some[room[some + at] >= size]  # windows inside one text
         if not len(some):
             return
-        fp = _whole(fp[:, some])
-        if len(prints) <= _FEW:  # found by a block; compare with all items of the size
+        fp = fp[some]
+        if len(prints) <= index.few:  # found by a block; compare with all items of the size
             rep, i = np.nonzero(np.bitwise_count(fp[:, None] ^ prints[None, :]) <= radius)
             add(some[rep] + at if isinstance(at, int) else at[some[rep]], which[i])
             return
@@ -172,15 +172,16 @@ def _match(w: Words, index: Index, radius: int, k: int, similarity: float) -> It
             mine = np.flatnonzero(near[b].take(blocks[b]))
             if not len(mine):
                 continue
-            lo = np.searchsorted(value, blocks[b, mine], "left")
-            many = np.searchsorted(value, blocks[b, mine], "right") - lo
+            key = blocks[b, mine].astype(np.uint16)
+            lo = np.searchsorted(value, key, "left")
+            many = np.searchsorted(value, key, "right") - lo
             rep = np.repeat(mine, many)
             i = item[np.repeat(lo, many) + np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)]
             ok = np.flatnonzero(np.bitwise_count(fp[rep] ^ prints[i]) <= radius)
             add(some[rep[ok]] + at if isinstance(at, int) else at[some[rep[ok]]], which[i[ok]])
 
     span = -(-len(h) // -(-len(h) // _SPAN))
-    rooms = {wide: (np.empty(64 * span, wide), np.empty(64 * span, np.uint8)) for wide in sums}
+    rooms = {width: np.empty(width * span, np.uint64) for width in sums}
     for lo in range(0, len(h), span):  # a span's sums serve all sizes while they are in the cache
         for size, (which, prints, lists) in index.sizes.items():
             hi = min(lo + span, len(h) - size + 1)
@@ -188,7 +189,7 @@ def _match(w: Words, index: Index, radius: int, k: int, similarity: float) -> It
                 continue
             for b, (value, _) in enumerate(lists):
                 near[b][value] = True
-            look(_simhash(sums[_wide(size)], slice(lo, hi), size - 1, rooms[_wide(size)]), lo, size, which, prints, lists)
+            look(_simhash(sums[_width(size)], slice(lo, hi), size - 1, rooms[_width(size)]), lo, size, which, prints, lists)
             for b, (value, _) in enumerate(lists):
                 near[b][value] = False
     for size, (which, prints, lists) in index.sizes.items():
@@ -203,7 +204,7 @@ def _match(w: Words, index: Index, radius: int, k: int, similarity: float) -> It
                 near[b][value] = True
             for n in np.unique(n_words[short]).tolist():
                 at = first[:-1][short[n_words[short] == n]]
-                look(_simhash(sums[_wide(size)], at, n - 1), at, size, which, prints, lists)
+                look(_simhash(sums[_width(size)], at, n - 1), at, size, which, prints, lists)
             for b, (value, _) in enumerate(lists):
                 near[b][value] = False
     if not hits:
@@ -231,7 +232,7 @@ def _match(w: Words, index: Index, radius: int, k: int, similarity: float) -> It
             yield d, i, -best[1], best[0]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = RADIUS, k: int = K, items_a_slice: int = ITEMS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = RADIUS, k: int = K, items_a_slice: int = ITEMS, few: int = FEW) -> DataFrame:
     """(doc_id, item_id, start_word, n_item_words, similarity): the best window of each text for each item it holds."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -241,7 +242,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     out = []
     for part in range(slices):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == part).select("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), radius, k))
+        index = spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), radius, k, few))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in parts(batches):

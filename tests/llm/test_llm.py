@@ -370,7 +370,8 @@ def test_contamination(spark, docs):
     assert contamination(df, bench.limit(0)).count() == 0 and contamination(df.limit(0), bench).count() == 0
 
 
-def test_contamination_finds_all_edited_passages(spark):
+@pytest.mark.parametrize("few", [32, 0])  # with candidates compared to all items of a size, and by lists
+def test_contamination_finds_all_edited_passages(spark, few):
     """Against all windows of an item's size, compared by their bags of shingles."""
     r = random.Random(21)
     items = [(i, words(r, n, 9999)) for i, n in enumerate((15, 17, 22, 30, 31, 47, 64, 129, 200, 300, 300))]
@@ -393,7 +394,7 @@ def test_contamination_finds_all_edited_passages(spark):
                     break
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
-    got = {(x["doc_id"], x["item_id"]) for x in contamination(df, bench).collect()}
+    got = {(x["doc_id"], x["item_id"]) for x in contamination(df, bench, few=few).collect()}
     assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 100
 
 
