@@ -11,17 +11,20 @@ attribute, closed dialogs, inline ``display: none`` or ``visibility: hidden``, a
 simple rules of the page's own style sheets (tag, .class, #id) that say so.
 
 Nothing is cut: cells wider than ``WIDE`` are emitted whole, only not padded for.
-Elements nested deeper than ``DEPTH`` become siblings of the deepest one.
+Elements nested deeper than ``DEPTH``, as deep as usual browsers go, become siblings
+of the deepest one; their text stays.
 
 Edge cases: null html gives null text; empty or textless pages give "";
 repeated rows are rendered each; extra columns stay (one named like an output is
-replaced).
+replaced); an empty table gives an empty result; of attributes of one name the
+first holds; a long page is one tree, rendered whole.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark.sql.types import StructType
 
 from .store import bounded_batches
 
-WIDE, DEPTH = 40, 200
+WIDE, DEPTH = 40, 512
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
@@ -401,6 +404,7 @@ class _Renderer:
 
 
 def page_text(page: str) -> str:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEPTH))
     root, styles = parse(page)
     w = _Writer()
     body = Node("html", {})

@@ -17,7 +17,8 @@ and used only as often as pieces remain.
 
 Edge cases: null or empty text is one piece, its end token; repeated rows are
 packed each; equal lengths are placed by their rank; an empty table gives an
-empty result; other columns of the input are not used.
+empty result; a null doc_id is kept as null; other columns of the input are not used;
+a long text is encoded whole, then cut.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ tasks leave nothing that is read. Shards hold about ``SHARD`` bytes of text.
 
 Edge cases: null or empty text is its end id alone; a null doc_id is kept as
 the least long and returned as null, first; repeated doc_ids follow each other;
-an empty table gives no shard and an empty result.
+an empty table gives no shard and an empty result; other columns are not used; a
+long text is one document of one shard, which is then as large as it.
 """
 
 from __future__ import annotations
