@@ -23,7 +23,7 @@ only fingerprints; what they find returns as one bit a suffix, in order.
 Edge cases: null text is empty; texts shorter than LENGTH lose nothing; a text
 wholly removed has kept_sha256 of the empty string; rows that repeat a doc_id
 with the same text count as one document and are returned each; rows with a null
-doc_id come after all others, and only as copies of whole texts; different texts under one
+doc_id lose nothing and count for no other row; different texts under one
 doc_id have no defined order; an empty table gives an empty result; other columns
 are not used; a long text is one block, whole.
 """
