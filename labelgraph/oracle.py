@@ -292,8 +292,8 @@ def quantities(key: str) -> str:
 
 _FALL = [
     "nofnd AS (SELECT * FROM nod WHERE label = 'NUTRIENT' AND NOT EXISTS (SELECT 1 FROM fnd WHERE fnd.image_id = nod.image_id AND fnd.nutrient = nod.tok_idx))",
-    "fl0 AS (SELECT n.image_id, n.tok_idx nutrient, q.tok_idx q, abs(q.cy - n.cy) d, CASE WHEN abs(q.cy - n.cy) <= 2.5 * greatest(n.y2 - n.y1, 20) THEN 'tight' ELSE 'wide' END band FROM nofnd n JOIN nod q ON q.image_id = n.image_id AND q.label = 'QUANTITY' AND q.cx > n.cx AND abs(q.cy - n.cy) <= 8.0 * greatest(n.y2 - n.y1, 20))",
-    "fall AS (SELECT image_id, nutrient, q, band FROM (SELECT *, row_number() OVER (PARTITION BY image_id, nutrient ORDER BY band = 'wide', d, q) k FROM fl0) WHERE k = 1)",
+    "fl0 AS (SELECT n.image_id, n.tok_idx nutrient, q.tok_idx q, abs(q.cy - n.cy) d, CASE WHEN abs(q.cy - n.cy) <= 2.5 * greatest(n.y2 - n.y1, 20) THEN 'tight' ELSE 'wide' END band FROM nofnd n JOIN edg e ON e.image_id = n.image_id AND e.src = n.tok_idx AND e.type = 'COL_COMPAT' JOIN nod q ON q.image_id = e.image_id AND q.tok_idx = e.dst AND q.label = 'QUANTITY' WHERE abs(q.cy - n.cy) <= 8.0 * greatest(n.y2 - n.y1, 20))",
+    "fall AS (SELECT image_id, nutrient, q, k AS rank, band FROM (SELECT *, row_number() OVER (PARTITION BY image_id, nutrient ORDER BY band, d, q) k, min(band) OVER (PARTITION BY image_id, nutrient) b FROM fl0) WHERE k <= 3 AND band = b)",
 ]
 
 
@@ -301,20 +301,18 @@ def column_fallback() -> str:
     return edges(2, "SELECT * FROM fall", *_found(), *_FALL)
 
 
+def _ranks(left: str) -> str:
+    return f"r AS (SELECT n.image_id, n.tok_idx nutrient, x.tok_idx q, row_number() OVER (PARTITION BY n.image_id, n.tok_idx ORDER BY x.stream, x.tok_idx) AS rank FROM {left} n JOIN nod x ON x.image_id = n.image_id AND x.label = 'QUANTITY' AND x.stream >= 0 AND x.qty_rank_in_column = n.nutrient_rank_in_column WHERE n.nutrient_rank_in_column >= 0)"
+
+
 def rank_fallback() -> str:
-    return edges(
-        2,
-        "SELECT image_id, nutrient, q, rank FROM r WHERE rank <= 3",
-        *_found(),
-        _FALL[0],
-        "r AS (SELECT n.image_id, n.tok_idx nutrient, x.tok_idx q, row_number() OVER (PARTITION BY n.image_id, n.tok_idx ORDER BY x.stream, x.tok_idx) AS rank FROM nofnd n JOIN nod x ON x.image_id = n.image_id AND x.label = 'QUANTITY' AND x.stream >= 0 AND x.qty_rank_in_column = n.nutrient_rank_in_column WHERE n.nutrient_rank_in_column >= 0)",
-    )
+    return edges(2, "SELECT image_id, nutrient, q, rank FROM r WHERE rank <= 3", *_found(), _FALL[0], _ranks("nofnd"))
 
 
 def _units() -> list[str]:
     pick = lambda kind: f"(SELECT image_id, id, arg_min(norm, {{'p': p, 'd': d, 'o': o}}) u FROM u0 WHERE type = '{kind}' GROUP BY 1, 2)"
     return [
-        "u1 AS (SELECT e.image_id, e.type, x.tok_idx id, o.norm, o.tok_idx o, (o.cx > x.cx AND abs(o.cy - x.cy) <= 0.8 * (x.y2 - x.y1)) rt, o.cx - x.cx dx, abs(o.cy - x.cy) dy FROM edg e JOIN nod x ON x.image_id = e.image_id AND x.tok_idx = e.src AND x.label = 'QUANTITY' JOIN nod o ON o.image_id = e.image_id AND o.tok_idx = e.dst AND o.label = 'UNIT')",
+        "u1 AS (SELECT e.image_id, e.type, x.tok_idx id, o.norm, o.tok_idx o, (o.cx > x.cx AND abs(o.cy - x.cy) <= 0.8 * greatest(x.y2 - x.y1, 15)) rt, o.cx - x.cx dx, abs(o.cy - x.cy) dy FROM edg e JOIN nod x ON x.image_id = e.image_id AND x.tok_idx = e.src AND x.label = 'QUANTITY' JOIN nod o ON o.image_id = e.image_id AND o.tok_idx = e.dst AND o.label = 'UNIT')",
         "u0 AS (SELECT *, CASE WHEN rt THEN 0 ELSE 1 END p, CASE WHEN rt THEN dx ELSE dy END d FROM u1)",
         f"unt AS (SELECT n.image_id, n.tok_idx id, r.u row_unit, a.u adj_unit FROM nod n LEFT JOIN {pick('ROW_COMPAT')} r ON r.image_id = n.image_id AND r.id = n.tok_idx LEFT JOIN {pick('DIRECTIONAL_ADJ')} a ON a.image_id = n.image_id AND a.id = n.tok_idx WHERE n.label = 'QUANTITY')",
     ]
@@ -345,12 +343,16 @@ def tuples() -> str:
         *_FALL,
         *_units(),
         _CTX,
-        "prs AS (SELECT image_id, nutrient, q, rank FROM fnd UNION ALL SELECT image_id, nutrient, q, 1 FROM fall)",
+        "nofall AS (SELECT * FROM nofnd n WHERE NOT EXISTS (SELECT 1 FROM fall WHERE fall.image_id = n.image_id AND fall.nutrient = n.tok_idx))",
+        _ranks("nofall"),
+        "prs AS (SELECT image_id, nutrient, q, rank FROM fnd UNION ALL SELECT image_id, nutrient, q, rank FROM fall UNION ALL SELECT image_id, nutrient, q, rank FROM r WHERE rank <= 3)",
+        "nu1 AS (SELECT p.image_id, p.nutrient, p.q, o.norm, o.tok_idx o, (o.cx > x.cx AND abs(o.cy - x.cy) <= 0.8 * greatest(x.y2 - x.y1, 15)) rt, o.cx - x.cx dx, abs(o.cy - x.cy) dy FROM prs p JOIN nod x ON x.image_id = p.image_id AND x.tok_idx = p.q JOIN edg e ON e.image_id = p.image_id AND e.src = p.nutrient AND e.type = 'ROW_COMPAT' JOIN nod o ON o.image_id = e.image_id AND o.tok_idx = e.dst AND o.label = 'UNIT')",
+        "nun AS (SELECT image_id, nutrient, q, arg_min(norm, {'p': CASE WHEN rt THEN 0 ELSE 1 END, 'd': CASE WHEN rt THEN dx ELSE dy END, 'o': o}) u FROM nu1 GROUP BY 1, 2, 3)",
         f"nam AS (SELECT n.image_id, n.tok_idx nutrient, {_NAME} AS name, n.column_context_id ncol, c.graph_context nctx FROM nod n LEFT JOIN ctx c ON c.image_id = n.image_id AND c.id = n.tok_idx WHERE n.label = 'NUTRIENT')",
         f"qty AS (SELECT n.image_id, n.tok_idx q, {v} AS quantity, coalesce({u}, unt.row_unit, unt.adj_unit) AS unit, coalesce(c.graph_context, n.column_context_id) qctx FROM nod n LEFT JOIN unt ON unt.image_id = n.image_id AND unt.id = n.tok_idx LEFT JOIN ctx c ON c.image_id = n.image_id AND c.id = n.tok_idx WHERE n.label = 'QUANTITY')",
-        "tp1 AS (SELECT nam.*, prs.q, prs.rank, qty.quantity, qty.unit, qty.qctx FROM nam LEFT JOIN prs USING (image_id, nutrient) LEFT JOIN qty ON qty.image_id = nam.image_id AND qty.q = prs.q)",
+        "tp1 AS (SELECT nam.*, prs.q, prs.rank, qty.quantity, coalesce(qty.unit, nun.u) AS unit, qty.qctx FROM nam LEFT JOIN prs USING (image_id, nutrient) LEFT JOIN qty ON qty.image_id = nam.image_id AND qty.q = prs.q LEFT JOIN nun ON nun.image_id = nam.image_id AND nun.nutrient = nam.nutrient AND nun.q = prs.q)",
         f"tp2 AS (SELECT *, coalesce(lower(unit) IN {units_in}, false) eok, regexp_matches(lower(name), {q(R.ENERGY_NAME)}) AND max(coalesce(lower(unit) IN {units_in}, false)::INT) OVER (PARTITION BY image_id, nutrient) = 1 en FROM tp1)",
-        "tp3 AS (SELECT *, CASE WHEN q IS NOT NULL THEN coalesce(qctx, nctx, ncol) END AS context, row_number() OVER (PARTITION BY image_id, name, quantity ORDER BY nutrient, rank, q) k FROM tp2 WHERE NOT en OR eok)",
+        "tp3 AS (SELECT *, CASE WHEN q IS NOT NULL THEN coalesce(qctx, nctx, ncol) ELSE coalesce(ncol, nctx) END AS context, row_number() OVER (PARTITION BY image_id, name, quantity ORDER BY nutrient, rank, q) k FROM tp2 WHERE NOT en OR eok)",
     )
 
 

@@ -342,7 +342,7 @@ def associate_leftmost_quantities(spark, d):
 @query(O.column_fallback())
 def associate_column_fallback(spark, d):
     n, e = _graph(spark, d)
-    return A.column_fallback(n, A.quantities(n, e))
+    return A.column_fallback(n, e, A.quantities(n, e))
 
 
 @query(O.rank_fallback())

@@ -7,6 +7,8 @@ sixth word of a line stays as it is. Only integer arithmetic places them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,15 +38,26 @@ COLUMNS = [
     ("cy", "(y1 + y2) / CAST(2 AS DOUBLE)"),
     ("conf", "((31 * image_id + 7 * ln + wn) % 100) / CAST(100 AS DOUBLE)"),
 ]
+_PLACES = {"image_id": "(doc_id * 100000 + CAST(k div 72 AS BIGINT))", "ln": "CAST((k % 72) div 6 AS BIGINT)", "wn": "CAST(k % 6 AS BIGINT)"}
+_PLACE = re.compile(r"\b(" + "|".join(_PLACES) + r")\b")
 KEPT = ["image_id", "tok_idx", "ln", "wn", "token", "x1", "y1", "x2", "y2", "cx", "cy", "conf"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files are fewer than they are; a table of many files is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, tok_idx, ln, wn, token, x1, y1, x2, y2, cx, cy, conf) of all texts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = docs.select("doc_id", F.posexplode(F.array_remove(F.split("text", "[\n ]+"), "")).alias("k", "word"))
-    out = words.select(F.expr("doc_id * 100000 + CAST(k div 72 AS BIGINT)").alias("image_id"), F.expr("CAST(k % 72 AS BIGINT)").alias("tok_idx"), F.expr("CAST((k % 72) div 6 AS BIGINT)").alias("ln"), F.expr("CAST(k % 6 AS BIGINT)").alias("wn"), "word")
-    for name, text in COLUMNS:
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = docs.select("doc_id", F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\n ]+"), "").alias("words"))
+    # Tokens are made before their array is exploded: the steps after read them as columns, however often they do.
+    token = _PLACE.sub(lambda m: _PLACES[m[0]], TOKEN)
+    words = docs.select("doc_id", F.expr(f"inline(transform(words, (word, k) -> struct(k, {token} AS token)))"))
+    out = words.select(*(F.expr(f"{text} AS {name}") for name, text in _PLACES.items()), F.expr("CAST(k % 72 AS BIGINT) AS tok_idx"), "token")
+    for name, text in COLUMNS[1:]:
         out = out.withColumn(name, F.expr(text))
     return out.select(*KEPT)
 

@@ -123,3 +123,25 @@ def test_files(spark, tmp_path):
 
 def test_fold(spark):
     assert spark.createDataFrame([("Öl ß",)], "t string").select(R.fold_letters(F.col("t"))).first()[0] == "ol ss"
+
+
+def test_fallback_chain_of_tuples(spark):
+    """Column quantities on either side, tight before wide; then the dosage stream's rank; units of the name's row; a bare name keeps its context."""
+    def node(i, label, token, cx, cy, ctx=None, nr=-1, qr=-1, stream=-1):
+        return (1, i, label, token, token.lower(), float(cx), float(cy), cx - 5, cy - 10, cx + 5, cy + 10, ctx, nr, qr, stream, 0.9)
+
+    rows = [
+        node(0, "NUTRIENT", "Fett", 10, 10),
+        node(1, "QUANTITY", "5", 5, 40),
+        node(2, "QUANTITY", "6", 10, 50),
+        node(3, "QUANTITY", "7", 10, 120),
+        node(4, "NUTRIENT", "Salz", 300, 400, nr=2),
+        node(5, "QUANTITY", "9", 500, 700, qr=2, stream=0),
+        node(6, "UNIT", "g", 60, 10),
+        node(7, "NUTRIENT", "Zink", 300, 500, ctx="per_100g"),
+    ]
+    n = spark.createDataFrame(rows, "image_id long, id long, label string, token string, norm string, cx double, cy double, x1 long, y1 long, x2 long, y2 long, column_context_id string, nutrient_rank_in_column long, qty_rank_in_column long, dosage_stream_id long, conf double")
+    for version, (row, col, _) in G.NAMES.items():
+        e = spark.createDataFrame([(1, 0, 1, col, 1.0), (1, 0, 2, col, 1.0), (1, 0, 3, col, 1.0), (1, 0, 6, row, 1.0)], "image_id long, src long, dst long, type string, weight double")
+        got = [tuple(r)[2:] for r in A.tuples(n, e, version).orderBy("ord").collect()]
+        assert got == [("Fett", "5", "g", None), ("Fett", "6", "g", None), ("Salz", "9", None, None), ("Zink", None, None, "per_100g")]
