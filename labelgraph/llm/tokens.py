@@ -20,7 +20,7 @@ from array import array
 import numpy as np
 
 #: Bytes, estimated, of each of a worker's two caches; beyond that the newer becomes the older one.
-CACHE = 40 << 20
+CACHE = 72 << 20
 #: What an entry of a cache takes besides its characters and ids.
 _ENTRY = 190
 
