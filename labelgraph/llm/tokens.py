@@ -20,7 +20,7 @@ from array import array
 import numpy as np
 
 #: Bytes, estimated, of each of a worker's two caches; beyond that the newer becomes the older one.
-CACHE = 72 << 20
+CACHE = 112 << 20
 #: What an entry of a cache takes besides its characters and ids.
 _ENTRY = 190
 
@@ -46,6 +46,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
+        self.mark = re.match(r"[^A-Za-z]*", os.path.commonprefix(added))[0] if added else ""  # how all of them begin, without letters
         self.pattern = _PATTERNS.get(name)
         self.lower = name.startswith("word")
         vocabulary = self.tokenizer.get_vocab()
@@ -63,7 +64,7 @@ class Encoder:
         out: list[bytes | None] = [b""] * len(texts)
         split: list[tuple[int, list[str]]] = []
         for i, text in enumerate(texts):
-            if text and (self.pattern is None or _OTHER.search(text) or (self.added and self.added.search(text))):
+            if text and (self.pattern is None or _OTHER.search(text) or (self.added and self.mark in text and self.added.search(text))):
                 out[i] = self.whole([text])[0]
             elif text:
                 split.append((i, self.pattern.findall(text.lower() if self.lower else text)))
