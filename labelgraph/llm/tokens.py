@@ -70,14 +70,14 @@ class Encoder:
                 split.append((i, self.pattern.findall(text.lower() if self.lower else text)))
         if self.held > CACHE:
             self.old, self.cache, self.held = self.cache, {}, 0
-        words = set().union(*(w for _, w in split))
-        new = [w for w in words if w not in self.cache]
-        known = [(w, self.old[w]) for w in new if w in self.old]
-        self.cache.update(known)
-        new = [w for w in new if w not in self.cache]
-        known += zip(new, self._each(new), strict=True)
-        self.cache.update(known)
-        self.held += sum(_ENTRY + len(w) + len(x) for w, x in known)
+        new = set().union(*(w for _, w in split)).difference(self.cache)
+        if new:
+            met = new.intersection(self.old)
+            rest = list(new.difference(met) if met else new)
+            known = dict(zip(rest, self._each(rest), strict=True))
+            known.update(zip(met, map(self.old.__getitem__, met), strict=True))
+            self.cache.update(known)
+            self.held += _ENTRY * len(known) + sum(map(len, known)) + sum(map(len, known.values()))
         get = self.cache.__getitem__
         for i, words in split:
             out[i] = b"".join(map(get, words))
@@ -99,10 +99,12 @@ class Encoder:
                 at = np.c_[np.r_[0, last], np.r_[last - 1, len(ids)]]  # breaks have an id of their own
             if len(at) == len(solid):
                 raw = ids.tobytes()
-                found = {w: raw[a:b] for w, (a, b) in zip(solid, (4 * at).tolist(), strict=True)}
+                a, b = (4 * at).T.tolist()
+                found = dict(zip(solid, map(raw.__getitem__, map(slice, a, b)), strict=True))
         rest = [w for w in words if w not in found]
-        found.update(zip(rest, self.whole(rest), strict=True))
-        return [found[w] for w in words]
+        if rest:
+            found.update(zip(rest, self.whole(rest), strict=True))
+        return list(map(found.__getitem__, words))
 
 
 _encoders: dict[tuple, Encoder] = {}
