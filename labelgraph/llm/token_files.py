@@ -1,9 +1,10 @@
 """Token ids as binary shards in ascending doc_id order, and reading them back.
 
-Texts are dealt by ranges of doc_id; each task encodes its range, writes one
-shard (see rans.py) below ``path`` and reports it. The manifest, a table written
-by Spark, names just the shards of tasks that succeeded, so retried or lost
-tasks leave nothing that is read. Shards hold about ``SHARD`` bytes of text.
+Texts are dealt by ranges of doc_id; each task encodes its range, writes its
+shards (see rans.py) below ``path`` and reports them. The manifest, a table
+written by Spark, names just the shards of tasks that succeeded, so retried or
+lost tasks leave nothing that is read. Shards hold about ``SHARD`` bytes of text,
+and never over twice as much but for their last text.
 
 Edge cases: null or empty text is its end id alone; a null doc_id is kept as
 the least long and returned as null, first; repeated doc_ids follow each other;
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rans import pack_shard, unpack_shard
@@ -29,51 +30,72 @@ from .store import bounded_batches, scratch
 from .tokens import encoder
 
 SHARD = 16 << 20
+#: Tasks that write or read at most; beyond that each takes several shards, one after the other.
+TASKS = 20_000
 END = 0
 _NULL = -(1 << 63)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", tokenizer_path: str | None = None, end: int = END, shard: int = SHARD) -> DataFrame:
-    """Write the shards of ``docs`` (doc_id, text) below ``path``; returns the manifest (shard, file, docs, ids, bytes)."""
+    """Write the shards of ``docs`` (doc_id, text) below ``path``; returns the manifest (task, part, file, docs, ids, bytes)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     last = int(end).to_bytes(4, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, doc_ids, lengths, ids = encoder(tokenizer, tokenizer_path), [], [], []
+        e, doc_ids, ids, held, part = encoder(tokenizer, tokenizer_path), [], [], 0, 0
+        task = TaskContext.get().partitionId()
+
+        def flush() -> pa.RecordBatch:
+            lengths = np.array([len(x) // 4 for x in ids])
+            data = pack_shard(np.array([_NULL if d is None else d for d in doc_ids], np.int64), lengths, np.frombuffer(b"".join(ids), "<u4"))
+            store, root = fs.FileSystem.from_uri(path)
+            store.create_dir(root, recursive=True)
+            name = f"shard-{task:08d}-{part:08d}-{uuid.uuid4().hex}.lgr"
+            with store.open_output_stream(f"{root}/{name}") as out:
+                out.write(data)
+            row = (task, part, name, len(doc_ids), int(lengths.sum()), len(data))
+            doc_ids.clear()
+            ids.clear()
+            return pa.RecordBatch.from_pydict({c: [x] for c, x in zip(("task", "part", "file", "docs", "ids", "bytes"), row, strict=True)})
+
         for batch in batches:
             for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                doc_ids += part.column(0).to_pylist()
-                for x in e.encode(part.column(1).to_pylist()):
+                some = batch.slice(lo, 512)
+                texts = some.column(1).to_pylist()
+                for d, t, x in zip(some.column(0).to_pylist(), texts, e.encode(texts), strict=True):
+                    doc_ids.append(d)
                     ids.append(x + last)
-                    lengths.append(len(x) // 4 + 1)
-        if not doc_ids:
-            return
-        task = TaskContext.get().partitionId()
-        data = pack_shard(np.array([_NULL if d is None else d for d in doc_ids], np.int64), np.array(lengths), np.frombuffer(b"".join(ids), "<u4"))
-        store, root = fs.FileSystem.from_uri(path)
-        store.create_dir(root, recursive=True)
-        name = f"shard-{task:08d}-{uuid.uuid4().hex}.lgr"
-        with store.open_output_stream(f"{root}/{name}") as out:
-            out.write(data)
-        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([name]), pa.array([len(doc_ids)], pa.int64()), pa.array([sum(lengths)], pa.int64()), pa.array([len(data)], pa.int64())], names=["shard", "file", "docs", "ids", "bytes"])
-
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(max(1, -(-size // shard)), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(write, "shard long, file string, docs long, ids long, bytes long").write.parquet(f"{path}/manifest")
+                    held += len(t or "")
+                    if held >= 2 * shard:  # ranges are estimates, so one may hold far more than its share
+                        yield flush()
+                        held, part = 0, part + 1
+        if doc_ids:
+            yield flush()
+
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(min(max(1, -(-size // shard)), TASKS), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered.mapInArrow(write, "task long, part long, file string, docs long, ids long, bytes long").write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
 
+def starts(manifest: DataFrame, block: int = 64) -> DataFrame:
+    """(before, file): the ids of all shards before each, as sums within blocks of tasks and sums of blocks.
+
+    One task sums the blocks: at most ``TASKS`` / ``block`` rows.
+    """
+    m = manifest.select("task", "part", "file", "ids", F.floor(F.col("task") / block).alias("block"))
+    earlier = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = m.groupBy("block").agg(F.sum("ids").alias("all")).select("block", earlier(Window.orderBy("block"), "all").alias("base"))
+    inner = m.withColumn("inner", earlier(Window.partitionBy("block").orderBy("task", "part"), "ids"))
+    return inner.join(blocks, "block").select((F.col("base") + F.col("inner")).alias("before"), "file")
+
+
 def read_token_files(manifest: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the shards; start counts the ids before it in all.
 
     Without ``with_ids`` the ids are decoded and checked but not returned.
     """
-    spark = manifest.sparkSession
-    rows = sorted(manifest.select("shard", "file", "ids").collect())  # one row a shard
-    before = np.cumsum([0, *(r["ids"] for r in rows)]).tolist()
-    listed = spark.createDataFrame([(b, r["file"]) for b, r in zip(before, rows, strict=False)], "before long, file string")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
@@ -92,9 +114,8 @@ def read_token_files(manifest: DataFrame, path: str, with_ids: bool = True) -> D
                     yield pa.RecordBatch.from_pydict(cols)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    if not rows:
-        return spark.createDataFrame([], schema)
-    return listed.repartition(len(rows)).mapInArrow(read, schema)
+    shards = manifest.count()
+    return starts(manifest).repartition(min(max(1, shards), TASKS)).mapInArrow(read, schema)
 
 
 def token_files(docs: DataFrame, path: str | None = None, with_ids: bool = True, **options) -> DataFrame:

@@ -299,6 +299,18 @@ def test_token_files(docs, none):
     assert token_files(none).count() == 0
 
 
+def test_token_files_of_few_tasks(docs, monkeypatch):
+    from labelgraph.llm import token_files as T
+
+    want = sorted(map(tuple, token_files(docs, with_ids=False).collect()))
+    monkeypatch.setattr(T, "TASKS", 3)
+    path = T.scratch(docs.sparkSession, "tokens")
+    manifest = T.write_token_files(docs, path, shard=20_000)
+    assert manifest.where("part > 0").count() > 0 and manifest.select("task").distinct().count() <= 3
+    assert sorted(map(tuple, T.read_token_files(manifest, path, with_ids=False).collect())) == want
+
+
+
 def test_packing(docs, none):
     ids = whole("word_bpe_49k.json")
     got = packing.pack(docs).collect()
