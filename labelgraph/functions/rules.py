@@ -29,6 +29,12 @@ FUSED = r"^([<>~]?[0-9]+\.?[0-9]*)\s*(µg(\s*(re|ne|te|α-te|a-te))?|mg(\s*(ne|r
 NRV_TAIL = r"\(?[0-9.,]+\s*%\)?[\s*³²¹⁾\)\]]*$"
 PROTECTED = ("100g", "100 g", "100ml", "100 ml")
 
+# The short corrector's literal replacements, in order, and numbers in powers of ten fused with a unit.
+LITERALS = [("rn", "m"), ("Ug", "µg"), ("ug", "µg"), ("Hagnesium", "Magnesium"), ("Hagneslum", "Magnesium"), ("Calclum", "Calcium"), ("Selenlum", "Selenium")]
+SCIENTIFIC = r"^([0-9]+[.,]?[0-9]*\s*[xX×]\s*10[\^⁰¹²³⁴⁵⁶⁷⁸⁹0-9]*)\s*(KBE|kbe|CFU|cfu|IU|iu|IE|ie)$"
+# The contexts that gold rows may have.
+VALID_CONTEXTS = ("per_100g", "per_serving", "per_daily_dose", "per_100ml")
+
 # Token classes.
 NRV = r"^\*?\s*[0-9]+[\s,.]?[0-9]*\s*%\s*\*?$"
 SERVING = r"^[0-9]+\s*(kapseln?|tabletten?|softgels?|tubes?|sachets?|capsules?|tablets?|gummies?|drops?|stueck)$"

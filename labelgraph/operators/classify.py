@@ -20,6 +20,16 @@ def is_nutrient(norm: Column) -> Column:
     return F.exists(F.concat(F.split(bare, r"\s*/\s*"), F.split(cut, r"\s*/\s*")), lambda p: (p != "") & one(p))
 
 
+def fallback(tokens: DataFrame) -> DataFrame:
+    """All tokens UNKNOWN, without norm, entity or score: what a silent span model leaves."""
+    return tokens.withColumns({"label": F.lit("UNKNOWN"), "norm": F.lit(None).cast("string"), "entity": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
+
+
+def needs_embedding(labelled: DataFrame, mode: str = "hybrid") -> DataFrame:
+    """Tokens whose rule label does not settle them: UNKNOWN ones, and NUTRIENT ones too unless ``mode`` is hybrid."""
+    return labelled.where(F.col("label").isin(*(("UNKNOWN",) if mode == "hybrid" else ("UNKNOWN", "NUTRIENT"))))
+
+
 def classify(tokens: DataFrame, least_conf: float = 0.30) -> DataFrame:
     """Adds ``norm`` and ``label``: NOISE, UNIT, CONTEXT, QUANTITY, NUTRIENT or UNKNOWN; the first rule that holds decides."""
     t = tokens.withColumn("norm", R.normal(F.col("token")))

@@ -203,6 +203,26 @@ def unmapped(named: DataFrame) -> DataFrame:
     return named.where("canonical is null").groupBy("norm_name").agg(F.count("*").alias("n"))
 
 
+def literal_fixes(tokens: DataFrame) -> DataFrame:
+    """Border characters off both ends, then the literal replacements in order; empty tokens go."""
+    t = F.btrim("token", F.lit(R.BORDER))
+    for old, new in R.LITERALS:
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return tokens.withColumn("token", F.trim(t)).where("token <> ''")
+
+
+def split_scientific(tokens: DataFrame) -> DataFrame:
+    """Tokens (token, x1, x2) such as ``3.6x10^9KBE`` in two, the box cut by length; ``part`` is 0 and 1, or 0 alone."""
+    pattern = "(?i)" + R.SCIENTIFIC
+    value, unit = (F.trim(F.regexp_extract("token", pattern, i)) for i in (1, 2))
+    cut = F.col("x1") + (F.col("x2") - F.col("x1")) * F.length("_value") / F.greatest(F.length("token"), F.lit(1))
+    whole = F.array(F.struct(F.col("token").alias("token"), F.col("x1").cast("double").alias("x1"), F.col("x2").cast("double").alias("x2")))
+    two = F.array(F.struct(F.col("_value").alias("token"), F.col("x1").cast("double").alias("x1"), cut.alias("x2")), F.struct(F.col("_unit").alias("token"), cut.alias("x1"), F.col("x2").cast("double").alias("x2")))
+    kept = [c for c in tokens.columns if c not in ("token", "x1", "x2")]
+    parts = tokens.withColumns({"_value": value, "_unit": unit}).select(*kept, F.posexplode(F.when(F.col("_unit") != "", two).otherwise(whole)).alias("part", "_p"))
+    return parts.select(*kept, F.col("part").cast("long").alias("part"), "_p.token", "_p.x1", "_p.x2")
+
+
 def report(rewritten: DataFrame) -> DataFrame:
     """(rule, n): how many tokens each rule changed."""
     return rewritten.select(F.explode("rules_fired").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))

@@ -106,6 +106,23 @@ def metrics(gold: DataFrame, pred: DataFrame, matched: DataFrame) -> DataFrame:
     return out.withColumn("context_cost_pp", F.round(100 * (F.col("f1_3f") - F.col("f1_4f")), 4))
 
 
+def diff(gold: DataFrame, pred: DataFrame, matched: DataFrame) -> DataFrame:
+    """(image_id, g, p, match): every pair and every tuple without one, with how far it matches."""
+    m = matched.select("image_id", "g", "p", "name_ok", "full_3f", "full_4f")
+    kind = F.when(F.col("full_4f"), "Full 4f").when(F.col("full_3f"), "Full 3f").when(F.col("name_ok"), "Partial").otherwise("Mismatch")
+    lone = lambda df, key, other, name: df.join(matched, ["image_id", key], "left_anti").select("image_id", F.col(key), F.lit(None).cast("long").alias(other), F.lit(name).alias("match"))
+    pairs = m.select("image_id", "g", "p", kind.alias("match"))
+    return pairs.unionByName(lone(gold, "g", "p", "GT only")).unionByName(lone(pred, "p", "g", "Pred only"))
+
+
+def without_prefix(gold: DataFrame, names: DataFrame, n: int = 12) -> DataFrame:
+    """Gold tuples for which no name of the image holds their first ``n`` characters, or begins with ``n`` that they hold, whatever the case."""
+    x, y = F.lower(F.coalesce("nutrient", F.lit(""))), F.lower("_name")
+    held = F.contains(y, F.substring(x, 1, n)) | F.contains(x, F.substring(y, 1, n))
+    seen = names.select("image_id", F.col("nutrient").alias("_name")).where("_name is not null").distinct()
+    return gold.join(seen.withColumnRenamed("image_id", "_image"), (F.col("image_id") == F.col("_image")) & held, "left_anti")
+
+
 def analysis(gold: DataFrame, pred: DataFrame, matched: DataFrame) -> DataFrame:
     """(image_id, g, tag, reason) of gold tuples that are missing or matched but wrong."""
     m = gold.select("image_id", "g").join(matched, ["image_id", "g"], "left")

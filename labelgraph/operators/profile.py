@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from .evaluate import prf
 
 
-def sweep(scores: DataFrame, thresholds: int = 46, margins: int = 26) -> DataFrame:
+def sweep(scores: DataFrame, thresholds: int = 46, margins: int = 26, first: int = 30) -> DataFrame:
     """(t, m, tp, fp, fn, tn, precision, recall, f1) over a grid of hundredths; scores (score100, margin100, gold) are integers.
 
     Scores meet the grid as a histogram: at most 101 x 201 x 2 cells whatever the input, so the product stays small.
     """
     hist = scores.groupBy("score100", "margin100", "gold").agg(F.count("*").alias("n"))
-    grid = scores.sparkSession.range(thresholds).select((F.col("id") + 30).alias("t")).join(scores.sparkSession.range(margins).select(F.col("id").alias("m")))
+    grid = scores.sparkSession.range(thresholds).select((F.col("id") + first).alias("t")).join(scores.sparkSession.range(margins).select(F.col("id").alias("m")))
     hit = (F.col("score100") >= F.col("t")) & (F.col("margin100") >= F.col("m"))
     total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     gold = F.col("gold") == 1
@@ -22,6 +23,11 @@ def sweep(scores: DataFrame, thresholds: int = 46, margins: int = 26) -> DataFra
     return cells.select("*", *prf(F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")))
 
 
+def pr_curve(scores: DataFrame) -> DataFrame:
+    """(t, precision, recall, f1) of all hundredths as thresholds, without a margin."""
+    return sweep(scores, 101, 1, 0).select("t", "precision", "recall", "f1")
+
+
 def best(cells: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` best cells by f1, in grid order among equals."""
     return cells.orderBy(F.desc("f1"), "t", "m").limit(n)
@@ -49,6 +55,65 @@ def distinct_per_group(rows: DataFrame, group: str, column: str) -> DataFrame:
     return rows.groupBy(group).agg(F.countDistinct(column).alias("n_distinct")).groupBy("n_distinct").agg(F.count("*").alias("groups"))
 
 
+def layout(rows: DataFrame, group: str) -> DataFrame:
+    """(rows_per_group, groups): groups by how many rows they have, in fixed right-closed buckets up to 999."""
+    edges = [0, 2, 5, 10, 15, 20, 30, 50, 999]
+    names = ["1-2", "3-5", "6-10", "11-15", "16-20", "21-30", "31-50", "50+"]
+    label = F.lit(None).cast("string")
+    for hi, name in reversed(list(zip(edges[1:], names, strict=True))):
+        label = F.when(F.col("c") <= hi, name).otherwise(label)
+    return rows.groupBy(group).agg(F.count("*").alias("c")).groupBy(label.alias("rows_per_group")).agg(F.count("*").alias("groups")).where("rows_per_group is not null")
+
+
+def coverage(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, n_with, share): rows of each group whose ``value`` is a number."""
+    has = F.col(value).rlike(r"^\s*[+-]?[0-9]+(\.[0-9]*)?\s*$")
+    c = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.count_if(has).alias("n_with"))
+    return c.withColumn("share", F.round(F.col("n_with") / F.col("n"), 6))
+
+
+def invalid_contexts(rows: DataFrame) -> DataFrame:
+    """Rows whose context is null or none of the valid ones."""
+    return rows.where(F.col("context").isNull() | ~F.col("context").isin(*R.VALID_CONTEXTS))
+
+
+def noisy_images(labelled: DataFrame, least: float = 0.90) -> DataFrame:
+    """(image_id, n, n_noise) of images with ``least`` or more of their tokens NOISE."""
+    c = labelled.groupBy("image_id").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "NOISE").alias("n_noise"))
+    return c.where(F.col("n_noise") >= least * F.col("n"))
+
+
+def run_totals(labelled: DataFrame) -> DataFrame:
+    """One row: images, tokens and the tokens of each label."""
+    labels = ("NUTRIENT", "QUANTITY", "UNIT", "CONTEXT", "NOISE", "UNKNOWN")
+    return labelled.agg(F.countDistinct("image_id").alias("images"), F.count("*").alias("tokens"), *(F.count_if(F.col("label") == x).alias(f"n_{x.lower()}") for x in labels))
+
+
+def image_scores(images: DataFrame) -> DataFrame:
+    """(image_id, precision, recall, f1) of the per-image counts."""
+    return images.select("image_id", *prf(F.col("match"), F.col("pred"), F.col("gt")))
+
+
+def extremes(images: DataFrame, n: int = 10) -> DataFrame:
+    """(which, image_id, f1): the ``n`` best and worst images, by id among equals; a top-``n`` report."""
+    s = image_scores(images).select("image_id", "f1")
+    top = s.orderBy(F.desc("f1"), "image_id").limit(n).withColumn("which", F.lit("best"))
+    return top.unionByName(s.orderBy("f1", "image_id").limit(n).withColumn("which", F.lit("worst")))
+
+
+def disagreements(images: DataFrame, gap: float = 0.3) -> DataFrame:
+    """(image_id, precision, recall, side) where the two differ by ``gap`` or more."""
+    s = image_scores(images).drop("f1").where(F.abs(F.col("precision") - F.col("recall")) >= gap)
+    return s.withColumn("side", F.when(F.col("precision") > F.col("recall"), "precision").otherwise("recall"))
+
+
+def ranking(runs: DataFrame, run: str, value: str) -> DataFrame:
+    """(run, mean, std, rank, delta): runs by mean value, their spread and their distance to the best; one row a run."""
+    c = runs.groupBy(F.col(run).alias("run")).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"))
+    top = c.agg(F.max("mean").alias("top"))
+    return c.join(top).withColumn("rank", F.rank().over(Window.orderBy(F.desc("mean"))).cast("long")).select("run", "mean", "std", "rank", F.round(F.col("mean") - F.col("top"), 6).alias("delta"))
+
+
 def numeric(c: Column) -> Column:
     """Number of a text with comma or dot, or null."""
     t = F.regexp_replace(F.trim(c), ",", ".")

@@ -486,10 +486,34 @@ SELECT image_id, tok_idx FROM walk JOIN n USING (image_id, k) WHERE took"""
 # Profiles
 
 
-def sweep(sql: str) -> str:
+def sweep(sql: str, grid: str = "range(30, 76) a(t), range(0, 26) b(m)") -> str:
     p, r = "(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END)", "(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END)"
     return f"""WITH s AS (SELECT n_chars % 101 score100, (doc_id * 7) % 60 margin100, quality gold FROM documents JOIN labels USING (doc_id)),
-h AS (SELECT t, m, score100 >= t AND margin100 >= m hit, gold = 1 g FROM s, range(30, 76) a(t), range(0, 26) b(m)),
+h AS (SELECT t, m, score100 >= t AND margin100 >= m hit, gold = 1 g FROM s, {grid}),
 c AS (SELECT t, m, count(*) FILTER (hit AND g) tp, count(*) FILTER (hit AND NOT g) fp, count(*) FILTER (NOT hit AND g) fn, count(*) FILTER (NOT hit AND NOT g) tn FROM h GROUP BY t, m),
 cells AS (SELECT *, round({p}, 6) AS precision, round({r}, 6) AS recall, round(CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0 END, 6) f1 FROM c)
 {sql}"""
+
+
+def literal_fixes() -> str:
+    t = f"trim(token, {q(R.BORDER)})"
+    for old, new in R.LITERALS:
+        t = f"replace({t}, {q(old)}, {q(new)})"
+    return tok(f"SELECT token, count(*) n FROM (SELECT trim({t}) token FROM tok) WHERE token <> '' GROUP BY 1")
+
+
+SCIENTIFIC = "concat(p_size, ',5 x 10^', p_size % 9, CASE p_size % 4 WHEN 0 THEN ' KBE' WHEN 1 THEN 'cfu' WHEN 2 THEN '' ELSE ' mg' END)"
+
+
+def split_scientific() -> str:
+    p = q("(?i)" + R.SCIENTIFIC)
+    return f"""WITH t AS (SELECT p_partkey, {SCIENTIFIC} token, p_size::DOUBLE x1, p_size + 100.0::DOUBLE x2 FROM part),
+u AS (SELECT *, trim(regexp_extract(token, {p}, 1)) v, trim(regexp_extract(token, {p}, 2)) w FROM t),
+c AS (SELECT *, x1 + (x2 - x1) * length(v) / length(token) cut FROM u)
+SELECT p_partkey, 0::BIGINT part, CASE WHEN w <> '' THEN v ELSE token END token, x1, round(CASE WHEN w <> '' THEN cut ELSE x2 END, 6) x2 FROM c
+UNION ALL SELECT p_partkey, 1, w, round(cut, 6), x2 FROM c WHERE w <> ''"""
+
+
+def image_scores() -> str:
+    p, r = "(match / pd)", "(match / gt)"
+    return f"(SELECT image_id, round({p}, 6) AS precision, round({r}, 6) AS recall, round(CASE WHEN match > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0 END, 6) f1 FROM (SELECT image_id, gt, pred AS pd, match FROM ({PER_IMAGE})))"

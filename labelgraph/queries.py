@@ -626,3 +626,91 @@ def source_serving_context(spark, d):
 def source_nested_gold(spark, d):
     rows = _table(spark, d, "orders").join(_table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).selectExpr("o_orderkey AS image_id", "concat(cast(l_linenumber AS string), ':', cast(l_partkey AS string)) AS item")
     return files.nest(rows).select("image_id", F.col("nutrients.item").alias("items"))
+
+
+@query("SELECT l_orderkey::VARCHAR image_id, trim(coalesce(l_linestatus, '')) nutrient, trim(coalesce(l_quantity::INT::VARCHAR, '')) quantity, '' unit, trim(l_returnflag) context FROM lineitem")
+def source_gold_fields(spark, d):
+    t = _table(spark, d, "lineitem")
+    rows = t.select(F.col("l_orderkey").alias("image_id"), F.concat(F.lit(" "), "l_linestatus").alias("nutrient"), F.col("l_quantity").cast("int").alias("quantity"), F.lit(None).cast("string").alias("unit"), F.col("l_returnflag").alias("context"), "l_tax")
+    return files.gold_fields(rows)
+
+
+# Short correctors, routing and reports
+
+
+@query(O.literal_fixes())
+def correct_literal_fixes(spark, d):
+    return K.literal_fixes(tokens(spark, d)).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(O.split_scientific())
+def correct_split_scientific(spark, d):
+    t = _table(spark, d, "part").selectExpr("p_partkey", f"{O.SCIENTIFIC} AS token", "cast(p_size AS double) x1", "cast(p_size + 100 AS double) x2")
+    return K.split_scientific(t).select("p_partkey", "part", "token", F.round("x1", 6).alias("x1"), F.round("x2", 6).alias("x2"))
+
+
+@query(O.tok("SELECT label, count(*) n, count(DISTINCT image_id) images, count(norm) n_norm FROM (SELECT *, 'UNKNOWN' AS label, NULL norm FROM tok) GROUP BY 1"))
+def classify_fallback(spark, d):
+    return C.fallback(tokens(spark, d)).groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("image_id").alias("images"), F.count("norm").alias("n_norm"))
+
+
+@query(O.lab("SELECT image_id, count(*) n, count(*) FILTER (label = 'UNKNOWN') n_hybrid FROM lab WHERE label IN ('UNKNOWN', 'NUTRIENT') GROUP BY 1"))
+def classify_needs_embedding(spark, d):
+    return C.needs_embedding(_lab(spark, d), "embedding_only").groupBy("image_id").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "UNKNOWN").alias("n_hybrid"))
+
+
+@query(O.evaluation("SELECT image_id, g, p, CASE WHEN full_4f THEN 'Full 4f' WHEN full_3f THEN 'Full 3f' WHEN name_ok THEN 'Partial' ELSE 'Mismatch' END AS match FROM mat UNION ALL SELECT image_id, g, NULL, 'GT only' FROM gold ANTI JOIN mat USING (image_id, g) UNION ALL SELECT image_id, NULL, p, 'Pred only' FROM pred ANTI JOIN mat USING (image_id, p)"))
+def evaluate_diff(spark, d):
+    return V.diff(*_matched(spark, d))
+
+
+@query(O.evaluation("SELECT image_id, g, nutrient FROM gold WHERE NOT EXISTS (SELECT 1 FROM pred WHERE pred.image_id = gold.image_id AND (contains(lower(pred.nutrient), lower(gold.nutrient)[:12]) OR contains(lower(gold.nutrient), lower(pred.nutrient)[:12])))", False))
+def evaluate_without_prefix(spark, d):
+    return V.without_prefix(_gold(spark, d), _pred(spark, d)).select("image_id", "g", "nutrient")
+
+
+@query(O.sweep("SELECT t, precision, recall, f1 FROM cells", "range(0, 101) a(t), range(0, 1) b(m)"))
+def profile_pr_curve(spark, d):
+    return P.pr_curve(_scores(spark, d))
+
+
+@query("SELECT CASE WHEN c <= 2 THEN '1-2' WHEN c <= 5 THEN '3-5' WHEN c <= 10 THEN '6-10' WHEN c <= 15 THEN '11-15' WHEN c <= 20 THEN '16-20' WHEN c <= 30 THEN '21-30' WHEN c <= 50 THEN '31-50' ELSE '50+' END rows_per_group, count(*) groups FROM (SELECT l_partkey, count(*) c FROM lineitem GROUP BY 1 HAVING count(*) <= 999) GROUP BY 1")
+def profile_layout(spark, d):
+    return P.layout(_table(spark, d, "lineitem"), "l_partkey")
+
+
+@query("SELECT p_brand, count(*) n, count(*) FILTER (p_size % 3 = 0) n_with, round(count(*) FILTER (p_size % 3 = 0) / count(*), 6) share FROM part WHERE p_brand IS NOT NULL GROUP BY 1")
+def profile_coverage(spark, d):
+    rows = _table(spark, d, "part").selectExpr("p_brand", "CASE p_size % 3 WHEN 0 THEN concat(p_size, '.5') WHEN 1 THEN concat(p_size, ' %') END AS nrv")
+    return P.coverage(rows, "p_brand", "nrv")
+
+
+@query(O.evaluation("SELECT image_id, g, context FROM gold WHERE context IS NULL OR context NOT IN ('per_100g', 'per_serving', 'per_daily_dose', 'per_100ml')", False))
+def profile_invalid_contexts(spark, d):
+    return P.invalid_contexts(_gold(spark, d)).select("image_id", "g", "context")
+
+
+@query(O.lab("SELECT image_id, count(*) n, count(*) FILTER (label = 'NOISE') n_noise FROM lab GROUP BY 1 HAVING count(*) FILTER (label = 'NOISE') >= 0.90::DOUBLE * count(*)"))
+def profile_noisy_images(spark, d):
+    return P.noisy_images(_lab(spark, d))
+
+
+@query(O.lab("SELECT count(DISTINCT image_id) images, count(*) tokens, count(*) FILTER (label = 'NUTRIENT') n_nutrient, count(*) FILTER (label = 'QUANTITY') n_quantity, count(*) FILTER (label = 'UNIT') n_unit, count(*) FILTER (label = 'CONTEXT') n_context, count(*) FILTER (label = 'NOISE') n_noise, count(*) FILTER (label = 'UNKNOWN') n_unknown FROM lab"))
+def profile_run_totals(spark, d):
+    return P.run_totals(_lab(spark, d))
+
+
+@query(O.evaluation(f"SELECT * FROM (SELECT 'best' which, image_id, f1 FROM {O.image_scores()} ORDER BY f1 DESC, image_id LIMIT 10) UNION ALL SELECT * FROM (SELECT 'worst' which, image_id, f1 FROM {O.image_scores()} ORDER BY f1, image_id LIMIT 10)"))
+def profile_extremes(spark, d):
+    return P.extremes(V.per_image(*_matched(spark, d))).select("which", "image_id", "f1")
+
+
+@query("SELECT image_id, precision, recall, CASE WHEN precision > recall THEN 'precision' ELSE 'recall' END side FROM (SELECT image_id, round(CASE WHEN pd > 0 THEN m / pd ELSE 0 END, 6) AS precision, round(m / gt, 6) AS recall FROM (SELECT l_orderkey image_id, count(*) gt, count(*) FILTER (l_linenumber % 2 = 0) pd, count(*) FILTER (l_linenumber % 2 = 0 AND l_returnflag <> 'R') m FROM lineitem GROUP BY 1)) WHERE abs(precision - recall) >= 0.3::DOUBLE")
+def profile_disagreements(spark, d):
+    counts = _table(spark, d, "lineitem").selectExpr("l_orderkey AS image_id", "l_linenumber % 2 = 0 AS e", "l_returnflag <> 'R' AS r")
+    return P.disagreements(counts.groupBy("image_id").agg(F.count("*").alias("gt"), F.count_if("e").alias("pred"), F.count_if(F.col("e") & F.col("r")).alias("match")))
+
+
+@query("SELECT run, mean, std, rank() OVER (ORDER BY mean DESC) AS rank, round(mean - max(mean) OVER (), 6) delta FROM (SELECT event_type run, round(avg(value), 6) mean, round(stddev_samp(value), 6) std FROM events GROUP BY 1)")
+def profile_ranking(spark, d):
+    return P.ranking(_table(spark, d, "events"), "event_type", "value")

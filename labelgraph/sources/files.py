@@ -92,3 +92,11 @@ def append_note(spark: SparkSession, path: str, key: str, note: str) -> None:
 
 def latest_notes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("key").agg(F.max_by("note", "at").alias("note"))
+
+
+def gold_fields(rows: DataFrame) -> DataFrame:
+    """The five gold columns, trimmed, null as empty; raises if one is missing."""
+    names = ("image_id", "nutrient", "quantity", "unit", "context")
+    if absent := [c for c in names if c not in rows.columns]:
+        raise ValueError(f"missing columns: {absent}")
+    return rows.select(*(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in names))
