@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .branch_merge import merge_documents
+from .branch_merge import oracle_sql as merge_sql
 from .decontaminate import contamination
 from .html_text import html_text
 from .language_id import held_out, identify_language
@@ -17,6 +19,8 @@ from .line_quality import ORACLE as LINE_SQL
 from .line_quality import line_quality
 from .ngram_jaccard import ngram_jaccard_join
 from .packing import pack
+from .ranked_search import oracle_sql as search_sql
+from .ranked_search import search
 from .repeats import remove_repeats
 from .secrets import find_secrets
 from .store import table
@@ -68,6 +72,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_line_frequency, op4_language_id, op5_html_text, op6_token_files, op7_best_fit_packing, op8_decontamination, op9_repeated_strings, op10_license_scan)}
+def op11_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = merge_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return merged.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"), "n_clean", "n_edit_edit", "n_edit_delete", "n_insert_insert")
 
-ORACLE_SQL: dict[str, str] = {"op3_line_frequency": LINE_SQL, "op10_license_scan": license_sql()}
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_line_frequency, op4_language_id, op5_html_text, op6_token_files, op7_best_fit_packing, op8_decontamination, op9_repeated_strings, op10_license_scan, op11_branch_merge, op12_ranked_search)}
+
+ORACLE_SQL: dict[str, str] = {"op3_line_frequency": LINE_SQL, "op10_license_scan": license_sql(), "op11_branch_merge": merge_sql(), "op12_ranked_search": search_sql()}
