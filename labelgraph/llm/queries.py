@@ -19,6 +19,7 @@ from .line_quality import ORACLE as LINE_SQL
 from .line_quality import line_quality
 from .ngram_jaccard import ngram_jaccard_join
 from .packing import pack
+from .passages import remove_passages
 from .ranked_search import oracle_sql as search_sql
 from .ranked_search import search
 from .repeats import remove_repeats
@@ -81,6 +82,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_line_frequency, op4_language_id, op5_html_text, op6_token_files, op7_best_fit_packing, op8_decontamination, op9_repeated_strings, op10_license_scan, op11_branch_merge, op12_ranked_search)}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_line_frequency, op4_language_id, op5_html_text, op6_token_files, op7_best_fit_packing, op8_decontamination, op9_repeated_strings, op10_license_scan, op11_branch_merge, op12_ranked_search, op13_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op3_line_frequency": LINE_SQL, "op10_license_scan": license_sql(), "op11_branch_merge": merge_sql(), "op12_ranked_search": search_sql()}

@@ -122,7 +122,7 @@ class Words:
     """Words of consecutive texts: ``start``/``end`` byte offsets, ``hash`` and
     ``first`` (index of each text's first word; len(texts) + 1 entries)."""
 
-    def __init__(self, off: np.ndarray, raw: np.ndarray, space: np.ndarray = _SPACE):
+    def __init__(self, off: np.ndarray, raw: np.ndarray, space: np.ndarray = _SPACE, letters: np.ndarray = _LETTER_HASH):
         off = off - off[0]
         n = len(raw)
         solid = ~space[raw]
@@ -143,7 +143,7 @@ class Words:
         self.first = np.searchsorted(self.start, off)
         p, inv = powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LETTER_HASH[raw] * p[:n], out=total[1:])
+        np.cumsum(letters[raw] * p[:n], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * inv[self.start] + (self.end - self.start).astype(np.uint64))
 
     def counts(self) -> np.ndarray:
