@@ -177,7 +177,7 @@ def shared(blocks: DataFrame, values: Callable[[dict], np.ndarray], n: float, ho
             u, count = np.unique(mix(values(row)), return_counts=True)
             own, at = np.unique((u >> np.uint64(64 - bits)).astype(np.int64), return_index=True)
             low = (u >> np.uint64(32 - bits)).astype("<u4")
-            cut = [*zip(at, [*at[1:], len(u)], strict=True)]
+            cut = [*zip(at, np.r_[at[1:], len(u)][: len(at)], strict=True)]
             yield _batch([("bucket", "int"), ("block", "long"), ("low", "binary"), ("many", "binary")], [(int(b), row["block"], low[i:j].tobytes(), (count[i:j] > 1).tobytes()) for b, (i, j) in zip(own, cut, strict=True)])
 
     def rank(rows: pa.Table) -> pa.Table:
@@ -264,7 +264,7 @@ class Segments:
         shard = (mix(self.value[own]) >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         ids, at = np.unique(shard[order], return_index=True)
-        for s, i, j in zip(ids, at, [*at[1:], len(order)], strict=True):
+        for s, i, j in zip(ids, at, np.r_[at[1:], len(order)][: len(at)], strict=True):
             yield int(s), own[order[i:j]]
 
 

@@ -159,5 +159,10 @@ def test_passages_null_and_repeated_ids(spark):
     assert got == sorted([(None, 30, 0), (None, 30, 0), (4, 30, 0), (4, 30, 0), (5, 30, 0), (5, 30, 30), (6, 31, 30)], key=str)
 
 
+def test_passages_without_repeats(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(200))) for i in range(8)], "doc_id long, text string").repartition(4)
+    assert {r.n_removed for r in remove_passages(docs).collect()} == {0}
+
+
 def test_passages_empty_table(spark):
     assert remove_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
