@@ -5,11 +5,14 @@ Patterns use no look-around and only classes that Java and RE2 read alike.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import label_tables as L
+
 # Border characters, decimal separators and unit confusions of OCR output.
 BORDER = "|{}[]\\"
 DECIMAL = [(r"([0-9]),([0-9])", "$1.$2"), (r"([0-9])'([0-9])", "$1.$2")]
@@ -41,24 +44,17 @@ SERVING = r"^[0-9]+\s*(kapseln?|tabletten?|softgels?|tubes?|sachets?|capsules?|t
 QUANTITY = r"^[<>]?\s*[*'\"]?([0-9]+[.,]?[0-9]*(\s*[x×]\s*10[0-9]*)?)\s*(mg|g|kg|µg|mcg|ug|kj|kcal|cal|ie|iu|%|ml|l)?[*'\"\s]*$"
 UNIT_TAIL = r"\s*(kj|kcal|cal|mg|g|kg|µg|mcg|ug|μg|ml|l|ie|iu|ne|re|%)[/\s].*$"
 VITAMIN = r"^(b[0-9]{1,2}|vitamin\s+[a-z][0-9]*|[cdek][0-9]?)$"
-UNITS = ("mg", "g", "kg", "µg", "mcg", "ug", "kj", "kcal", "cal", "kj/kcal", "ml", "dl", "cl", "l", "ie", "iu", "i.e.", "kbe", "cfu")
 SINGLE_UNITS = ("g", "l")
+#: Terms that the corrector and the text extractor know.
 NUTRIENTS = ("energie", "brennwert", "fett", "eiweiss", "eiweiß", "protein", "kohlenhydrate", "zucker", "salz", "ballaststoffe", "calcium", "magnesium", "eisen", "zink", "natrium", "energy")
-NOISE_PARTS = ("zutaten", "hinweis", "haltbar", "nährwert", "www", "@", "%%%", "***", "###", "$$$", "&&&")
-#: (pattern on the normalised text, canonical context); first match wins.
-CONTEXTS = [
-    (r"^(je|pro|per|pr0|pour|por)?\s*100\s*g$", "per_100g"),
-    (r"^(je|pro|per|pr0|pour|por)?\s*100\s*ml$", "per_100ml"),
-    (r"(tagesdosis|daily dose|pro tag|per day|kapsel|tablette)", "per_daily_dose"),
-    (r"(portion|serving)", "per_serving"),
-]
 # Quantities of tuples.
 QTY_UNIT = r"^([0-9]+[.,]?[0-9]*)\s*(mg|g|kg|µg|mcg|ug|kj|kcal|ml|iu|ie)$"
 QTY_ENERGY = r"^([0-9]+[.,]?[0-9]*)\s*(kj|kcal)\s*[\(\[]"
 QTY_PAREN = r"^([0-9]+[.,]?[0-9]*)\s*[\(\[]"
 QTY_PLAIN = r"^([0-9]+[.,]?[0-9]*)$"
-ENERGY_NAME = r"(energie|energy|brennwert|énergie|energia)"
-ENERGY_UNITS = ("kj", "kcal", "cal", "kj/kcal")
+ENERGY_NAME = r"(energie|energy|brennwert|énergie|energia|energy\s*value|valor\s*energ|valeur\s*energ|valore\s*energ|wartość\s*energ|energetick|energijska)"
+ENERGY_UNITS = ("kj", "kcal", "cal", "kj/kcal", "kj/kca", "kcal/kj")
+EMBEDDED_UNIT = r"[\(\s/](kj/kcal|kj/kca|kcal/kj|kj|kcal|cal|mg\s*(ne|re|α-te|a-te)?|µg\s*(re|ne|te)?|mcg|ug|μg|kg|ml|dl|cl|ie|iu|kbe|cfu|g)\s*[\)\s,.:;]*$"
 UNIT_ALIASES = {"ie": "iu", "i.e.": "iu", "cal": "kcal", "mcg": "µg", "ug": "µg"}
 #: (name as printed, canonical name).
 CANONICAL = [("eiweiß", "protein"), ("eiweiss", "protein"), ("fett", "fat"), ("brennwert", "energy"), ("energie", "energy"), ("kohlenhydrate", "carbohydrate"), ("zucker", "sugars"), ("salz", "salt"), ("eisen", "iron"), ("zink", "zinc"), ("ballaststoffe", "fibre")]
@@ -119,3 +115,34 @@ def duck_normal(text: str) -> str:
     s = f"regexp_replace(trim(lower({text})), '[''\"`]', '', 'g')"
     s = f"regexp_replace(regexp_replace({s}, '\\([a-zα-ω0-9-]+\\)', '', 'g'), '\\s+', ' ', 'g')"
     return f"trim({s}, '.,!?;:- ')"
+
+
+_CONTEXT_TRIM = ".,;:*'\"()"
+#: The leftmost string that makes a context, of several there the longest.
+_CONTEXT_PART = "(" + "|".join(re.escape(p).replace("\\ ", " ") for p in sorted(L.CONTEXT_PARTS, key=lambda p: (-len(p), p))) + ")"
+_FORMS = {form: name for name, forms in L.CONTEXT_FORMS.items() for form in forms}
+
+
+def context(norm: Column, text: Column) -> Column:
+    """Canonical context of a token, or null: its whole text, then without outer punctuation, then a string it holds, then patterns."""
+    table = F.create_map(*(F.lit(x) for pair in _FORMS.items() for x in pair))
+    form = lambda c: F.try_element_at(table, c)
+    key = F.trim(F.lower(text))
+    clean = F.btrim(key, F.lit(_CONTEXT_TRIM))
+    part = F.regexp_extract(norm, _CONTEXT_PART, 1)
+    own = F.coalesce(form(norm), norm)
+    out = F.lit(None).cast("string")
+    for on, pattern, name in reversed(L.CONTEXT_PATTERNS):
+        out = F.when({"c": clean, "n": norm}[on].rlike(pattern), F.lit(name) if name else own).otherwise(out)
+    return F.coalesce(form(key), form(clean), F.when(part != "", F.coalesce(form(part), own)), out)
+
+
+def duck_context(norm: str, text: str) -> str:
+    table = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in _FORMS.items()) + "}"
+    form = lambda c: f"{table}[{c}]"
+    key = f"trim(lower({text}))"
+    clean = f"trim({key}, {q(_CONTEXT_TRIM)})"
+    part = f"regexp_extract({norm}, {q(_CONTEXT_PART)}, 1)"
+    own = f"coalesce({form(norm)}, {norm})"
+    cases = " ".join(f"WHEN regexp_matches({dict(c=clean, n=norm)[on]}, {q(p)}) THEN {q(name) if name else own}" for on, p, name in L.CONTEXT_PATTERNS)
+    return f"coalesce({form(key)}, {form(clean)}, CASE WHEN {part} <> '' THEN coalesce({form(part)}, {own}) END, CASE {cases} END)"

@@ -8,16 +8,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import label_tables as L
 from ..functions import rules as R
 
 THRESHOLD, MARGIN = 0.59, 0.04
+#: Prototypes that may be sent to every task.
+SENT = 10_000
+
+
+_LONG_NAMES = "(" + "|".join(n for n in L.NAMES if len(n) > 4) + ")"
 
 
 def is_nutrient(norm: Column) -> Column:
-    one = lambda c: c.isin(*R.NUTRIENTS) | c.rlike("(" + "|".join(n for n in R.NUTRIENTS if len(n) > 4) + ")") | c.startswith("vitamin") | c.rlike(R.VITAMIN)
+    """Does the text, or a part of it between slashes, with or without a unit at its end, name a nutrient?"""
+    one = lambda c: c.isin(*L.NAMES) | c.rlike(_LONG_NAMES) | c.startswith("vitamin") | c.rlike(R.VITAMIN)
+    short = lambda c: F.trim(F.btrim(F.regexp_replace(c, R.UNIT_TAIL, ""), F.lit(".,!?;:- ")))
     bare = F.trim(F.regexp_replace(norm, r"^[-–•]\s*", ""))
-    cut = F.trim(F.btrim(F.regexp_replace(bare, R.UNIT_TAIL, ""), F.lit(".,!?;:- ")))
-    return F.exists(F.concat(F.split(bare, r"\s*/\s*"), F.split(cut, r"\s*/\s*")), lambda p: (p != "") & one(p))
+    parts = F.concat(F.split(bare, r"\s*/\s*"), F.split(short(bare), r"\s*/\s*"))
+    return F.exists(F.concat(parts, F.transform(parts, short)), lambda p: (p != "") & one(p))
 
 
 def fallback(tokens: DataFrame) -> DataFrame:
@@ -25,18 +33,26 @@ def fallback(tokens: DataFrame) -> DataFrame:
     return tokens.withColumns({"label": F.lit("UNKNOWN"), "norm": F.lit(None).cast("string"), "entity": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
 
 
+def left_open(mode: str = "hybrid") -> Column:
+    return F.col("label").isin(*(("UNKNOWN",) if mode == "hybrid" else ("UNKNOWN", "NUTRIENT")))
+
+
 def needs_embedding(labelled: DataFrame, mode: str = "hybrid") -> DataFrame:
     """Tokens whose rule label does not settle them: UNKNOWN ones, and NUTRIENT ones too unless ``mode`` is hybrid."""
-    return labelled.where(F.col("label").isin(*(("UNKNOWN",) if mode == "hybrid" else ("UNKNOWN", "NUTRIENT"))))
+    return labelled.where(left_open(mode))
 
 
 def classify(tokens: DataFrame, least_conf: float = 0.30) -> DataFrame:
-    """Adds ``norm`` and ``label``: NOISE, UNIT, CONTEXT, QUANTITY, NUTRIENT or UNKNOWN; the first rule that holds decides."""
+    """Adds ``norm`` and ``label``: NOISE, UNIT, CONTEXT, QUANTITY, NUTRIENT or UNKNOWN; the first rule that holds decides.
+
+    ``reference`` is NRV or SERVING for tokens that are NOISE as a percentage or serving size.
+    """
+    # The context is a column of its own, so that its patterns run once a token.
     t = tokens.withColumn("norm", R.normal(F.col("token")))
-    n = F.col("norm")
-    context = R.first_match(n, R.CONTEXTS)
+    t = t.withColumn("_context", R.context(F.col("norm"), F.col("token")))
+    n, context = F.col("norm"), F.col("_context")
     short = (F.length(n) <= 1) & ~n.rlike("^[0-9]$")
-    noise = short | F.exists(F.array(*map(F.lit, R.NOISE_PARTS)), lambda s: F.contains(F.lower("token"), s))
+    noise = short | F.exists(F.array(*map(F.lit, L.NOISE)), lambda s: F.contains(n, s))
     bare_unit = F.btrim(n, F.lit(".,*()[] "))
     label = (
         F.when(F.col("conf") < least_conf, "NOISE")
@@ -45,13 +61,15 @@ def classify(tokens: DataFrame, least_conf: float = 0.30) -> DataFrame:
         .when(context.isNotNull(), "CONTEXT")
         .when(n.rlike(R.SERVING), "NOISE")
         .when(noise, "NOISE")
-        .when(bare_unit.isin(*R.UNITS), "UNIT")
+        .when(bare_unit.isin(*L.UNITS), "UNIT")
         .when(F.btrim(n, F.lit("*'\"()[]. ")).rlike(R.QUANTITY), "QUANTITY")
         .when(is_nutrient(n), "NUTRIENT")
         .otherwise("UNKNOWN")
     )
-    t = t.withColumn("label", label)
-    return t.withColumn("norm", F.when(F.col("label") == "CONTEXT", context).when(F.col("label") == "UNIT", bare_unit).otherwise(n))
+    sure = (F.col("conf") >= least_conf) & ~n.isin(*R.SINGLE_UNITS)
+    reference = F.when(sure & n.rlike(R.NRV), "NRV").when(sure & context.isNull() & n.rlike(R.SERVING), "SERVING")
+    t = t.withColumns({"label": label, "reference": reference})
+    return t.withColumn("norm", F.when(F.col("label") == "CONTEXT", context).when(F.col("label") == "UNIT", bare_unit).otherwise(n)).drop("_context")
 
 
 def label_summary(labelled: DataFrame) -> DataFrame:
@@ -60,16 +78,19 @@ def label_summary(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("label").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / total, 6))
 
 
-def category_scores(vectors: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """(vec_id, category, score): greatest cosine with the prototypes (category, vec) of each category.
+def category_scores(vectors: DataFrame, prototypes: DataFrame, key: str = "vec_id") -> DataFrame:
+    """(key, category, score): greatest cosine with the prototypes (category, vec) of each category.
 
-    Prototypes are a rule table of fixed size.
+    The prototypes go as one array into every row, so their number is checked: ``SENT`` at most.
     """
-    dot = lambda a, b: F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * cast(y as double)), 0D, (s, z) -> s + z)")
-    v = vectors.withColumn("nv", F.sqrt(dot("embedding", "embedding")))
-    p = prototypes.withColumn("np", F.sqrt(dot("vec", "vec")))
-    pairs = v.join(F.broadcast(p))
-    return pairs.withColumn("cosine", dot("embedding", "vec") / (F.col("nv") * F.col("np"))).groupBy("vec_id", "category").agg(F.max("cosine").alias("score"))
+    n = prototypes.limit(SENT + 1).count()
+    if n > SENT:
+        raise ValueError(f"more than {SENT} prototypes")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, z: s + z)
+    sent = prototypes.agg(F.collect_list(F.struct("category", "vec", F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("norm"))).alias("_p"))
+    v = vectors.withColumn("_n", F.sqrt(dot(F.col("embedding"), F.col("embedding")))).join(F.broadcast(sent))
+    pairs = v.select(key, F.explode(F.transform("_p", lambda p: F.struct(p["category"].alias("category"), (dot(F.col("embedding"), p["vec"]) / (F.col("_n") * p["norm"])).alias("cosine")))).alias("s"))
+    return pairs.groupBy(key, "s.category").agg(F.max("s.cosine").alias("score"))
 
 
 def decide(scores: DataFrame, category: str, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:

@@ -13,14 +13,27 @@ ROW_GAP, COLUMN_GAP, HEADER_ROWS, ROLE_SHARE = 25.0, 60.0, 2, 0.4
 
 
 
-def scale() -> Column:
+def scale(*by: str) -> Column:
     """Resolution of the image against 500 pixels of height, 1 or more."""
-    return F.greatest(F.max("y2").over(Window.partitionBy("image_id")) / F.lit(500.0), F.lit(1.0))
+    return F.greatest(F.max("y2").over(Window.partitionBy("image_id", *by)) / F.lit(500.0), F.lit(1.0))
 
 
 def geometry(tokens: DataFrame) -> DataFrame:
-    """Adds width, height, reading direction (dx, dy), normal (nx, ny) and angle_deg; upright boxes read left to right."""
-    return tokens.select("*", (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("nx"), F.lit(1.0).alias("ny"), F.degrees(F.atan2(F.lit(0.0), F.lit(1.0))).alias("angle_deg"))
+    """Adds width, height, reading direction (dx, dy), normal (nx, ny) and angle_deg.
+
+    The direction is that of the first edge of ``quad``, an array of (x, y) corners from the top left
+    one on, where the column is there and has four; else, and where the edge has no length, it is
+    level, from left to right.
+    """
+    x, y = F.lit(1.0), F.lit(0.0)
+    if "quad" in tokens.columns:
+        at = lambda i, k: F.get(F.get(F.col("quad"), F.lit(i)), F.lit(k)).cast("double")
+        ex, ey = at(1, 0) - at(0, 0), at(1, 1) - at(0, 1)
+        size = F.sqrt(ex * ex + ey * ey)
+        real = (F.size("quad") == 4) & (size >= 1e-8)
+        x, y = F.when(real, ex / size).otherwise(1.0), F.when(real, ey / size).otherwise(0.0)
+    t = tokens.withColumns({"width": F.col("x2") - F.col("x1"), "height": F.col("y2") - F.col("y1"), "dx": x, "dy": y})
+    return t.withColumns({"nx": F.negative("dy") + 0.0, "ny": F.col("dx"), "angle_deg": F.degrees(F.atan2("dy", "dx"))})
 
 
 def polygon_box(quad: Column) -> list[Column]:
@@ -46,17 +59,20 @@ def compatible(tokens: DataFrame, most: float = ROW_GAP, angle: float = 15.0) ->
     return pairs.select("a.image_id", F.col("a.tok_idx").alias("a"), F.col("b.tok_idx").alias("b"), (same & (F.abs(across) <= most)).alias("row_ok"), conf(across).alias("row_conf"), (same & (F.abs(along) <= most)).alias("col_ok"), conf(along).alias("col_conf"), same.alias("same_way"))
 
 
-def _groups(tokens: DataFrame, at: str, gap: Column, name: str) -> DataFrame:
-    order = Window.partitionBy("image_id").orderBy(at, "tok_idx")
+def _groups(tokens: DataFrame, at: str, gap: Column, name: str, *by: str) -> DataFrame:
+    order = Window.partitionBy("image_id", *by).orderBy(at, "tok_idx")
     new = F.coalesce((F.col(at) - F.lag(at).over(order) > gap).cast("long"), F.lit(0).cast("long"))
     return tokens.withColumn("_new", new).withColumn(name, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def induce(tokens: DataFrame, row_gap: float = ROW_GAP, column_gap: float = COLUMN_GAP, scaled: bool = True) -> DataFrame:
-    """Adds row_id and column_id: a new group begins where the gap to the previous token along the axis exceeds the limit."""
-    s = scale() if scaled else F.lit(1.0)
+def induce(tokens: DataFrame, row_gap: float = ROW_GAP, column_gap: float = COLUMN_GAP, scaled: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds row_id and column_id: a new group begins where the gap to the previous token along the axis exceeds the limit.
+
+    ``by``: columns whose values are kept apart besides images.
+    """
+    s = scale(*by) if scaled else F.lit(1.0)
     t = tokens.withColumn("scale", s)
-    return _groups(_groups(t, "cy", row_gap * F.col("scale"), "row_id"), "cx", column_gap * F.col("scale"), "column_id")
+    return _groups(_groups(t, "cy", row_gap * F.col("scale"), "row_id", *by), "cx", column_gap * F.col("scale"), "column_id", *by)
 
 
 def deskew(tokens: DataFrame, near: float = 200.0) -> DataFrame:
@@ -67,20 +83,35 @@ def deskew(tokens: DataFrame, near: float = 200.0) -> DataFrame:
     return all_.select("image_id", F.size("s").cast("long").alias("n"), F.expr("s[cast(size(s) div 2 as int)]").alias("slope"))
 
 
+def _role(n: Column, most: Column, top: Column) -> Column:
+    name = F.when(top == "NUTRIENT", "NUTRIENT").when(top.isin("QUANTITY", "CONTEXT"), "DOSAGE").when(top == "UNIT", "UNIT").otherwise("MIXED")
+    return F.when((n < 2) | (most / n < ROLE_SHARE), F.lit("MIXED")).otherwise(name)
+
+
 def column_roles(grouped: DataFrame) -> DataFrame:
     """(image_id, column_id, role, top, n): the most frequent label, first seen among equals, if it holds 40 %."""
     counts = grouped.groupBy("image_id", "column_id", "label").agg(F.count("*").alias("c"), F.min(F.struct("cy", "tok_idx")).alias("first"))
     top = counts.groupBy("image_id", "column_id").agg(F.sum("c").alias("n"), F.min(F.struct(F.negative("c").alias("k"), "first", "label", "c")).alias("m"))
-    name = F.when(F.col("m.label") == "NUTRIENT", "NUTRIENT").when(F.col("m.label").isin("QUANTITY", "CONTEXT"), "DOSAGE").when(F.col("m.label") == "UNIT", "UNIT").otherwise("MIXED")
-    return top.select("image_id", "column_id", F.when((F.col("n") < 2) | (F.col("m.c") / F.col("n") < ROLE_SHARE), F.lit("MIXED")).otherwise(name).alias("role"), F.col("m.label").alias("top"), "n")
+    return top.select("image_id", "column_id", _role(F.col("n"), F.col("m.c"), F.col("m.label")).alias("role"), F.col("m.label").alias("top"), "n")
 
 
-def headers(grouped: DataFrame, rows: int = HEADER_ROWS) -> DataFrame:
+def with_roles(grouped: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds column_role and dosage_stream_id to the tokens themselves, by windows alone: no shuffle beyond that by image."""
+    column = Window.partitionBy("image_id", *by, "column_id")
+    label = Window.partitionBy("image_id", *by, "column_id", "label")
+    t = grouped.withColumn("_c", F.struct(F.negative(F.count("*").over(label)).alias("k"), F.min(F.struct("cy", "tok_idx")).over(label).alias("first"), F.col("label").alias("label")))
+    t = t.withColumns({"_m": F.min("_c").over(column), "_n": F.count("*").over(column)})
+    t = t.withColumn("column_role", _role(F.col("_n"), F.negative("_m.k"), F.col("_m.label")))
+    stream = F.dense_rank().over(Window.partitionBy("image_id", *by, "column_role").orderBy("column_id")) - 1
+    return t.withColumn("dosage_stream_id", F.when(F.col("column_role") == "DOSAGE", stream).otherwise(-1).cast("long")).drop("_c", "_m", "_n")
+
+
+def headers(grouped: DataFrame, rows: int = HEADER_ROWS, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds is_header (a CONTEXT in the first rows) and column_context_id (of the column's last header)."""
     t = grouped.withColumn("is_header", (F.col("label") == "CONTEXT") & (F.col("row_id") <= rows))
     own = F.when(F.col("is_header"), F.coalesce("norm", F.lower("token")))
-    by = Window.partitionBy("image_id", "column_id")
-    return t.withColumn("column_context_id", F.max_by(own, F.when(F.col("is_header"), F.col("tok_idx"))).over(by))
+    column = Window.partitionBy("image_id", *by, "column_id")
+    return t.withColumn("column_context_id", F.max_by(own, F.when(F.col("is_header"), F.col("tok_idx"))).over(column))
 
 
 def streams(roles: DataFrame) -> DataFrame:
@@ -90,10 +121,10 @@ def streams(roles: DataFrame) -> DataFrame:
     return roles.withColumn("dosage_stream_id", F.when(F.col("role") == "DOSAGE", n - 1).otherwise(F.lit(-1).cast("long")))
 
 
-def ranks(t: DataFrame) -> DataFrame:
+def ranks(t: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds rank_in_row, and ranks in the column among data, quantities and names; -1 where they do not count."""
-    row = Window.partitionBy("image_id", "row_id").orderBy("cx", "tok_idx")
-    col = Window.partitionBy("image_id", "column_id").orderBy("cy", "tok_idx").rowsBetween(Window.unboundedPreceding, 0)
+    row = Window.partitionBy("image_id", *by, "row_id").orderBy("cx", "tok_idx")
+    col = Window.partitionBy("image_id", *by, "column_id").orderBy("cy", "tok_idx").rowsBetween(Window.unboundedPreceding, 0)
     data = ~F.col("is_header")
     running = lambda c: F.when(c, F.sum(c.cast("long")).over(col) - 1).otherwise(F.lit(-1).cast("long"))
     return t.withColumns({"rank_in_row": F.row_number().over(row).cast("long") - 1, "data_rank_in_column": running(data), "qty_rank_in_column": running(data & (F.col("label") == "QUANTITY")), "nutrient_rank_in_column": running(data & (F.col("label") == "NUTRIENT"))})
@@ -108,13 +139,20 @@ def confidence(grouped: DataFrame, group: str, at: str, most: float) -> DataFram
     return g.select("image_id", group).distinct().join(mean, ["image_id", group], "left").withColumn("conf", F.coalesce("conf", F.lit(1.0)))
 
 
+#: What enrichment adds, null on NOISE rows.
+ADDED = ("scale", "row_id", "column_id", "column_context_id", "column_role", "dosage_stream_id", "rank_in_row", "data_rank_in_column", "qty_rank_in_column", "nutrient_rank_in_column")
+
+
 def enrich(labelled: DataFrame) -> DataFrame:
-    """All of the above on the tokens that are not NOISE; NOISE rows follow with is_enriched false."""
-    t = headers(induce(labelled.where("label <> 'NOISE'")))
-    roles = streams(column_roles(t)).select("image_id", "column_id", F.col("role").alias("column_role"), "dosage_stream_id")
-    out = ranks(t.join(roles, ["image_id", "column_id"])).withColumn("is_enriched", F.lit(True))
-    noise = labelled.where("label = 'NOISE'").withColumns({"is_enriched": F.lit(False), "is_header": F.lit(False)})
-    return out.unionByName(noise, allowMissingColumns=True)
+    """All of the above on the tokens that are not NOISE; NOISE rows stay, with is_enriched false and nothing added.
+
+    One shuffle by image serves all steps; NOISE tokens form window partitions of their own.
+    """
+    by = ("is_enriched",)
+    # Dealt by image alone, which is what the steps after this one group by.
+    t = labelled.withColumn("is_enriched", F.col("label") != "NOISE").repartition("image_id")
+    t = ranks(with_roles(headers(induce(t, by=by), by=by), by), by)
+    return t.withColumns({c: F.when(F.col("is_enriched"), F.col(c)) for c in ADDED})
 
 
 def diagnostics(enriched: DataFrame) -> DataFrame:

@@ -53,25 +53,58 @@ def any_segment(a: Column, b: Column) -> Column:
     return F.arrays_overlap(F.array_remove(cut(a), ""), F.array_remove(cut(b), ""))
 
 
-def candidates(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """All pairs of an image's gold (g) and predicted (p) tuples with their field matches and score."""
+def fast_fields(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """(image_id, g, p, name, qty_ok, unit_ok, ctx_ok) of all pairs of an image's gold and predicted tuples; ``name`` is true or unknown, never false."""
     pairs = gold.alias("g").join(pred.alias("p"), "image_id")
     same = lambda f: F.coalesce(f(F.col("g.unit")) == f(F.col("p.unit")), F.col("g.unit").isNull() & F.col("p.unit").isNull())
     ctx = F.coalesce(norm_context(F.col("g.context")) == norm_context(F.col("p.context")), F.col("g.context").isNull() & F.col("p.context").isNull())
-    name = F.coalesce(nutrient_match(F.col("g.nutrient"), F.col("p.nutrient")) | F.when(any_segment(F.col("g.nutrient"), F.col("p.nutrient")), F.lit(True)), F.lit(False))
-    out = pairs.select("image_id", "g.g", "p.p", name.alias("name_ok"), quantity_match(F.col("g.quantity"), F.col("p.quantity")).alias("qty_ok"), same(norm_unit).alias("unit_ok"), ctx.alias("ctx_ok"))
+    return pairs.select("image_id", "g.g", "p.p", F.col("g.nutrient").alias("_gn"), F.col("p.nutrient").alias("_pn"), nutrient_match(F.col("g.nutrient"), F.col("p.nutrient")).alias("name"), quantity_match(F.col("g.quantity"), F.col("p.quantity")).alias("qty_ok"), same(norm_unit).alias("unit_ok"), ctx.alias("ctx_ok"))
+
+
+def candidates(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """All pairs of an image's gold (g) and predicted (p) tuples with their field matches and score."""
+    c = fast_fields(gold, pred)
+    name = F.coalesce(F.col("name") | F.when(any_segment(F.col("_gn"), F.col("_pn")), F.lit(True)), F.lit(False))
+    out = c.select("image_id", "g", "p", name.alias("name_ok"), "qty_ok", "unit_ok", "ctx_ok")
     score = 2 * F.col("name_ok").cast("double") + F.col("qty_ok").cast("double") + 0.5 * F.col("unit_ok").cast("double")
     return out.withColumn("score", score)
 
 
+def with_verdicts(fast: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(image_id, g, p, name_ok, qty_ok, unit_ok, ctx_ok, full, method, *_reason): fast answers, with a model's late verdict where the fast one on the name is unknown.
+
+    ``verdicts`` (image_id, g, p, nutrient_match, quantity_match, unit_match, context_match, nutrient_reason, ...)
+    are asked for pairs with an unknown name only. There the name is the verdict's, and another field is right
+    if either says so; a verdict's null counts as no. Without a verdict an unknown name is wrong.
+    """
+    fields = {"qty": "quantity", "unit": "unit", "ctx": "context"}
+    keys = ["image_id", "g", "p"]
+    known, unknown = fast.where("name is not null"), fast.where("name is null").join(verdicts.withColumn("_asked", F.lit(True)), keys, "left")
+    said = F.coalesce(F.col("_asked"), F.lit(False))
+    yes = lambda c: F.coalesce(F.col(f"{c}_match"), F.lit(False))
+    reason = lambda c, ok, right, wrong: F.when(said, F.coalesce(f"{c}_reason", F.lit(""))).otherwise(F.when(ok, right).otherwise(wrong)).alias(f"{c}_reason")
+    late = unknown.select(
+        *keys,
+        (said & yes("nutrient")).alias("name_ok"),
+        *((F.col(f"{k}_ok") | (said & yes(c))).alias(f"{k}_ok") for k, c in fields.items()),
+        F.when(said, "fast+llm").otherwise("fast").alias("method"),
+        F.when(said, F.coalesce("nutrient_reason", F.lit(""))).otherwise("no match").alias("nutrient_reason"),
+        *(reason(c, F.col(f"{k}_ok"), right, "mismatch") for (k, c), right in zip(fields.items(), ("numeric match", "alias match", "alias match"), strict=True)),
+    )
+    all_ = F.col("qty_ok") & F.col("unit_ok") & F.col("ctx_ok")
+    told = [F.when(F.col(f"{k}_ok"), right).otherwise("mismatch").alias(f"{c}_reason") for (k, c), right in zip(fields.items(), ("numeric match", "alias match", "alias match"), strict=True)]
+    early = known.select(*keys, F.lit(True).alias("name_ok"), "qty_ok", "unit_ok", "ctx_ok", F.lit("fast").alias("method"), F.when(all_, "exact/substring match").otherwise("substring match").alias("nutrient_reason"), *told)
+    return early.unionByName(late).withColumn("full", F.col("name_ok") & all_)
+
+
 def match(gold: DataFrame, pred: DataFrame, least: float = 2.0) -> DataFrame:
     """Pair details: first pairs equal in all four fields, then the rest by score, each tuple used once."""
     c = candidates(gold, pred)
     full = F.col("name_ok") & F.col("qty_ok") & F.col("unit_ok") & F.col("ctx_ok")
-    # Fully equal pairs come first in one strict order, so one pass gives both.
-    ranked = c.where(F.col("name_ok") & (full | (F.col("score") >= least))).withColumn("score", F.when(full, F.lit(100.0)).otherwise(F.col("score")))
-    taken = greedy(ranked).select("image_id", "g", "p")
-    return c.join(taken, ["image_id", "g", "p"]).withColumn("full_3f", F.col("qty_ok") & F.col("unit_ok")).withColumn("full_4f", F.col("full_3f") & F.col("ctx_ok"))
+    # Fully equal pairs come first in one strict order, so one pass gives both; the flags travel with the pairs.
+    ranked = c.where(F.col("name_ok") & (full | (F.col("score") >= least))).withColumn("_own", F.col("score")).withColumn("score", F.when(full, F.lit(100.0)).otherwise(F.col("score")))
+    taken = greedy(ranked).withColumn("score", F.col("_own")).drop("_own")
+    return taken.withColumn("full_3f", F.col("qty_ok") & F.col("unit_ok")).withColumn("full_4f", F.col("full_3f") & F.col("ctx_ok"))
 
 
 def first_fit(gold: DataFrame, pred: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ condition; each pair is looked at once and mirrored after.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +22,44 @@ def nodes(enriched: DataFrame, version: int = 2) -> DataFrame:
     """Tokens that are no NOISE (and enriched, in the second graph), with id and scale."""
     kept = enriched.where("label <> 'NOISE'")
     kept = kept.where("is_enriched") if version == 2 else kept
-    return kept.withColumn("id", F.col("tok_idx")).withColumn("scale", scale())
+    kept = kept if "scale" in kept.columns else kept.withColumn("scale", scale())
+    return kept.withColumn("id", F.col("tok_idx"))
+
+
+def references(labelled: DataFrame) -> DataFrame:
+    """Percentages and serving sizes as nodes: the NOISE tokens that ``classify`` marks as such, with that mark for a label."""
+    return labelled.where("reference is not null").select("image_id", F.col("tok_idx").alias("id"), F.col("reference").alias("label"), "token", "norm", "x1", "y1", "x2", "y2", "cx", "cy", "conf")
 
 
 def box_gap(a: str, b: str) -> Column:
     """Distance between two boxes, 0 where they overlap."""
-    side = lambda lo, hi: F.greatest(F.lit(0), F.col(f"{b}.{lo}") - F.col(f"{a}.{hi}"), F.col(f"{a}.{lo}") - F.col(f"{b}.{hi}")).cast("double")
+    return _gap(_of(a), _of(b))
+
+
+Fields = Callable[[str], Column]
+
+
+def _of(alias: str) -> Fields:
+    return lambda f: F.col(f"{alias}.{f}")
+
+
+def _gap(a: Fields, b: Fields) -> Column:
+    side = lambda lo, hi: F.greatest(F.lit(0), b(lo) - a(hi), a(lo) - b(hi)).cast("double")
     dx, dy = side("x1", "x2"), side("y1", "y2")
     return F.sqrt(dx * dx + dy * dy)
 
 
+def relations(a: Fields, b: Fields, version: int = 2) -> dict[str, Column]:
+    """Whether nodes a and b (by their fields) share a row or column, are next to each other, and whether a is a context or header over b."""
+    s = a("scale")
+    row, col = F.abs(a("cy") - b("cy")) <= ROW * s, F.abs(a("cx") - b("cx")) <= COLUMN * s
+    down = b("cy") - a("cy")
+    target = b("label") == "NUTRIENT" if version == 1 else ~b("label").isin("CONTEXT", "NOISE")
+    scope = (a("label") == "CONTEXT") & target & (down >= -ROW * s) & (down <= SCOPE * s)
+    head = a("is_header") & ~b("is_header") & (a("column_id") == b("column_id")) if version == 2 else F.lit(False)
+    return {"row": row, "col": col, "adj": ~row & ~col & (_gap(a, b) <= ADJACENT * s), "scope": scope, "head": head}
+
+
 def edges(n: DataFrame, version: int = 2) -> DataFrame:
     """(image_id, src, dst, type, weight) between the nodes ``n``."""
     row_name, col_name, adj_name = NAMES[version]
@@ -38,21 +68,14 @@ def edges(n: DataFrame, version: int = 2) -> DataFrame:
     pairs = n.alias("a").join(n.alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.id") < F.col("b.id")))
     s = F.col("a.scale")
     dy, dx, gap = F.abs(F.col("a.cy") - F.col("b.cy")), F.abs(F.col("a.cx") - F.col("b.cx")), box_gap("a", "b")
-    row, col = dy <= ROW * s, dx <= COLUMN * s
-    near = ~row & ~col & (gap <= ADJACENT * s)
+    there, back = relations(_of("a"), _of("b"), version), relations(_of("b"), _of("a"), version)
     graded = lambda d, t: F.round(1 - d / (t * s), 4) if version == 2 else F.lit(1.0)
     edge = lambda ok, kind, weight, both: F.when(ok, F.struct(F.lit(kind).alias("type"), weight.alias("weight"), F.lit(both).alias("way")))
-
-    def scope(x: str, y: str) -> Column:
-        target = F.col(f"{y}.label") == "NUTRIENT" if version == 1 else ~F.col(f"{y}.label").isin("CONTEXT", "NOISE")
-        down = F.col(f"{y}.cy") - F.col(f"{x}.cy")
-        return (F.col(f"{x}.label") == "CONTEXT") & target & (down >= -ROW * s) & (down <= SCOPE * s)
-
-    found = [edge(row, row_name, graded(dy, ROW), 0), edge(col, col_name, graded(dx, COLUMN), 0), edge(near, adj_name, F.round(1 - gap / (ADJACENT * s), 4), 0), edge(scope("a", "b"), "CONTEXT_SCOPE", F.lit(1.0), 1), edge(scope("b", "a"), "CONTEXT_SCOPE", F.lit(1.0), -1)]
+    found = [edge(there["row"], row_name, graded(dy, ROW), 0), edge(there["col"], col_name, graded(dx, COLUMN), 0), edge(there["adj"], adj_name, F.round(1 - gap / (ADJACENT * s), 4), 0), edge(there["scope"], "CONTEXT_SCOPE", F.lit(1.0), 1), edge(back["scope"], "CONTEXT_SCOPE", F.lit(1.0), -1)]
     if version == 2:
-        head = lambda x, y: F.col(f"{x}.is_header") & ~F.col(f"{y}.is_header") & (F.col("a.column_id") == F.col("b.column_id"))
-        found += [edge(head("a", "b"), "HEADER_SCOPE", F.lit(1.0), 1), edge(head("b", "a"), "HEADER_SCOPE", F.lit(1.0), -1)]
-    e = pairs.select("a.image_id", F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.explode(F.array_compact(F.array(*found))).alias("e"))
+        found += [edge(there["head"], "HEADER_SCOPE", F.lit(1.0), 1), edge(back["head"], "HEADER_SCOPE", F.lit(1.0), -1)]
+    near = there["row"] | there["col"] | (gap <= ADJACENT * s) | there["scope"] | back["scope"] | there["head"] | back["head"]
+    e = pairs.where(near).select("a.image_id", F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.explode(F.array_compact(F.array(*found))).alias("e"))
     ends = F.when(F.col("e.way") == 0, F.array(F.struct(F.col("i").alias("src"), F.col("j").alias("dst")), F.struct(F.col("j").alias("src"), F.col("i").alias("dst")))).when(F.col("e.way") == 1, F.array(F.struct(F.col("i").alias("src"), F.col("j").alias("dst")))).otherwise(F.array(F.struct(F.col("j").alias("src"), F.col("i").alias("dst"))))
     return e.select("image_id", F.explode(ends).alias("p"), "e.type", "e.weight").select("image_id", "p.src", "p.dst", "type", "weight")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from .associate import parse_quantity
 from .evaluate import prf
 
 
@@ -47,7 +48,7 @@ def counts_per_group(rows: DataFrame, group: str) -> DataFrame:
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
     """(value, n, share)."""
     c = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return c.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    return c.join(F.broadcast(c.agg(F.sum("n").alias("_all")))).withColumn("share", F.round(F.col("n") / F.col("_all"), 6)).drop("_all")
 
 
 def distinct_per_group(rows: DataFrame, group: str, column: str) -> DataFrame:
@@ -114,6 +115,40 @@ def ranking(runs: DataFrame, run: str, value: str) -> DataFrame:
     return c.join(top).withColumn("rank", F.rank().over(Window.orderBy(F.desc("mean"))).cast("long")).select("run", "mean", "std", "rank", F.round(F.col("mean") - F.col("top"), 6).alias("delta"))
 
 
+def rank_alignment(n: DataFrame, e: DataFrame, gold: DataFrame, row: str = "ROW_COMPAT") -> DataFrame:
+    """One row: do ranks of names and quantities agree?
+
+    rank_consistent, rank_inconsistent: images whose dosage columns all have as many ranked quantities
+    as the first name column has ranked names. with_rank, matched, unmatched: ranked names, those with a
+    dosage quantity of their rank in the image, and the others. multi: names with over two
+    quantities in their row; multi_correct and multi_wrong: of those that the gold table
+    (image_id, g, nutrient, quantity) knows, whether the quantity of the name's rank has the gold value.
+    in_order, out_of_order: pairs of an image's names whose first ranked row quantities lie in the same, or in the other, order.
+    """
+    count = lambda c: F.count_if(F.col(c) >= 0)
+    columns = n.where("column_id >= 0").groupBy("image_id", "column_id").agg(F.first("column_role").alias("role"), count("nutrient_rank_in_column").alias("names"), count("qty_rank_in_column").alias("qs"), F.min("id").alias("first"))
+    images = columns.groupBy("image_id").agg(F.min(F.when(F.col("role") == "NUTRIENT", F.struct("first", "names"))).alias("n"), F.collect_list(F.when(F.col("role") == "DOSAGE", F.col("qs"))).alias("d"))
+    agree = images.where(F.col("n").isNotNull() & (F.size("d") > 0)).select(F.forall("d", lambda x: x == F.col("n.names")).alias("ok"))
+    agree = agree.agg(F.count_if("ok").alias("rank_consistent"), F.count_if(~F.col("ok")).alias("rank_inconsistent"))
+
+    q = n.where("label = 'QUANTITY'")
+    names = n.where("label = 'NUTRIENT' and nutrient_rank_in_column >= 0").select("image_id", "id", F.col("nutrient_rank_in_column").alias("r"), F.lower("token").alias("text"))
+    near = e.where(F.col("type") == row).select("image_id", F.col("src").alias("id"), F.col("dst").alias("q")).join(q.select("image_id", F.col("id").alias("q"), F.col("qty_rank_in_column").alias("qr"), "token"), ["image_id", "q"])
+    near = near.groupBy("image_id", "id").agg(F.array_sort(F.collect_list(F.struct("q", "qr", "token"))).alias("near"))
+    ranks = q.where("column_role = 'DOSAGE'").groupBy("image_id").agg(F.collect_set("qty_rank_in_column").alias("ranks"))
+    golds = gold.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("g", F.lower(F.coalesce("nutrient", F.lit(""))).alias("name"), F.replace(F.coalesce("quantity", F.lit("")), F.lit(","), F.lit(".")).alias("value")))).alias("golds"))
+    t = names.join(near, ["image_id", "id"], "left").join(ranks, "image_id", "left").join(golds, "image_id", "left")
+    own = F.get(F.filter("near", lambda x: x["qr"] == F.col("r")), F.lit(0))["token"]
+    want = F.get(F.filter("golds", lambda x: F.contains(x["name"], F.substring("text", 1, 10)) | F.contains(F.col("text"), F.substring(x["name"], 1, 10))), F.lit(0))["value"]
+    t = t.select("*", (F.size("near") > 2).alias("many"), (parse_quantity(own)[0] == want).alias("right"), F.coalesce(F.array_contains("ranks", F.col("r")), F.lit(False)).alias("has"), F.get(F.filter("near", lambda x: x["qr"] >= 0), F.lit(0))["qr"].alias("first_q"))
+    sure = F.coalesce(F.col("many"), F.lit(False))
+    counts = t.agg(F.count("*").alias("with_rank"), F.count_if("has").alias("matched"), F.count_if(~F.col("has")).alias("unmatched"), F.count_if(sure).alias("multi"), F.count_if(sure & F.col("right")).alias("multi_correct"), F.count_if(sure & ~F.col("right")).alias("multi_wrong"))
+    p = t.where("first_q is not null").groupBy("image_id").agg(F.collect_list(F.struct("r", "first_q")).alias("a"))
+    signs = F.flatten(F.transform("a", lambda x: F.transform("a", lambda y: F.when(x["r"] < y["r"], F.signum(y["first_q"] - x["first_q"])))))
+    order = p.select(F.size(F.filter(signs, lambda v: v > 0)).alias("i"), F.size(F.filter(signs, lambda v: v < 0)).alias("o")).agg(F.coalesce(F.sum("i"), F.lit(0)).alias("in_order"), F.coalesce(F.sum("o"), F.lit(0)).alias("out_of_order"))
+    return agree.join(counts).join(order)
+
+
 def numeric(c: Column) -> Column:
     """Number of a text with comma or dot, or null."""
     t = F.regexp_replace(F.trim(c), ",", ".")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions import label_tables as L
 from .functions import rules as R
 from .functions.rules import q
 from .sources.adapters import duck_tokens
@@ -11,8 +12,10 @@ def _in(values: tuple[str, ...] | list[str]) -> str:
     return "(" + ", ".join(q(v) for v in values) + ")"
 
 
-def tok(sql: str, *more: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join([duck_tokens(), *more]) + "\n" + sql
+def tok(sql: str, *more: str, token: str | None = None) -> str:
+    """``sql`` over the adapter's tokens; ``token`` is an expression that replaces their text."""
+    replaced = [duck_tokens("tok0"), f"tok AS (SELECT * REPLACE ({token} AS token) FROM tok0)"] if token else [duck_tokens()]
+    return "WITH RECURSIVE " + ",\n".join([*replaced, *more]) + "\n" + sql
 
 
 # Correction
@@ -127,21 +130,22 @@ def flags() -> str:
 
 
 def _lab() -> list[str]:
-    context = R.duck_first_match("nn", R.CONTEXTS)
-    long = "(" + "|".join(n for n in R.NUTRIENTS if len(n) > 4) + ")"
-    one = f"p IN {_in(R.NUTRIENTS)} OR regexp_matches(p, {q(long)}) OR starts_with(p, 'vitamin') OR regexp_matches(p, {q(R.VITAMIN)})"
+    context = R.duck_context("nn", "token")
+    long = "(" + "|".join(n for n in L.NAMES if len(n) > 4) + ")"
+    one = f"p IN {_in(L.NAMES)} OR regexp_matches(p, {q(long)}) OR starts_with(p, 'vitamin') OR regexp_matches(p, {q(R.VITAMIN)})"
     bare = "trim(regexp_replace(nn, '^[-–•]\\s*', ''))"
-    cut = f"trim(trim(regexp_replace({bare}, {q(R.UNIT_TAIL)}, '', 'g'), '.,!?;:- '))"
-    nutrient = f"len(list_filter(list_concat(string_split_regex({bare}, '\\s*/\\s*'), string_split_regex({cut}, '\\s*/\\s*')), lambda p: p <> '' AND ({one}))) > 0"
-    noise = " OR ".join(f"contains(lower(token), {q(s)})" for s in R.NOISE_PARTS)
+    short = lambda c: f"trim(trim(regexp_replace({c}, {q(R.UNIT_TAIL)}, '', 'g'), '.,!?;:- '))"
+    parts = f"list_concat(string_split_regex({bare}, '\\s*/\\s*'), string_split_regex({short(bare)}, '\\s*/\\s*'))"
+    nutrient = f"len(list_filter(list_concat({parts}, list_transform({parts}, lambda y: {short('y')})), lambda p: p <> '' AND ({one}))) > 0"
+    noise = " OR ".join(f"contains(nn, {q(s)})" for s in L.NOISE)
     label = (
         f"CASE WHEN conf < 0.30 THEN 'NOISE' WHEN nn IN {_in(R.SINGLE_UNITS)} THEN 'UNIT' WHEN regexp_matches(nn, {q(R.NRV)}) THEN 'NOISE' WHEN ctx IS NOT NULL THEN 'CONTEXT' WHEN regexp_matches(nn, {q(R.SERVING)}) THEN 'NOISE'"
-        f" WHEN (length(nn) <= 1 AND NOT regexp_matches(nn, '^[0-9]$')) OR {noise} THEN 'NOISE' WHEN un IN {_in(R.UNITS)} THEN 'UNIT' WHEN regexp_matches(trim(nn, '*''\"()[]. '), {q(R.QUANTITY)}) THEN 'QUANTITY' WHEN {nutrient} THEN 'NUTRIENT' ELSE 'UNKNOWN' END"
+        f" WHEN (length(nn) <= 1 AND NOT regexp_matches(nn, '^[0-9]$')) OR {noise} THEN 'NOISE' WHEN un IN {_in(L.UNITS)} THEN 'UNIT' WHEN regexp_matches(trim(nn, '*''\"()[]. '), {q(R.QUANTITY)}) THEN 'QUANTITY' WHEN {nutrient} THEN 'NUTRIENT' ELSE 'UNKNOWN' END"
     )
     return [
         f"l0 AS (SELECT *, {R.duck_normal('token')} nn FROM tok)",
         f"l1 AS (SELECT *, {context} ctx, trim(nn, '.,*()[] ') un FROM l0)",
-        f"l2 AS (SELECT *, {label} AS label FROM l1)",
+        f"l2 AS (SELECT *, {label} AS label, CASE WHEN conf < 0.30 OR nn IN {_in(R.SINGLE_UNITS)} THEN NULL WHEN regexp_matches(nn, {q(R.NRV)}) THEN 'NRV' WHEN ctx IS NULL AND regexp_matches(nn, {q(R.SERVING)}) THEN 'SERVING' END reference FROM l1)",
         "lab AS (SELECT *, CASE label WHEN 'CONTEXT' THEN ctx WHEN 'UNIT' THEN un ELSE nn END norm FROM l2)",
     ]
 
@@ -248,15 +252,15 @@ def _edges(version: int) -> list[str]:
         parts += ["SELECT image_id, i, j, 'HEADER_SCOPE', 1.0 FROM pr WHERE h1", "SELECT image_id, j, i, 'HEADER_SCOPE', 1.0 FROM pr WHERE h2"]
     return [
         *_grouped(),
-        "nod AS (SELECT rnk.*, rol.role, rol.stream FROM rnk JOIN rol USING (image_id, column_id))",
+        "nod AS MATERIALIZED (SELECT rnk.*, rol.role, rol.stream FROM rnk JOIN rol USING (image_id, column_id))",
         f"pa AS (SELECT a.image_id, a.tok_idx i, b.tok_idx j, a.scale sc, abs(a.cy - b.cy) dy, abs(a.cx - b.cx) dx, {side('x1', 'x2')} gx, {side('y1', 'y2')} gy, {scope('a', 'b')} s1, {scope('b', 'a')} s2, {head('a', 'b')} h1, {head('b', 'a')} h2 FROM nod a JOIN nod b ON a.image_id = b.image_id AND a.tok_idx < b.tok_idx)",
         "pr AS (SELECT *, dy <= 25.0 * sc rw, dx <= 20.0 * sc cl, sqrt(gx * gx + gy * gy) gap FROM pa)",
-        "edg AS (" + " UNION ALL ".join(parts) + ")",
+        "edg AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")",
     ]
 
 
-def edges(version: int, sql: str, *more: str) -> str:
-    return tok(sql, *_edges(version), *more)
+def edges(version: int, sql: str, *more: str, token: str | None = None) -> str:
+    return tok(sql, *_edges(version), *more, token=token)
 
 
 # Association
@@ -279,9 +283,9 @@ def parse_quantity() -> str:
     return tok(f"SELECT image_id, tok_idx, {v} AS value, {u} AS unit, CASE WHEN {nrv} <> '' THEN replace({nrv}, ',', '.') END nrv, {_NAME} AS name FROM tok")
 
 
-def _found(key: str = "abs(q.cy - n.cy)") -> list[str]:
+def _found(key: str = "abs(q.cy - n.cy)", row: str = "ROW_COMPAT") -> list[str]:
     return [
-        f"f0 AS (SELECT n.image_id, n.tok_idx nutrient, q.tok_idx q, q.cx, row_number() OVER (PARTITION BY n.image_id, n.tok_idx ORDER BY {key}, q.tok_idx) k FROM edg e JOIN nod n ON n.image_id = e.image_id AND n.tok_idx = e.src AND n.label = 'NUTRIENT' JOIN nod q ON q.image_id = e.image_id AND q.tok_idx = e.dst AND q.label = 'QUANTITY' WHERE e.type = 'ROW_COMPAT')",
+        f"f0 AS (SELECT n.image_id, n.tok_idx nutrient, q.tok_idx q, q.cx, row_number() OVER (PARTITION BY n.image_id, n.tok_idx ORDER BY {key}, q.tok_idx) k FROM edg e JOIN nod n ON n.image_id = e.image_id AND n.tok_idx = e.src AND n.label = 'NUTRIENT' JOIN nod q ON q.image_id = e.image_id AND q.tok_idx = e.dst AND q.label = 'QUANTITY' WHERE e.type = '{row}'{' AND q.conf >= 0.30' if 'conf' in key else ''})",
         "fnd AS (SELECT image_id, nutrient, q, row_number() OVER (PARTITION BY image_id, nutrient ORDER BY cx, q) AS rank FROM f0 WHERE k <= 3)",
     ]
 
@@ -290,15 +294,16 @@ def quantities(key: str) -> str:
     return edges(2, "SELECT image_id, nutrient, q, rank FROM fnd", *_found(key))
 
 
-_FALL = [
-    "nofnd AS (SELECT * FROM nod WHERE label = 'NUTRIENT' AND NOT EXISTS (SELECT 1 FROM fnd WHERE fnd.image_id = nod.image_id AND fnd.nutrient = nod.tok_idx))",
-    "fl0 AS (SELECT n.image_id, n.tok_idx nutrient, q.tok_idx q, abs(q.cy - n.cy) d, CASE WHEN abs(q.cy - n.cy) <= 2.5 * greatest(n.y2 - n.y1, 20) THEN 'tight' ELSE 'wide' END band FROM nofnd n JOIN edg e ON e.image_id = n.image_id AND e.src = n.tok_idx AND e.type = 'COL_COMPAT' JOIN nod q ON q.image_id = e.image_id AND q.tok_idx = e.dst AND q.label = 'QUANTITY' WHERE abs(q.cy - n.cy) <= 8.0 * greatest(n.y2 - n.y1, 20))",
-    "fall AS (SELECT image_id, nutrient, q, k AS rank, band FROM (SELECT *, row_number() OVER (PARTITION BY image_id, nutrient ORDER BY band, d, q) k, min(band) OVER (PARTITION BY image_id, nutrient) b FROM fl0) WHERE k <= 3 AND band = b)",
-]
+def _fall(col: str = "COL_COMPAT") -> list[str]:
+    return [
+        "nofnd AS (SELECT * FROM nod WHERE label = 'NUTRIENT' AND NOT EXISTS (SELECT 1 FROM fnd WHERE fnd.image_id = nod.image_id AND fnd.nutrient = nod.tok_idx))",
+        f"fl0 AS (SELECT n.image_id, n.tok_idx nutrient, q.tok_idx q, abs(q.cy - n.cy) d, CASE WHEN abs(q.cy - n.cy) <= 2.5 * greatest(n.y2 - n.y1, 20) THEN 'tight' ELSE 'wide' END band FROM nofnd n JOIN edg e ON e.image_id = n.image_id AND e.src = n.tok_idx AND e.type = '{col}' JOIN nod q ON q.image_id = e.image_id AND q.tok_idx = e.dst AND q.label = 'QUANTITY' WHERE abs(q.cy - n.cy) <= 8.0 * greatest(n.y2 - n.y1, 20))",
+        "fall AS (SELECT image_id, nutrient, q, k AS rank, band FROM (SELECT *, row_number() OVER (PARTITION BY image_id, nutrient ORDER BY band, d, q) k, min(band) OVER (PARTITION BY image_id, nutrient) b FROM fl0) WHERE k <= 3 AND band = b)",
+    ]
 
 
 def column_fallback() -> str:
-    return edges(2, "SELECT * FROM fall", *_found(), *_FALL)
+    return edges(2, "SELECT * FROM fall", *_found(), *_fall())
 
 
 def _ranks(left: str) -> str:
@@ -306,15 +311,15 @@ def _ranks(left: str) -> str:
 
 
 def rank_fallback() -> str:
-    return edges(2, "SELECT image_id, nutrient, q, rank FROM r WHERE rank <= 3", *_found(), _FALL[0], _ranks("nofnd"))
+    return edges(2, "SELECT image_id, nutrient, q, rank FROM r WHERE rank <= 3", *_found(), _fall()[0], _ranks("nofnd"))
 
 
-def _units() -> list[str]:
+def _units(row: str = "ROW_COMPAT", adjacent: str = "DIRECTIONAL_ADJ") -> list[str]:
     pick = lambda kind: f"(SELECT image_id, id, arg_min(norm, {{'p': p, 'd': d, 'o': o}}) u FROM u0 WHERE type = '{kind}' GROUP BY 1, 2)"
     return [
         "u1 AS (SELECT e.image_id, e.type, x.tok_idx id, o.norm, o.tok_idx o, (o.cx > x.cx AND abs(o.cy - x.cy) <= 0.8 * greatest(x.y2 - x.y1, 15)) rt, o.cx - x.cx dx, abs(o.cy - x.cy) dy FROM edg e JOIN nod x ON x.image_id = e.image_id AND x.tok_idx = e.src AND x.label = 'QUANTITY' JOIN nod o ON o.image_id = e.image_id AND o.tok_idx = e.dst AND o.label = 'UNIT')",
         "u0 AS (SELECT *, CASE WHEN rt THEN 0 ELSE 1 END p, CASE WHEN rt THEN dx ELSE dy END d FROM u1)",
-        f"unt AS (SELECT n.image_id, n.tok_idx id, r.u row_unit, a.u adj_unit FROM nod n LEFT JOIN {pick('ROW_COMPAT')} r ON r.image_id = n.image_id AND r.id = n.tok_idx LEFT JOIN {pick('DIRECTIONAL_ADJ')} a ON a.image_id = n.image_id AND a.id = n.tok_idx WHERE n.label = 'QUANTITY')",
+        f"unt AS (SELECT n.image_id, n.tok_idx id, r.u row_unit, a.u adj_unit FROM nod n LEFT JOIN {pick(row)} r ON r.image_id = n.image_id AND r.id = n.tok_idx LEFT JOIN {pick(adjacent)} a ON a.image_id = n.image_id AND a.id = n.tok_idx WHERE n.label = 'QUANTITY')",
     ]
 
 
@@ -333,26 +338,46 @@ def smallest_context() -> str:
     return edges(2, "SELECT e.image_id, e.dst id, arg_min(o.norm, {'d': (o.x2 - o.x1) * (o.y2 - o.y1), 'o': o.tok_idx}) context FROM edg e JOIN nod o ON o.image_id = e.image_id AND o.tok_idx = e.src AND o.label = 'CONTEXT' WHERE e.type = 'CONTEXT_SCOPE' GROUP BY 1, 2")
 
 
-def tuples() -> str:
+#: Token texts with units in names, percentages, servings, and images without dosage columns, for the steps that need them.
+MARKED = (
+    "CASE WHEN image_id % 5 = 0 AND wn IN (1, 3) AND ln % 3 > 0 THEN 'mg' WHEN wn = 0 AND ln % 4 = 1 THEN 'Natrium (mg)' WHEN wn = 5 AND ln = 11 THEN '3 Gummies'"
+    " WHEN wn = 5 AND ln % 3 = 0 THEN concat(ln + 5, ',5 %') WHEN wn IN (1, 2) AND ln % 6 = 2 THEN 'Text' WHEN wn IN (2, 4) AND ln % 4 = 1 THEN 'Text' ELSE token END"
+)
+
+
+def tuples(version: int = 2, token: str | None = None) -> str:
+    row, col, adjacent = {1: ("SAME_ROW", "SAME_COL", "ADJACENT"), 2: ("ROW_COMPAT", "COL_COMPAT", "DIRECTIONAL_ADJ")}[version]
     v, u = _quantity()
     units_in = _in(R.ENERGY_UNITS)
+    nrv = "regexp_extract({t}, '([0-9]+([.,][0-9]+)?)\\s*%', 1)"
+    percent = lambda t: f"CASE WHEN {nrv.format(t=t)} <> '' THEN replace({nrv.format(t=t)}, ',', '.') END"
+    embedded = f"nullif(trim(regexp_extract(lower(n.token), {q(R.EMBEDDED_UNIT)}, 1)), '')"
+    refs = "SELECT x.image_id, x.tok_idx, r.tok_idx r, {p} p FROM nod x JOIN lab r ON r.image_id = x.image_id AND r.reference = 'NRV' AND abs(r.cy - x.cy) <= 25.0 * x.scale".format(p=percent("r.token"))
     return edges(
-        2,
-        "SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY nutrient, rank, q) AS ord, name AS nutrient, quantity, unit, context FROM tp3 WHERE k = 1",
-        *_found(),
-        *_FALL,
-        *_units(),
-        _CTX,
+        version,
+        "SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY nutrient, rank, q) AS ord, name AS nutrient, quantity, unit, context, nrv_percent, serving_size FROM tp3 WHERE k = 1",
+        *_found(row=row),
+        *_fall(col),
+        *_units(row, adjacent),
+        "ctx AS (SELECT e.image_id, e.dst id, arg_min(coalesce(o.norm, o.column_context_id, o.token), {'d': abs(o.cx - x.cx), 'o': o.tok_idx}) graph_context FROM edg e JOIN nod o ON o.image_id = e.image_id AND o.tok_idx = e.src AND o.label = 'CONTEXT' JOIN nod x ON x.image_id = e.image_id AND x.tok_idx = e.dst WHERE e.type IN ('CONTEXT_SCOPE', 'HEADER_SCOPE') GROUP BY 1, 2)",
+        "md AS (SELECT image_id, max((label = 'QUANTITY' AND stream >= 0)::INT) = 1 streams FROM nod GROUP BY 1)",
         "nofall AS (SELECT * FROM nofnd n WHERE NOT EXISTS (SELECT 1 FROM fall WHERE fall.image_id = n.image_id AND fall.nutrient = n.tok_idx))",
         _ranks("nofall"),
-        "prs AS (SELECT image_id, nutrient, q, rank FROM fnd UNION ALL SELECT image_id, nutrient, q, rank FROM fall UNION ALL SELECT image_id, nutrient, q, rank FROM r WHERE rank <= 3)",
-        "nu1 AS (SELECT p.image_id, p.nutrient, p.q, o.norm, o.tok_idx o, (o.cx > x.cx AND abs(o.cy - x.cy) <= 0.8 * greatest(x.y2 - x.y1, 15)) rt, o.cx - x.cx dx, abs(o.cy - x.cy) dy FROM prs p JOIN nod x ON x.image_id = p.image_id AND x.tok_idx = p.q JOIN edg e ON e.image_id = p.image_id AND e.src = p.nutrient AND e.type = 'ROW_COMPAT' JOIN nod o ON o.image_id = e.image_id AND o.tok_idx = e.dst AND o.label = 'UNIT')",
+        "prs0 AS (SELECT image_id, nutrient, q, rank FROM fnd UNION ALL SELECT image_id, nutrient, q, rank FROM fall UNION ALL SELECT image_id, nutrient, q, rank FROM r WHERE rank <= 3)",
+        f"nam AS (SELECT n.image_id, n.tok_idx nutrient, {_NAME} AS name, n.column_context_id ncol, c.graph_context nctx, {embedded} emb, n.cy, greatest(n.y2 - n.y1, 20) h, regexp_matches(lower({_NAME}), {q(R.ENERGY_NAME)}) en FROM nod n LEFT JOIN ctx c ON c.image_id = n.image_id AND c.id = n.tok_idx WHERE n.label = 'NUTRIENT')",
+        f"enq AS (SELECT image_id, id FROM u1 WHERE type IN ('{row}', '{adjacent}') AND lower(norm) IN {units_in} GROUP BY ALL)",
+        f"qty AS (SELECT n.image_id, n.tok_idx q, n.cx, n.cy, {v} AS quantity, coalesce({u}, unt.row_unit, unt.adj_unit) AS unit, coalesce(c.graph_context, n.column_context_id) qctx, coalesce({u} IN {units_in}, false) OR enq.id IS NOT NULL energy, {percent('n.token')} own_nrv FROM nod n LEFT JOIN unt ON unt.image_id = n.image_id AND unt.id = n.tok_idx LEFT JOIN ctx c ON c.image_id = n.image_id AND c.id = n.tok_idx LEFT JOIN enq ON enq.image_id = n.image_id AND enq.id = n.tok_idx WHERE n.label = 'QUANTITY')",
+        "p1 AS (SELECT p.*, nam.en, qty.energy e, max(qty.energy::INT) OVER (PARTITION BY p.image_id, p.nutrient) = 1 anye FROM prs0 p JOIN nam USING (image_id, nutrient) JOIN qty ON qty.image_id = p.image_id AND qty.q = p.q)",
+        "br0 AS (SELECT nam.image_id, nam.nutrient, qty.q, qty.cx, row_number() OVER (PARTITION BY nam.image_id, nam.nutrient ORDER BY abs(qty.cy - nam.cy), qty.q) k FROM nam JOIN qty ON qty.image_id = nam.image_id AND qty.energy AND abs(qty.cy - nam.cy) <= 4.0 * nam.h WHERE nam.en AND NOT EXISTS (SELECT 1 FROM p1 WHERE p1.image_id = nam.image_id AND p1.nutrient = nam.nutrient AND p1.anye))",
+        "br AS (SELECT image_id, nutrient, q, row_number() OVER (PARTITION BY image_id, nutrient ORDER BY cx, q) AS rank FROM br0 WHERE k <= 6)",
+        "prs AS (SELECT image_id, nutrient, q, rank FROM p1 WHERE NOT en OR e OR (NOT anye AND NOT EXISTS (SELECT 1 FROM br WHERE br.image_id = p1.image_id AND br.nutrient = p1.nutrient)) UNION ALL SELECT * FROM br)",
+        f"nu1 AS (SELECT p.image_id, p.nutrient, p.q, o.norm, o.tok_idx o, (o.cx > x.cx AND abs(o.cy - x.cy) <= 0.8 * greatest(x.y2 - x.y1, 15)) rt, o.cx - x.cx dx, abs(o.cy - x.cy) dy FROM prs p JOIN nod x ON x.image_id = p.image_id AND x.tok_idx = p.q JOIN edg e ON e.image_id = p.image_id AND e.src = p.nutrient AND e.type = '{row}' JOIN nod o ON o.image_id = e.image_id AND o.tok_idx = e.dst AND o.label = 'UNIT')",
         "nun AS (SELECT image_id, nutrient, q, arg_min(norm, {'p': CASE WHEN rt THEN 0 ELSE 1 END, 'd': CASE WHEN rt THEN dx ELSE dy END, 'o': o}) u FROM nu1 GROUP BY 1, 2, 3)",
-        f"nam AS (SELECT n.image_id, n.tok_idx nutrient, {_NAME} AS name, n.column_context_id ncol, c.graph_context nctx FROM nod n LEFT JOIN ctx c ON c.image_id = n.image_id AND c.id = n.tok_idx WHERE n.label = 'NUTRIENT')",
-        f"qty AS (SELECT n.image_id, n.tok_idx q, {v} AS quantity, coalesce({u}, unt.row_unit, unt.adj_unit) AS unit, coalesce(c.graph_context, n.column_context_id) qctx FROM nod n LEFT JOIN unt ON unt.image_id = n.image_id AND unt.id = n.tok_idx LEFT JOIN ctx c ON c.image_id = n.image_id AND c.id = n.tok_idx WHERE n.label = 'QUANTITY')",
-        "tp1 AS (SELECT nam.*, prs.q, prs.rank, qty.quantity, coalesce(qty.unit, nun.u) AS unit, qty.qctx FROM nam LEFT JOIN prs USING (image_id, nutrient) LEFT JOIN qty ON qty.image_id = nam.image_id AND qty.q = prs.q LEFT JOIN nun ON nun.image_id = nam.image_id AND nun.nutrient = nam.nutrient AND nun.q = prs.q)",
-        f"tp2 AS (SELECT *, coalesce(lower(unit) IN {units_in}, false) eok, regexp_matches(lower(name), {q(R.ENERGY_NAME)}) AND max(coalesce(lower(unit) IN {units_in}, false)::INT) OVER (PARTITION BY image_id, nutrient) = 1 en FROM tp1)",
-        "tp3 AS (SELECT *, CASE WHEN q IS NOT NULL THEN coalesce(qctx, nctx, ncol) ELSE coalesce(ncol, nctx) END AS context, row_number() OVER (PARTITION BY image_id, name, quantity ORDER BY nutrient, rank, q) k FROM tp2 WHERE NOT en OR eok)",
+        f"pct AS (SELECT image_id, tok_idx, arg_min(p, r) p FROM ({refs}) WHERE p IS NOT NULL GROUP BY 1, 2)",
+        "srv AS (SELECT image_id, arg_min(token, tok_idx) serving_size FROM lab WHERE reference = 'SERVING' GROUP BY 1)",
+        "tp1 AS (SELECT nam.image_id, nam.nutrient, nam.name, prs.q, prs.rank, qty.quantity, CASE WHEN prs.q IS NOT NULL THEN coalesce(qty.unit, nun.u, nam.emb) END AS unit, CASE WHEN prs.q IS NOT NULL THEN coalesce(qty.qctx, nam.nctx, nam.ncol) WHEN md.streams THEN coalesce(nam.ncol, nam.nctx) ELSE coalesce(nam.nctx, nam.ncol) END AS context, CASE WHEN prs.q IS NOT NULL THEN coalesce(qty.own_nrv, a.p, b.p) END nrv_percent, srv.serving_size FROM nam JOIN md USING (image_id) LEFT JOIN prs USING (image_id, nutrient) LEFT JOIN qty ON qty.image_id = nam.image_id AND qty.q = prs.q LEFT JOIN nun ON nun.image_id = nam.image_id AND nun.nutrient = nam.nutrient AND nun.q = prs.q LEFT JOIN pct a ON a.image_id = nam.image_id AND a.tok_idx = prs.q LEFT JOIN pct b ON b.image_id = nam.image_id AND b.tok_idx = nam.nutrient LEFT JOIN srv ON srv.image_id = nam.image_id)",
+        "tp3 AS (SELECT *, row_number() OVER (PARTITION BY image_id, name, quantity ORDER BY nutrient, rank, q) k FROM tp1)",
+        token=token,
     )
 
 
@@ -426,13 +451,14 @@ def evaluation(sql: str, matched: bool = True) -> str:
     x, y = R.duck_fold_letters("trim(g.nutrient)"), R.duck_fold_letters("trim(p.nutrient)")
     seg = lambda c: f"list_filter(list_transform(string_split_regex({R.duck_fold_letters(c)}, '[/|]'), lambda s: trim(s)), lambda s: s <> '')"
     bare = lambda c: f"regexp_replace({c}, '[- ]', '', 'g')"
+    fast = f"CASE WHEN {x} = {y} OR {bare(x)} = {bare(y)} OR ((contains({x}, {y}) OR contains({y}, {x})) AND least(length({x}), length({y})) / greatest(length({x}), length({y}), 1) >= 0.65) THEN true END"
     name = f"({x} = {y} OR {bare(x)} = {bare(y)} OR ((contains({x}, {y}) OR contains({y}, {x})) AND least(length({x}), length({y})) / greatest(length({x}), length({y}), 1) >= 0.65) OR list_has_any({seg('g.nutrient')}, {seg('p.nutrient')}))"
     same = lambda a, b, u, v: f"coalesce({a} = {b}, {u} IS NULL AND {v} IS NULL)"
     more = [
         f"gold AS ({GOLD.format(table='lineitem')})",
         f"pred AS ({PRED.format(table='lineitem')})",
-        f"c0 AS (SELECT image_id, g.g, p.p, {name} name_ok, coalesce(abs(({gn}) - ({pn})) < 1e-9, coalesce({gt}, '') = coalesce({pt}, '')) qty_ok, {same(_nu('g.unit'), _nu('p.unit'), 'g.unit', 'p.unit')} unit_ok, {same(ctx('g.context'), ctx('p.context'), 'g.context', 'p.context')} ctx_ok FROM gold g JOIN pred p USING (image_id))",
-        "cand AS (SELECT *, 2.0::DOUBLE * name_ok::INT + qty_ok::INT + 0.5 * unit_ok::INT score FROM c0)",
+        f"c0 AS (SELECT image_id, g.g, p.p, {fast} fn, {name} name_ok, coalesce(abs(({gn}) - ({pn})) < 1e-9, coalesce({gt}, '') = coalesce({pt}, '')) qty_ok, {same(_nu('g.unit'), _nu('p.unit'), 'g.unit', 'p.unit')} unit_ok, {same(ctx('g.context'), ctx('p.context'), 'g.context', 'p.context')} ctx_ok FROM gold g JOIN pred p USING (image_id))",
+        "cand AS (SELECT * EXCLUDE (fn), 2.0::DOUBLE * name_ok::INT + qty_ok::INT + 0.5 * unit_ok::INT score FROM c0)",
     ]
     if matched:
         more += [
@@ -483,6 +509,156 @@ walk AS (SELECT image_id, k, [k] kept, true took FROM n WHERE k = 1 UNION ALL
 SELECT image_id, tok_idx FROM walk JOIN n USING (image_id, k) WHERE took"""
 
 
+# Names
+
+
+RAW_NAMES = [
+    "Energie", " ENERGIE kJ ", "Brennwert ...... Energie", "- davon Zucker", "• Fett:", "FETT:", "fett", "Eiweiß / Protein / Proteine", "Salz | Salt", "Zout/ Sel", "kohlenhydrate/carbohydrate",
+    "Vitamin E**", "magnesium*", "Koffein (aus Guarana)", "Vitamin A (RE)", "vitamin a (aus Provitamin A) / vitamin a", "davon  gesättigte   Fettsäuren", "- Of which saturates | davon", "Folsäure", "B12", "C",
+    "Vitamin(e) B6 / x", "  ", "Zinc/Zink", "CHOLIN", "B 6 (x)", "vitamin b 12", "Thiamin", "L-Isoleucine", "Matière grasse", "acides gras satures", "Natrium (Na)", "μ-Selen", "Creatine Monohydrate", "Kreatin", "alpha liponic",
+]
+
+
+def raw_names() -> str:
+    """A name for each part, most of them from a list, some with the part's own words."""
+    n = len(RAW_NAMES)
+    cases = " ".join(f"WHEN {i} THEN {q(v)}" for i, v in enumerate(RAW_NAMES))
+    return f"CASE WHEN p_partkey % {n + 4} < {n} THEN CASE p_partkey % {n + 4} {cases} END WHEN p_partkey % {n + 4} = {n} THEN NULL WHEN p_partkey % {n + 4} = {n + 1} THEN concat(p_name, ' / Fett') WHEN p_partkey % {n + 4} = {n + 2} THEN concat('Fett / ', p_name) ELSE concat(p_name, ' (', p_brand, ')') END"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+def gold_names(sql: str) -> str:
+    from .functions import name_tables as N
+    from .operators.names import SEPARATORS
+
+    dash = "'^[-–—•]\\s*'"
+    cleaned = _strip(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_strip('nm')}, {dash}, ''), ':+$', ''), '\\s*\\.{{2,}}\\s*', ' / ', 'g'), '\\s+', ' ', 'g')")
+    keys = [("exact", "exact", _strip("nm")), ("cleaned", "exact", "cl")]
+    for x in SEPARATORS:
+        first = f"CASE WHEN contains(cl, {q(x)}) THEN {_strip(f'split_part(cl, {q(x)}, 1)')} END"
+        keys += [("segment", "exact", first), ("segment", "lower", f"lower({first})"), ("segment", "lower", _strip(f"regexp_replace(lower({first}), {dash}, '')"))]
+    bare = _strip("regexp_replace(cl, '\\*+$', '')")
+    keys += [("lower", "lower", "lower(cl)"), ("starred", "exact", bare), ("starred", "lower", f"lower({bare})")]
+    table = ", ".join(f"({q(t)}, {q(k)}, {q(v)})" for t, rows in (("exact", N.EXACT), ("lower", N.SEGMENTS)) for k, v in rows)
+    asked = " UNION ALL ".join(f"SELECT nm, {i} n_at, {q(stage)} stage, {q(t)} tb, {key} k FROM cn" for i, (stage, t, key) in enumerate(keys))
+    pattern = "CASE WHEN regexp_matches(lower(cl), '^koffein\\b') THEN 'Caffeine' WHEN regexp_matches(lower(cl), '^vitamin\\s*a\\s*\\(') THEN 'Vitamin A' END"
+    return f"""WITH rw AS (SELECT p_partkey, {raw_names()} nm FROM part),
+cn AS (SELECT DISTINCT nm, {cleaned} cl FROM rw WHERE nm IS NOT NULL),
+tb(tb, k, v) AS (VALUES {table}),
+hit AS (SELECT nm, min({{'n_at': n_at, 'stage': stage, 'v': v}}) b FROM ({asked}) JOIN tb USING (tb, k) GROUP BY nm),
+res AS (SELECT rw.p_partkey, rw.nm, coalesce(hit.b.v, {pattern}, cl) canonical, CASE WHEN rw.nm IS NOT NULL THEN coalesce(hit.b.stage, CASE WHEN {pattern} IS NOT NULL THEN 'pattern' END, 'text') END stage FROM rw LEFT JOIN cn ON cn.nm = rw.nm LEFT JOIN hit ON hit.nm = rw.nm)
+{sql}"""
+
+
+def model_names() -> str:
+    from .functions import name_tables as N
+
+    def ascii_(c: str) -> str:
+        c = f"lower({c})"
+        for a, b in N.ASCII:
+            c = f"replace({c}, {q(a)}, {q(b)})"
+        return c
+
+    raw = f"trim(regexp_replace(replace(replace(replace({_strip(chr(99) + 'oalesce(nm, ' + chr(39) * 2 + ')')}, 'μ', 'µ'), '–', '-'), '—', '-'), '\\s+', ' ', 'g'), ' .,:;|/\\-_*')"
+    rule = "CASE WHEN raw = '' THEN 0 " + " ".join(f"WHEN regexp_matches({on}, {q(p)}) THEN {i}" for i, (on, p, _) in enumerate(N.CASCADE, 1)) + " ELSE 0 END"
+    value = []
+    for i, (on, p, v) in enumerate(N.CASCADE, 1):
+        text = q(v)
+        if "\\" in v:
+            text = q(v.split("\\")[0]) + f" || upper(regexp_extract({on}, {q(p)}, 1))" + (f" || regexp_extract({on}, {q(p)}, 2)" if v.count("\\") > 1 else "")
+        value.append(f"WHEN {i} THEN {text}")
+    bare = _strip("regexp_replace(raw, '\\([^)]*\\)', '', 'g')")
+    return f"""WITH rw AS (SELECT p_partkey, {raw_names()} nm FROM part), a AS (SELECT *, {raw} raw FROM rw), b0 AS (SELECT *, {bare} br FROM a),
+c AS (SELECT *, {ascii_('raw')} w, {_strip(ascii_('br'))} b FROM b0), d AS (SELECT *, {rule} rule FROM c)
+SELECT p_partkey, rule, CASE rule {' '.join(value)} ELSE CASE WHEN br <> '' THEN br ELSE raw END END canonical FROM d"""
+
+
+# Labels from two sources
+
+#: Rows of tokens by line, and a vector for most texts: the embedding whose number the text's letters give.
+VECTOR_OF = "(length(context) * 31 + ascii(context) * 7) % 601"
+
+
+def _hybrid(mode: str) -> list[str]:
+    from .functions import name_tables as N
+    from .operators.hybrid import CATEGORIES
+
+    names = ", ".join(f"max(s) FILTER (category = {q(c)}) {c.lower()}_s" for c in CATEGORIES)
+    rest = ", ".join(f"{{'score': coalesce({c.lower()}_s, 0), 'o': {-i}, 'category': {q(c)}}}" for i, c in enumerate(CATEGORIES[1:]))
+    labels = "('UNKNOWN')" if mode == "hybrid" else "('UNKNOWN', 'NUTRIENT')"
+    fold = lambda c: f"replace(translate(lower({c}), 'äöüéèáàíúý', 'aoueeaaiuy'), 'ß', 'ss')"
+    words = lambda c: f"list_filter(list_transform(string_split_regex({c}, '[^a-zA-Z0-9äöüßÄÖÜéèáàíúýÉÈ]+'), lambda z: {fold('z')}), lambda z: length(z) >= 2 AND z NOT IN {_in(N.STOPWORDS)})"
+    part = lambda w: f"(list_contains(words, {w}) OR len(list_filter(words, lambda g: length({w}) >= 3 AND length(g) >= 3 AND (contains(g, {w}) OR contains({w}, g)) AND least(length({w}), length(g)) / greatest(length({w}), length(g)) >= 0.6)) > 0)"
+    return [
+        *_lab(),
+        "ct0 AS (SELECT image_id, tok_idx, label, token, count(*) OVER (PARTITION BY image_id, ln) n, list(token) OVER (PARTITION BY image_id, ln ORDER BY cx, tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) al, list(token) OVER (PARTITION BY image_id, ln ORDER BY cx, tok_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) nr FROM lab)",
+        "ct AS (SELECT image_id, tok_idx, label, token, array_to_string(CASE WHEN n > 10 THEN nr ELSE al END, ' ') context FROM ct0)",
+        "pf AS (SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) k FROM (SELECT DISTINCT vec_id, label FROM embeddings)) WHERE k <= 3)",
+        f"pp AS (SELECT [{', '.join(q(c) for c in CATEGORIES)}][label % 5 + 1] category, embedding::DOUBLE[] v FROM embeddings WHERE vec_id IN (SELECT vec_id FROM pf))",
+        f"tx AS (SELECT context, any_value(embedding)::DOUBLE[] u FROM (SELECT DISTINCT context FROM ct WHERE label IN {labels}) JOIN embeddings ON vec_id = {VECTOR_OF} GROUP BY context)",
+        "cs AS (SELECT context, category, max(list_cosine_similarity(u, v)) s FROM tx, pp GROUP BY ALL)",
+        f"wd AS (SELECT context, {names} FROM cs GROUP BY context)",
+        f"wo AS (SELECT *, list_sort([{rest}])[-1] o FROM wd)",
+        f"hy AS (SELECT ct.image_id, ct.tok_idx, ct.token, ct.context, ct.label rule_label, CASE WHEN ct.label IN {labels} THEN 'embedding' ELSE 'rule' END AS method, wo.* EXCLUDE (context), CASE WHEN ct.label NOT IN {labels} THEN ct.label WHEN coalesce(nutrient_s >= 0.2 AND nutrient_s - o.score >= 0.04, false) THEN 'NUTRIENT' ELSE 'UNKNOWN' END AS label FROM ct LEFT JOIN wo ON wo.context = ct.context AND ct.label IN {labels})",
+        f"gw AS (SELECT image_id, list_distinct(flatten(list({words('gn')}))) words FROM (SELECT image_id, token || ' gesamt' gn FROM tok WHERE wn IN (0, 5) AND ln % 2 = 0) GROUP BY image_id)",
+        f"dm0 AS (SELECT hy.*, coalesce(words, []) words, {fold('trim(token)')} ft FROM hy LEFT JOIN gw USING (image_id) WHERE method = 'embedding' AND nutrient_s IS NOT NULL)",
+        f"dm AS (SELECT image_id, tok_idx, token, context, rule_label, {', '.join(f'round(coalesce({c.lower()}_s, 0), 4) + 0.0 {c.lower()}_score' for c in CATEGORIES)}, round(o.score, 4) + 0.0 second_best_score, o.category second_best_cat, round(nutrient_s - o.score, 4) + 0.0 margin_actual, (length(ft) >= 2 AND {part('ft')})::INT gt_label, (label = 'NUTRIENT')::INT current_pred, (len(list_filter({words('token')}, lambda w: {part('w')})) > 0)::INT parts FROM dm0)",
+    ]
+
+
+def hybrid(sql: str, mode: str = "hybrid") -> str:
+    return tok(sql, *_hybrid(mode))
+
+
+# Regions
+
+BLOCKS = "blk AS (SELECT *, max(x2) OVER (PARTITION BY image_id) AS width, max(y2) OVER (PARTITION BY image_id) AS height FROM tok), tb AS (SELECT *, floor(height * 0.4::DOUBLE)::BIGINT room FROM blk WHERE (x2 - x1) / greatest(y2 - y1, 1) > 2 AND (x2 - x1) / greatest(y2 - y1, 1) < 60 AND (x2 - x1) * (y2 - y1) > 200 AND (x2 - x1) * (y2 - y1) < width * height * 0.15::DOUBLE)"
+
+
+def densest_window() -> str:
+    return tok(
+        "SELECT image_id, min(b.x1) x1, min(b.y1) y1, max(b.x2) x2, max(b.y2) y2, count(*) n FROM best JOIN tb b USING (image_id) WHERE best.n >= 4 AND b.y1 >= best.y AND b.y2 <= best.y + best.room GROUP BY image_id HAVING max(b.x2) - min(b.x1) > any_value(b.width) * 0.2::DOUBLE",
+        BLOCKS,
+        "win AS (SELECT a.image_id, a.y1 y, a.room, a.tok_idx, count(b.tok_idx) n FROM tb a LEFT JOIN tb b ON b.image_id = a.image_id AND b.y1 >= a.y1 AND b.y2 <= a.y1 + a.room GROUP BY ALL)",
+        "best AS (SELECT image_id, arg_min(y, {'n': -n, 'y': y}) y, any_value(room) room, max(n) n FROM win GROUP BY image_id)",
+    )
+
+
+def oriented() -> str:
+    """Tokens with corners: level, rising or falling ones by image, and their geometry."""
+    return tok(
+        "SELECT a.image_id, count(*) FILTER (same AND abs(across) <= 25) rows_ok, count(*) FILTER (same AND abs(along) <= 25) cols_ok, count(*) FILTER (same) same_way FROM (SELECT a.image_id, (b.cx - a.cx) * a.dx + (b.cy - a.cy) * a.dy along, (b.cx - a.cx) * -a.dy + (b.cy - a.cy) * a.dx across, degrees(acos(least(1.0, abs(a.dx * b.dx + a.dy * b.dy)))) <= 15 same FROM gm a JOIN gm b ON a.image_id = b.image_id AND a.tok_idx < b.tok_idx) a GROUP BY 1",
+        f"qd AS (SELECT *, (x2 - x1)::DOUBLE ex, {SLANT}::DOUBLE ey FROM tok)",
+        "gm AS (SELECT *, CASE WHEN sqrt(ex * ex + ey * ey) >= 1e-8 THEN ex / sqrt(ex * ex + ey * ey) ELSE 1.0 END dx, CASE WHEN sqrt(ex * ex + ey * ey) >= 1e-8 THEN ey / sqrt(ex * ex + ey * ey) ELSE 0.0 END dy FROM qd)",
+    )
+
+
+SLANT = "(CASE image_id % 3 WHEN 0 THEN 0 WHEN 1 THEN x2 - x1 ELSE (x1 - x2) * (tok_idx % 4) END)"
+
+
+def oriented_angles() -> str:
+    return tok(f"SELECT image_id, tok_idx, round(degrees(atan2(ey, ex)), 6) + 0.0 angle_deg FROM (SELECT image_id, tok_idx, CASE WHEN x2 = x1 AND {SLANT} = 0 THEN 1.0 ELSE (x2 - x1)::DOUBLE END ex, {SLANT}::DOUBLE ey FROM tok)")
+
+
+def rank_alignment() -> str:
+    v, _ = _quantity("f.token")
+    return edges(
+        2,
+        "SELECT (SELECT count(*) FILTER (ok) FROM agr) rank_consistent, (SELECT count(*) FILTER (NOT ok) FROM agr) rank_inconsistent, count(*) with_rank, count(*) FILTER (has) matched, count(*) FILTER (NOT has) unmatched, count(*) FILTER (many) multi, count(*) FILTER (many AND right_) multi_correct, count(*) FILTER (many AND NOT right_) multi_wrong, (SELECT count(*) FROM nm a JOIN nm b ON a.image_id = b.image_id AND a.r < b.r AND a.fq < b.fq) in_order, (SELECT count(*) FROM nm a JOIN nm b ON a.image_id = b.image_id AND a.r < b.r AND a.fq > b.fq) out_of_order FROM nm",
+        "col AS (SELECT image_id, column_id, any_value(role) AS role, count(*) FILTER (nutrient_rank_in_column >= 0) names, count(*) FILTER (qty_rank_in_column >= 0) qs, min(tok_idx) f FROM nod GROUP BY 1, 2)",
+        "ig AS (SELECT image_id, arg_min(names, f) FILTER (role = 'NUTRIENT') n, list(qs) FILTER (role = 'DOSAGE') d FROM col GROUP BY 1)",
+        "agr AS (SELECT len(list_filter(d, lambda x: x <> n)) = 0 ok FROM ig WHERE n IS NOT NULL AND d IS NOT NULL)",
+        "gld AS (SELECT image_id, ln g, lower(max(token) FILTER (wn = 0)) name, replace(coalesce(max(token) FILTER (wn = 1), ''), ',', '.') val FROM tok GROUP BY 1, 2)",
+        "rq AS (SELECT e.image_id, e.src id, o.tok_idx q, o.qty_rank_in_column qr, o.token FROM edg e JOIN nod o ON o.image_id = e.image_id AND o.tok_idx = e.dst AND o.label = 'QUANTITY' WHERE e.type = 'ROW_COMPAT')",
+        "rn AS (SELECT n.image_id, n.tok_idx id, n.nutrient_rank_in_column r, lower(n.token) tx, count(rq.q) c, arg_min(rq.token, rq.q) FILTER (rq.qr = n.nutrient_rank_in_column) token, arg_min(rq.qr, rq.q) FILTER (rq.qr >= 0) fq FROM nod n LEFT JOIN rq ON rq.image_id = n.image_id AND rq.id = n.tok_idx WHERE n.label = 'NUTRIENT' AND n.nutrient_rank_in_column >= 0 GROUP BY ALL)",
+        "gm AS (SELECT rn.image_id, rn.id, arg_min(val, g) val FROM rn JOIN gld ON gld.image_id = rn.image_id AND (contains(coalesce(name, ''), tx[:10]) OR contains(tx, coalesce(name, '')[:10])) GROUP BY 1, 2)",
+        f"nm AS (SELECT f.*, c > 2 many, {v} = gm.val right_, EXISTS (SELECT 1 FROM nod q WHERE q.image_id = f.image_id AND q.label = 'QUANTITY' AND q.role = 'DOSAGE' AND q.qty_rank_in_column = f.r) has FROM rn f LEFT JOIN gm USING (image_id, id))",
+    )
+
+
 # Profiles
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle as O
@@ -16,9 +16,12 @@ from .operators import enrich as E
 from .operators import evaluate as V
 from .operators import extract as X
 from .operators import graph as G
+from .operators import hybrid as H
 from .operators import match as M
 from .operators import model_text as T
+from .operators import names as N
 from .operators import profile as P
+from .operators import regions as W
 from .plans import pipeline
 from .sources import files
 from .sources.adapters import tokens
@@ -371,6 +374,18 @@ def associate_tuples(spark, d):
     return pipeline.tuples(tokens(spark, d))
 
 
+@query(O.tuples(1))
+def associate_tuples_v1(spark, d):
+    """By the edges of the first graph."""
+    return pipeline.tuples(tokens(spark, d), version=1)
+
+
+@query(O.tuples(2, O.MARKED))
+def associate_reference_values(spark, d):
+    """Units in names, percentages, serving sizes and images without dosage columns."""
+    return pipeline.tuples(tokens(spark, d).withColumn("token", F.expr(O.MARKED)))
+
+
 @query(O.match_scores())
 def associate_match_scores(spark, d):
     s = A.match_scores(*_graph(spark, d))
@@ -714,3 +729,104 @@ def profile_disagreements(spark, d):
 @query("SELECT run, mean, std, rank() OVER (ORDER BY mean DESC) AS rank, round(mean - max(mean) OVER (), 6) delta FROM (SELECT event_type run, round(avg(value), 6) mean, round(stddev_samp(value), 6) std FROM events GROUP BY 1)")
 def profile_ranking(spark, d):
     return P.ranking(_table(spark, d, "events"), "event_type", "value")
+
+
+# Names, labels from two sources, regions, numbering and ranks
+
+
+def _raw_names(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").selectExpr("p_partkey", f"{O.raw_names()} AS name")
+
+
+@query(O.gold_names("SELECT p_partkey, canonical, stage FROM res"))
+def names_gold(spark, d):
+    return N.resolve(_raw_names(spark, d), "name").select("p_partkey", "canonical", "stage")
+
+
+@query(O.gold_names("SELECT stage, count(DISTINCT nm) AS names, count(*) n FROM res WHERE stage IS NOT NULL GROUP BY stage"))
+def names_gold_stages(spark, d):
+    return N.stage_counts(N.resolve(_raw_names(spark, d), "name"), "name")
+
+
+@query(O.model_names())
+def names_model(spark, d):
+    return N.canonicalize(_raw_names(spark, d), "name").select("p_partkey", "rule", "canonical")
+
+
+def _hybrid(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    labelled = _lab(spark, d)
+    t = H.row_texts(labelled.select("image_id", "tok_idx", "token", "cx", "label"), labelled.select("image_id", "tok_idx", F.col("ln").alias("row")))
+    e = _table(spark, d, "embeddings")
+    vectors = t.select("context").distinct().withColumn("vec_id", F.expr(O.VECTOR_OF)).join(e.groupBy("vec_id").agg(F.first("embedding").alias("embedding")), "vec_id").select(F.col("context").alias("text"), "embedding")
+    firsts = e.groupBy("label").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, 3).alias("ids")).select(F.explode("ids").alias("vec_id"))
+    category = F.get(F.array(*map(F.lit, H.CATEGORIES)), F.col("label") % 5)
+    protos = e.join(firsts, "vec_id", "left_semi").select(category.alias("category"), F.col("embedding").alias("vec"))
+    return H.hybrid(t, vectors, protos, mode, 0.2)
+
+
+def _names_of_lines(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(spark, d).where("wn in (0, 5) and ln % 2 = 0").select("image_id", F.concat("token", F.lit(" gesamt")).alias("nutrient"))
+
+
+@query(O.hybrid("SELECT image_id, tok_idx, rule_label, method, label, round(nutrient_s, 5) + 0.0 confidence FROM hy"))
+def classify_hybrid(spark, d):
+    return _hybrid(spark, d, "hybrid").select("image_id", "tok_idx", "rule_label", "method", "label", (F.round("nutrient_score", 5) + 0.0).alias("confidence"))
+
+
+@query(O.hybrid("SELECT * EXCLUDE (parts) FROM dm", "embedding_only"))
+def classify_score_dump(spark, d):
+    return H.score_dump(_hybrid(spark, d, "embedding_only"), _names_of_lines(spark, d))
+
+
+@query(O.hybrid("SELECT gt_label was, parts AS now, count(*) n, count(DISTINCT image_id) n_images FROM dm GROUP BY 1, 2", "embedding_only"))
+def classify_relabel(spark, d):
+    gold = _names_of_lines(spark, d)
+    return H.flips(H.relabel(H.score_dump(_hybrid(spark, d, "embedding_only"), gold), gold))
+
+
+VERDICTS = "(g + 2 * p) % 3 = 0"
+
+
+@query(O.evaluation(f"SELECT image_id, g, p, name_ok, qty_ok, unit_ok, ctx_ok, name_ok AND qty_ok AND unit_ok AND ctx_ok AS full, CASE WHEN said THEN 'fast+llm' ELSE 'fast' END AS method, CASE WHEN said THEN 'verdict ' || g WHEN fn IS NULL THEN 'no match' WHEN qty_ok AND unit_ok AND ctx_ok THEN 'exact/substring match' ELSE 'substring match' END nutrient_reason, CASE WHEN said THEN '' WHEN qty_ok THEN 'numeric match' ELSE 'mismatch' END quantity_reason, CASE WHEN said THEN '' WHEN unit_ok THEN 'alias match' ELSE 'mismatch' END unit_reason, CASE WHEN said THEN '' WHEN ctx_ok THEN 'alias match' ELSE 'mismatch' END context_reason FROM (SELECT image_id, g, p, fn, said, coalesce(fn, said AND g % 2 = 0) name_ok, qty_ok OR (said AND p % 2 = 0) qty_ok, unit_ok OR (said AND p % 3 = 0) unit_ok, ctx_ok FROM (SELECT *, fn IS NULL AND {VERDICTS} said FROM c0))", False))
+def evaluate_with_verdicts(spark, d):
+    fast = V.fast_fields(_gold(spark, d), _pred(spark, d)).select("image_id", "g", "p", "name", "qty_ok", "unit_ok", "ctx_ok")
+    reason = [F.lit(None).cast("string").alias(f"{c}_reason") for c in ("quantity", "unit", "context")]
+    verdicts = fast.where(VERDICTS).select("image_id", "g", "p", F.expr("g % 2 = 0").alias("nutrient_match"), F.expr("p % 2 = 0").alias("quantity_match"), F.expr("p % 3 = 0").alias("unit_match"), F.lit(None).cast("boolean").alias("context_match"), F.concat(F.lit("verdict "), F.col("g").cast("string")).alias("nutrient_reason"), *reason)
+    return V.with_verdicts(fast, verdicts)
+
+
+@query(O.densest_window())
+def region_densest_window(spark, d):
+    by = Window.partitionBy("image_id")
+    boxes = tokens(spark, d).withColumns({"width": F.max("x2").over(by), "height": F.max("y2").over(by)})
+    return W.densest_window(W.text_blocks(boxes))
+
+
+@query("SELECT p_partkey, id, id || '.png' AS name FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) id FROM part)")
+def source_dense_ids(spark, d):
+    parts = _table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(".PNG")).alias("file"), "p_name")
+    return W.dense_ids(parts, ["p_name", "p_partkey"]).select("p_partkey", "id", W.file_name(F.col("id"), F.col("file")).alias("name"))
+
+
+@query(O.rank_alignment())
+def profile_rank_alignment(spark, d):
+    n, e = _graph(spark, d)
+    gold = tokens(spark, d).groupBy("image_id", F.col("ln").alias("g")).agg(F.max(F.when(F.col("wn") == 0, F.col("token"))).alias("nutrient"), F.max(F.when(F.col("wn") == 1, F.col("token"))).alias("quantity"))
+    return P.rank_alignment(n, e, gold)
+
+
+def _oriented(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens with the corners of boxes that rise or fall by image."""
+    corner = lambda x, y: F.array(F.expr(x).cast("double"), F.expr(y).cast("double"))
+    return tokens(spark, d).withColumn("quad", F.array(corner("x1", "y1"), corner("x2", f"y1 + {O.SLANT}"), corner("x2", f"y2 + {O.SLANT}"), corner("x1", "y2")))
+
+
+@query(O.oriented())
+def enrich_oriented(spark, d):
+    c = E.compatible(_oriented(spark, d))
+    return c.groupBy("image_id").agg(F.count_if("row_ok").alias("rows_ok"), F.count_if("col_ok").alias("cols_ok"), F.count_if("same_way").alias("same_way"))
+
+
+@query(O.oriented_angles())
+def enrich_oriented_angles(spark, d):
+    return E.geometry(_oriented(spark, d)).select("image_id", "tok_idx", (F.round("angle_deg", 6) + 0.0).alias("angle_deg"))

@@ -62,8 +62,8 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*KEPT)
 
 
-def duck_tokens() -> str:
-    """CTEs ending in ``tok``."""
+def duck_tokens(last: str = "tok") -> str:
+    """CTEs ending in ``last``."""
     chain, at = [], "t0"
     for i, (name, text) in enumerate(COLUMNS, 1):
         chain.append(f"t{i} AS (SELECT *, {text} AS {name} FROM {at})")
@@ -71,5 +71,5 @@ def duck_tokens() -> str:
     return (
         "w0 AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\n ]+'), lambda x: x <> '') w FROM documents),\n"
         "w1 AS (SELECT doc_id, i - 1 k, w[i] word FROM w0, unnest(range(1, len(w) + 1)) u(i)),\n"
-        "t0 AS (SELECT doc_id * 100000 + k // 72 image_id, k % 72 tok_idx, (k % 72) // 6 ln, k % 6 wn, word FROM w1),\n" + ",\n".join(chain) + f",\ntok AS (SELECT {', '.join(KEPT)} FROM {at})"
+        "t0 AS (SELECT doc_id * 100000 + k // 72 image_id, k % 72 tok_idx, (k % 72) // 6 ln, k % 6 wn, word FROM w1),\n" + ",\n".join(chain) + f",\n{last} AS (SELECT {', '.join(KEPT)} FROM {at})"
     )
