@@ -17,8 +17,54 @@ from . import label_tables as L
 BORDER = "|{}[]\\"
 DECIMAL = [(r"([0-9]),([0-9])", "$1.$2"), (r"([0-9])'([0-9])", "$1.$2")]
 UNIT_FIXES = [(r"\bm9\b", "mg", "m9"), (r"pg\b", "µg", "pg"), (r"Ug\b", "µg", "Ug"), (r"\bug\b", "µg", "ug")]
-#: Targeted fixes of frequent misreadings.
-TARGETED = [(r"^[Oo]([.,][0-9])", "0$1"), (r"([0-9])[Oo]\b", "${1}0"), (r"^l([0-9])", "1$1"), (r"\bk[jJ]\b", "kJ"), (r"\bkca[1I]\b", "kcal"), (r"\bEiwei[bB]\b", "Eiweiß"), (r"\bFe[l1]t\b", "Fett")]
+# Targeted fixes of frequent misreadings, applied in order, each to what the one before left.
+TARGETED = [
+    (r"\bO([0-9]{2,})", "0$1"),
+    (r"([0-9])O([0-9])", "$10$2"),
+    (r"([0-9])[lI]([0-9])", "$11$2"),
+    (r"(?i)([0-9]+[.,]?[0-9]*)\s*m0\b", "$1mg"),
+    (r"(?i)([0-9]+[.,]?[0-9]*)\s*M9\b", "$1mg"),
+    (r"([0-9]+[.,]?[0-9]*)\s*K[Jj]\b", "$1kJ"),
+    (r"(?i)([0-9]+[.,]?[0-9]*)\s*[Kk]ca[il]\b", "$1kcal"),
+    (r"^k[Jj]$", "kJ"),
+    (r"(?i)^[Kk]ca[il]$", "kcal"),
+    (r"^[Mm]cg$", "µg"),
+    (r"(?i)^[Kk][Jj]/[Kk]ca[il]$", "kJ/kcal"),
+    (r"(?i)^Magnes[il]um$", "Magnesium"),
+    (r"(?i)^Magnesiu[mn]$", "Magnesium"),
+    (r"(?i)^[HM]agnesium$", "Magnesium"),
+    (r"(?i)^Calc[il]um$", "Calcium"),
+    (r"(?i)^Kalz[il]um$", "Kalzium"),
+    (r"(?i)^V[il]tam[il]n$", "Vitamin"),
+    (r"(?i)^V[il]tamin$", "Vitamin"),
+    (r"(?i)^Natr[il]um$", "Natrium"),
+    (r"(?i)^Koh[il]enhydrate?$", "Kohlenhydrate"),
+    (r"(?i)^Energ[il]e[il]?$", "Energie"),
+    (r"(?i)^Ba[il]{1,2}aststoffe$", "Ballaststoffe"),
+    (r"(?i)^E[il]we[il][sßb]{1,2}$", "Eiweiss"),
+    (r"(?i)^Fettsaure[mn]?$", "Fettsauren"),
+    (r"(?i)^N[il]ac[il]n$", "Niacin"),
+    (r"(?i)^B[il]ot[il]n$", "Biotin"),
+    (r"(?i)^Fo[il]s[aä]ure$", "Folsaure"),
+    (r"(?i)^Pantothensaure$", "Pantothensaure"),
+    (r"(?i)^R[il]bofla[vi][il]n$", "Riboflavin"),
+    (r"(?i)^Ph[o0]sph[o0]r$", "Phosphor"),
+    (r"(?i)^Th[il]am[il]n$", "Thiamin"),
+    (r"(?i)^J[o0]d$", "Jod"),
+]
+# The first level of the text corrector, in order, whatever the case.
+FIRST_LEVEL = [("(?i)" + p, r) for p, r in (
+    (r"\bHagnesium\b", "Magnesium"), (r"\bMagnesiunn\b", "Magnesium"), (r"\bMagnes[il]um\b", "Magnesium"), (r"\bMagnesiu[mn]\b", "Magnesium"),
+    (r"\bKalumciuat\b", "Kaliumcitrat"), (r"\bKalumc[il]uat\b", "Kaliumcitrat"), (r"\bCalc[il]um\b", "Calcium"), (r"\bKalz[il]um\b", "Kalzium"),
+    (r"\bV[il]tam[il]n\b", "Vitamin"), (r"\bV[il]tamin\b", "Vitamin"), (r"\bEnerg[il]e[il]\b", "Energie"), (r"\bEnerg[il]e\b", "Energie"),
+    (r"\bE[il]we[il][sß][sß]\b", "Eiweiß"), (r"\bE[il]we[il]ß\b", "Eiweiß"), (r"\bKoh[il]enhydrate\b", "Kohlenhydrate"), (r"\bKoh[il]enhydrat\b", "Kohlenhydrate"),
+    (r"\bFettsauren\b", "Fettsäuren"), (r"\bFettsäure[mn]\b", "Fettsäuren"), (r"\bBa[il][il]aststoffe\b", "Ballaststoffe"), (r"\bSa[il]z[Il|][sS]a[il]t\b", "Salz/Salt"),
+    (r"\bSa[il]z[Il]\b", "Salz"), (r"\bNatr[il]um\b", "Natrium"), (r"\bPhosphor\b", "Phosphor"), (r"\bPhosph0r\b", "Phosphor"), (r"\bN[il]ac[il]n\b", "Niacin"), (r"\bB[il]ot[il]n\b", "Biotin"),
+    (r"\bFo[il]säure\b", "Folsäure"), (r"\bFo[il]saure\b", "Folsäure"), (r"\bPantothensaure\b", "Pantothensäure"), (r"\b4O([0-9])", "40$1"), (r"\bO([0-9]{2,})", "0$1"), (r"([0-9])O([0-9])", "$10$2"),
+    (r"([0-9])l([0-9])", "$11$2"), (r"\bmg\s*[|}\]]+", "mg"), (r"\bg\s*[|}\]]+", "g"), (r"\bk[Jj]\b", "kJ"), (r"\bKca[il]\b", "kcal"), (r"\bKCa[il]\b", "kcal"), (r"\bUg\b", "µg"), (r"\bug\b", "µg"),
+    (r"\bMcg\b", "µg"), (r"\bmcg\b", "µg"), ("^['\"'`]+", ""), ("['\"'`]+$", ""), (r"[|}\]]+$", ""), (r"^[|{\[]+", ""), (r"([0-9]+)\s*m0\b", "$1mg"), (r"([0-9]+)\s*M9\b", "$1mg"),
+    (r"([0-9]+)\s*m\b", "$1mg"), (r"([0-9]+)\s*K[Jj]\b", "$1kJ"), (r"([0-9]+)\s*Kcal\b", "$1kcal"), (r"^([0-9]+[.,]?[0-9]*)\s*µ$", "$1µg"), (r"^([0-9]+[.,]?[0-9]*)\s*μ$", "$1µg"),
+)]
 # Context headers.
 CONTEXT_100G = r"^(je|pro|pr0)\s*100\s*g?(\s+.*)?$"
 CONTEXT_100ML = r"^per\s*100\s*ml$"
@@ -58,8 +104,26 @@ EMBEDDED_UNIT = r"[\(\s/](kj/kcal|kj/kca|kcal/kj|kj|kcal|cal|mg\s*(ne|re|α-te|a
 UNIT_ALIASES = {"ie": "iu", "i.e.": "iu", "cal": "kcal", "mcg": "µg", "ug": "µg"}
 #: (name as printed, canonical name).
 CANONICAL = [("eiweiß", "protein"), ("eiweiss", "protein"), ("fett", "fat"), ("brennwert", "energy"), ("energie", "energy"), ("kohlenhydrate", "carbohydrate"), ("zucker", "sugars"), ("salz", "salt"), ("eisen", "iron"), ("zink", "zinc"), ("ballaststoffe", "fibre")]
-#: (pattern, label) of suspicious tokens.
-SUSPICIOUS = [(r"[0-9][Oo]", "digit_o"), (r"[Oo][0-9]", "o_digit"), (r"[0-9],[0-9]", "comma"), (r"^[^a-z0-9]*$", "no_word"), (r"[|{}\[\]]", "border"), (r"[0-9](mg|g|kj|kcal)$", "fused"), (r"[%*#$&]{3}", "symbols"), (r"^.$", "single")]
+# Fixed values: (pattern, label) of suspicious tokens.
+SUSPICIOUS = [
+    (r"^[0-9]+09$", "trailing-digit artefact (09 suffix)"),
+    (r"^[0-9]+\.[0-9]+9$", "trailing-digit artefact (decimal +9)"),
+    (r"^[0-9]+19$", "trailing-digit artefact (19 suffix)"),
+    (r"[0-9][',][0-9]", "apostrophe/comma as decimal separator"),
+    (r"[0-9]+k[0-9]+", "fused kJ/kcal value"),
+    (r"[A-Za-z]+kJ", "fused label+kJ unit"),
+    (r"^[0-9]+[\.,][0-9]*[a-zA-Zµ]+$", "fused quantity+unit (decimal)"),
+    (r"^[0-9]+[a-zA-Zµ]+$", "fused quantity+unit (integer)"),
+    (r"(?i)Je[0-9]+", "fused context (Je+number -> je 100g?)"),
+    (r"(?i)pro[0-9]+", "fused context (pro+number -> pro 100g?)"),
+    (r"\*{2}", "PORTION** context token"),
+    (r"[|{}\[\]\\]", "border/table artefact character"),
+    (r"^[^a-zA-Z0-9µ.,]$", "single non-alphanumeric noise character"),
+    (r"^Ug$|^ug$", "unit confusion: Ug/ug -> µg"),
+    (r"(?:[A-Za-zÀ-ÿ]+/){3,}", "multilingual slash-variant (4+ parts)"),
+    (r"[a-z][A-Z][a-z]", "possible fused tokens (camelCase boundary)"),
+    (r"^[0-9]+[A-Za-z][0-9]+$", "letter embedded in number (OCR confusion)"),
+]
 
 
 def fold(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -70,7 +134,7 @@ def fold(text: Column, rules: list[tuple[str, str]]) -> Column:
 def duck_fold(text: str, rules: list[tuple[str, str]]) -> str:
     """The same as DuckDB SQL."""
     for pattern, to in rules:
-        to = to.replace("${1}", "\\1").replace("$1", "\\1").replace("$2", "\\2")
+        to = to.replace("$1", "\\1").replace("$2", "\\2")
         text = f"regexp_replace({text}, {q(pattern)}, {q(to)}, 'g')"
     return text
 

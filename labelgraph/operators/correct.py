@@ -23,22 +23,19 @@ def rewrite(tokens: DataFrame) -> DataFrame:
         ("decimal", lambda t: R.fold(t, R.DECIMAL)),
         *((f"unit_{name}", lambda t, p=p, r=r: F.regexp_replace(t, p, r)) for p, r, name in R.UNIT_FIXES),
         ("context", _context_header),
-        *((f"targeted_{i}", lambda t, p=p, r=r: F.regexp_replace(t, p, r)) for i, (p, r) in enumerate(R.TARGETED)),
     ]
-    # Each step binds the state of the one before, so that the expression grows by one step only.
-    state = F.array(F.struct(F.col("token").alias("t"), F.array().cast("array<string>").alias("f")))
-    for name, new in steps:
-        state = F.transform(state, _step(name, new))
-    out = tokens.withColumn("original", F.col("token")).withColumn("_s", state[0])
-    return out.withColumn("token", F.col("_s.t")).withColumn("rules_fired", F.col("_s.f")).drop("_s").where("token <> ''")
-
-
-def _step(name: str, new: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    def both(s: Column) -> Column:
-        changed = lambda n: F.struct(n.alias("t"), F.when(n != s["t"], F.array_append(s["f"], F.lit(name))).otherwise(s["f"]).alias("f"))
-        return F.transform(F.array(new(s["t"])), changed)[0]
-
-    return both
+    # Each step is a column of its own, so that the next one and the record of changes read it without repeating it.
+    out = tokens.withColumns({"original": F.col("token"), "_t0": F.col("token")})
+    for i, (_, new) in enumerate(steps, 1):
+        out = out.withColumn(f"_t{i}", new(F.col(f"_t{i - 1}")))
+    fired = F.array_compact(F.array(*(F.when(F.col(f"_t{i}") != F.col(f"_t{i - 1}"), F.lit(name)) for i, (name, _) in enumerate(steps, 1))))
+    # The many targeted fixes stay out of generated code, in the body of a lambda; which of them fired is asked of changed tokens only.
+    last = F.col(f"_t{len(steps)}")
+    out = out.withColumn("_fixed", F.transform(F.array(last), lambda t: R.fold(t, R.TARGETED))[0])
+    changed = lambda t: F.array_compact(F.array(*(F.when(R.fold(t, R.TARGETED[: i + 1]) != R.fold(t, R.TARGETED[:i]), F.lit(f"targeted_{i}")) for i in range(len(R.TARGETED)))))
+    fixes = F.when(F.col("_fixed") != last, F.transform(F.array(last), changed)[0]).otherwise(F.array().cast("array<string>"))
+    out = out.withColumns({"token": F.col("_fixed"), "rules_fired": F.concat(fired, fixes)})
+    return out.drop("_fixed", *(f"_t{i}" for i in range(len(steps) + 1))).where("token <> ''")
 
 
 def _context_header(t: Column) -> Column:
@@ -230,7 +227,7 @@ def report(rewritten: DataFrame) -> DataFrame:
 
 def flags(tokens: DataFrame) -> DataFrame:
     """(flag, n_tokens, n_images) of suspicious tokens."""
-    found = F.array_compact(F.array(*(F.when(F.lower("token").rlike(p), F.lit(name)) for p, name in R.SUSPICIOUS)))
+    found = F.array_compact(F.array(*(F.when(F.col("token").rlike(p), F.lit(name)) for p, name in R.SUSPICIOUS)))
     return tokens.select("image_id", F.explode(found).alias("flag")).groupBy("flag").agg(F.count("*").alias("n_tokens"), F.countDistinct("image_id").alias("n_images"))
 
 
@@ -242,3 +239,12 @@ def multi_pass(passes: list[DataFrame]) -> DataFrame:
     return out.where("trim(token) <> '' and x2 > x1 and y2 > y1")
 
 
+def first_level(text: Column) -> Column:
+    """Trimmed, the text corrector's first level in order, white space single."""
+    return F.trim(F.regexp_replace(R.fold(F.trim(text), R.FIRST_LEVEL), r"\s+", " "))
+
+
+def correct_texts(tokens: DataFrame) -> DataFrame:
+    """(token, corrected, n) of the distinct tokens that the first level changes, and how many each stands for."""
+    words = tokens.groupBy("token").agg(F.count("*").alias("n")).withColumn("corrected", first_level(F.col("token")))
+    return words.where("corrected <> token").select("token", "corrected", "n")

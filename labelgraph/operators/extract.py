@@ -54,6 +54,56 @@ def sentences(texts: DataFrame) -> DataFrame:
     return found.select("image_id", part(3).alias("nutrient"), F.regexp_replace(part(1), ",", ".").alias("quantity"), F.lower(part(2)).alias("unit")).distinct()
 
 
+# Names that sentences are searched for, the longest first.
+KNOWN = tuple(sorted((
+    "vitamin a", "vitamin b1", "vitamin b2", "vitamin b3", "vitamin b5", "vitamin b6", "vitamin b12", "vitamin c", "vitamin d", "vitamin d3", "vitamin e", "vitamin k", "vitamin k2",
+    "colecalciferol", "cholecalciferol", "thiamin", "riboflavin", "niacin", "folsaure", "folsäure", "folic acid", "biotin", "pantothensaure", "pantothensäure", "pantothenic acid",
+    "magnesium", "calcium", "kalzium", "kalium", "potassium", "zink", "zinc", "eisen", "iron", "selen", "selenium", "jod", "iodine", "kupfer", "copper", "mangan", "manganese",
+    "chrom", "chromium", "molybdan", "molybdenum", "natrium", "sodium", "phosphor", "phosphorus", "omega-3", "omega 3", "epa", "dha", "kreatin", "creatine", "inositol", "choline", "cholin",
+    "coenzym q10", "coenzyme q10", "q10", "l-carnitin", "l-carnitine", "l-arginin", "l-arginine", "glucosamin", "glucosamine", "msm",
+), key=lambda n: (-len(n), n)))
+_NUMBER, _UNIT = r"([0-9]+[.,]?[0-9]*)", r"(µg|ug|mcg|mg|g|kg|ml|I\.?E\.?|IU|IE|kcal|kJ)"
+# Kinds of sentence with the groups of name, quantity and unit; 0: the name stands nearby.
+FAMILIES = {
+    "holds": (rf"(?i)enth[aä]lt\s+{_NUMBER}\s*{_UNIT}\s+([A-Za-zäöüßéè][A-Za-z0-9_äöüßéèÄÖÜ-]+)", 3, 1, 2),
+    "international": (rf"(?i){_NUMBER}\s*(I\.?E\.?|IU|IE)\s+([A-Za-zäöüßéè][A-Za-z0-9_äöüßéèÄÖÜ\s-]+?)([.,\s]|$)", 3, 1, 2),
+    "equal": (rf"(?i)entsprechend\s+{_NUMBER}\s*{_UNIT}", 0, 1, 2),
+    "daily": (rf"(?i)tagesdosis\s+(?:bis\s+zu\s+)?{_NUMBER}\s*{_UNIT}", 0, 1, 2),
+    "known": (rf"(?i)({'|'.join(KNOWN)})\s+{_NUMBER}\s*{_UNIT}", 1, 2, 3),
+}
+
+
+def sentence_tuples(texts: DataFrame, reach: int = 80) -> DataFrame:
+    """(image_id, nutrient, key, quantity, unit, context) of (image_id, text): statements of five kinds, each name (``key`` in lower case), quantity and unit once, in the form met first.
+
+    Statements without a name of their own take the longest known one in the ``reach``
+    characters before them (for daily doses also after them), or give nothing.
+    """
+    found = None
+    for i, (kind, (pattern, name, quantity, unit)) in enumerate(FAMILIES.items()):
+        hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        part = lambda k, p=pattern: F.regexp_extract("_s", p, k)
+        if name:
+            rows = texts.select("image_id", F.explode(hits).alias("_s"))
+            own = F.trim(part(name))
+            text = F.initcap(F.lower(own)) if kind == "known" else own
+        else:
+            pieces = texts.select("image_id", "text", hits.alias("_m"), F.split("text", pattern).alias("_p")).select("*", F.posexplode("_m").alias("_i", "_s"))
+            before = F.concat(F.array_join(F.transform(F.slice("_p", 1, F.col("_i")), lambda p, j: F.concat(p, F.get(F.col("_m"), j))), ""), F.get(F.col("_p"), F.col("_i")))
+            pieces = pieces.withColumn("_b", before)
+            near = F.right(F.col("_b"), F.lit(reach))
+            if kind == "daily":
+                near = F.concat(near, F.col("_s"), F.substring(F.col("text"), F.length("_b") + F.length("_s") + 1, F.lit(reach)))
+            rows = pieces.withColumn("_near", F.lower(near)).withColumn("_n", F.get(F.filter(F.array(*map(F.lit, KNOWN)), lambda n: F.contains(F.col("_near"), n)), F.lit(0))).where("_n is not null")
+            text = F.initcap("_n")
+        rows = rows.select("image_id", F.lit(i).alias("_k"), text.alias("nutrient"), F.replace(part(quantity), F.lit(","), F.lit(".")).alias("quantity"), part(unit).alias("_u"))
+        found = rows if found is None else found.unionByName(rows)
+    bare = F.lower(F.replace("_u", F.lit("."), F.lit("")))
+    unit = F.when(bare.isin("ie", "iu"), "IE").when(bare.isin("µg", "ug", "mcg"), "µg").otherwise(F.trim("_u"))
+    first = found.withColumn("unit", unit).groupBy("image_id", F.lower("nutrient").alias("key"), "quantity", "unit").agg(F.min(F.struct("_k", "nutrient")).alias("_f"))
+    return first.select("image_id", "_f.nutrient", "key", "quantity", "unit", F.lit("per_daily_dose").alias("context"))
+
+
 def replace_if_more(tuples: DataFrame, other: DataFrame) -> DataFrame:
     """By image: the table with more rows, the first among equals."""
     n = lambda df, c: df.groupBy("image_id").agg(F.count("*").alias(c))

@@ -96,3 +96,27 @@ def both_ways(n: DataFrame, e: DataFrame, kind: str) -> DataFrame:
 def summary(e: DataFrame) -> DataFrame:
     """(type, n_edges, n_images, weight): counts and total weight (in 1/10000) of each kind of edge."""
     return e.groupBy("type").agg(F.count("*").alias("n_edges"), F.countDistinct("image_id").alias("n_images"), F.sum(F.round(F.col("weight") * 10000).cast("long")).alias("weight"))
+
+
+def summary_of_nodes(n: DataFrame, version: int = 2) -> DataFrame:
+    """``summary`` of the edges of the nodes ``n``, counted by pairs of an image: no edge is made, let alone mirrored."""
+    row_name, col_name, adj_name = NAMES[version]
+    have = [c for c in ("image_id", "id", "cx", "cy", "x1", "y1", "x2", "y2", "label", "scale", "is_header", "column_id") if c in n.columns]
+    n = n.select(*have)
+    pairs = n.alias("a").join(n.alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.id") < F.col("b.id")))
+    there, back = relations(_of("a"), _of("b"), version), relations(_of("b"), _of("a"), version)
+    s = F.col("a.scale")
+    close = lambda d, t: (F.lit(1.0) if version == 1 and t != ADJACENT else F.round(1 - d / (t * s), 4))
+    kinds = [
+        (row_name, there["row"].cast("int") * 2, close(F.abs(F.col("a.cy") - F.col("b.cy")), ROW)),
+        (col_name, there["col"].cast("int") * 2, close(F.abs(F.col("a.cx") - F.col("b.cx")), COLUMN)),
+        (adj_name, there["adj"].cast("int") * 2, close(box_gap("a", "b"), ADJACENT)),
+        ("CONTEXT_SCOPE", there["scope"].cast("int") + back["scope"].cast("int"), F.lit(1.0)),
+    ]
+    if version == 2:
+        kinds.append(("HEADER_SCOPE", there["head"].cast("int") + back["head"].cast("int"), F.lit(1.0)))
+    counts = [F.coalesce(F.sum(k), F.lit(0)).alias(f"n{i}") for i, (_, k, _) in enumerate(kinds)]
+    weights = [F.coalesce(F.sum(F.when(k > 0, k * F.round(w * 10000).cast("long"))), F.lit(0)).alias(f"w{i}") for i, (_, k, w) in enumerate(kinds)]
+    images = pairs.groupBy("a.image_id").agg(*counts, *weights)
+    rows = F.inline(F.array(*(F.struct(F.lit(name).alias("type"), F.col(f"n{i}").alias("n"), F.col(f"w{i}").alias("w")) for i, (name, _, _) in enumerate(kinds))))
+    return images.select(rows).where("n > 0").groupBy("type").agg(F.sum("n").alias("n_edges"), F.count("*").alias("n_images"), F.sum("w").alias("weight"))

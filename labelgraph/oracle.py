@@ -21,7 +21,7 @@ def tok(sql: str, *more: str, token: str | None = None) -> str:
 # Correction
 
 
-def rewrite(sql: str) -> str:
+def rewrite(sql: str, token: str | None = None) -> str:
     low = "lower(token)"
     context = f"CASE WHEN regexp_matches({low}, {q(R.CONTEXT_100G)}) THEN CASE WHEN starts_with({low}, 'je') THEN 'je 100g' ELSE 'pro 100g' END WHEN regexp_matches({low}, {q(R.CONTEXT_100ML)}) THEN 'per 100ml' WHEN regexp_matches({low}, {q(R.CONTEXT_10G)}) THEN 'pro 10g' ELSE token END"
     steps = [("border", f"trim(trim(token, {q(R.BORDER)}))"), ("decimal", R.duck_fold("token", R.DECIMAL))]
@@ -32,7 +32,7 @@ def rewrite(sql: str) -> str:
         drop = " WHERE nw <> ''" if name == "border" else ""
         ctes.append(f"r{i} AS (SELECT image_id, tok_idx, original, nw token, CASE WHEN nw <> token THEN list_append(fired, {q(name)}) ELSE fired END fired FROM (SELECT *, {new} nw FROM {at}){drop})")
         at = f"r{i}"
-    return tok(sql, *ctes, f"rw AS (SELECT * FROM {at})")
+    return tok(sql, *ctes, f"rw AS (SELECT * FROM {at})", token=token)
 
 
 def split() -> str:
@@ -122,10 +122,19 @@ def canonical(sql: str) -> str:
 
 
 def flags() -> str:
-    parts = " UNION ALL ".join(f"SELECT image_id, {q(n)} flag FROM tok WHERE regexp_matches(lower(token), {q(p)})" for p, n in R.SUSPICIOUS)
+    parts = " UNION ALL ".join(f"SELECT image_id, {q(n)} flag FROM tok WHERE regexp_matches(token, {q(p)})" for p, n in R.SUSPICIOUS)
     return tok(f"SELECT flag, count(*) n_tokens, count(DISTINCT image_id) n_images FROM ({parts}) GROUP BY flag")
 
 
+#: Tokens with the misreadings that the text corrector knows.
+MISREAD = "CASE WHEN wn = 5 AND ln < 11 THEN CASE (image_id + ln) % 24 " + " ".join(f"WHEN {i} THEN {q(t)}" for i, t in enumerate(["Hagnesium", "4O5", "O25", "1O3", "4l7", "25 m0", "30M9", "12m", "kj", "KCAI", "Ug", "'Zink'", "|Salz|}", "40µ", "Saiz|Sait", "fettsauren", "Vltamln C", "5 Kj/12 KCal", "mg |", "Ph0sph0r", "Eiwelss"])) + " ELSE token END ELSE token END"
+
+
+def first_level() -> str:
+    fixed = R.duck_fold("trim(token)", R.FIRST_LEVEL)
+    return tok(f"SELECT * FROM (SELECT token, trim(regexp_replace({fixed}, '\\s+', ' ', 'g')) corrected, n FROM (SELECT token, count(*) n FROM tok GROUP BY 1)) WHERE corrected <> token", token=MISREAD)
+
+
 # Classification
 
 
@@ -404,6 +413,36 @@ s AS (SELECT image_id, count(*) FILTER (length(token) > 60) l, sum({amounts}) a
 SELECT image_id FROM s WHERE l >= 2 AND a >= 8"""
 
 
+#: A statement of each kind for every part.
+STATEMENTS = (
+    "CASE p_partkey % 7 WHEN 0 THEN concat('Jede Tablette enthält ', p_size, ',5 µg Colecalciferol, entsprechend ', p_size * 40, ' I.E. Vitamin') WHEN 1 THEN concat('Magnesium aus ', p_name, ', entsprechend ', p_size, ',25 mg. Zink, entsprechend ', p_size, ' UG')"
+    " WHEN 2 THEN concat('Die Tagesdosis bis zu ', p_size, ' I.E. Vitamin D3 nicht') WHEN 3 THEN concat('Vitamin B12  ', p_size, ' mcg und VITAMIN B12 ', p_size, ' µg, Zink ', p_size, 'mg') WHEN 4 THEN concat(p_name, ' enthalt ', p_size, ' mg Zink enthält ', p_size, ' mg zink') WHEN 5 THEN p_name"
+    " ELSE concat('tagesdosis ', p_size, ' g ', p_name, ' ', p_name, ' ', p_name, ' Eisen') END"
+)
+
+
+def sentence_families() -> str:
+    from .operators.extract import FAMILIES, KNOWN
+
+    names = "[" + ", ".join(q(n) for n in KNOWN) + "]"
+    title = lambda c: f"array_to_string(list_transform(regexp_extract_all({c}, '[a-zäöüß]+|[^a-zäöüß]+'), lambda w: upper(w[1]) || w[2:]), '')"
+    out = []
+    for kind, (p, nutrient, quantity, unit) in FAMILIES.items():
+        if nutrient:
+            hits = f"SELECT image_id, unnest(regexp_extract_all(t, {q(p)})) s FROM st"
+            name = f"trim(regexp_extract(s, {q(p)}, {nutrient}))"
+            out.append(f"SELECT image_id, {name if kind != 'known' else title(f'lower({name})')} nutrient, regexp_extract(s, {q(p)}, {quantity}) quantity, regexp_extract(s, {q(p)}, {unit}) un FROM ({hits})")
+        else:
+            pieces = f"SELECT image_id, t, i, ms[i] s, array_to_string(list_transform(range(1, i), lambda j: ps[j] || ms[j]), '') || ps[i] bf FROM (SELECT image_id, t, regexp_extract_all(t, {q(p)}) ms, string_split_regex(t, {q(p)}) ps FROM st), unnest(range(1, len(ms) + 1)) u(i)"
+            near = "lower(right(bf, 80))" if kind == "equal" else "lower(right(bf, 80) || s || substr(t, length(bf) + length(s) + 1, 80))"
+            out.append(f"SELECT image_id, {title('nm')}, regexp_extract(s, {q(p)}, {quantity}), regexp_extract(s, {q(p)}, {unit}) FROM (SELECT image_id, s, list_filter({names}, lambda n: contains(nr, n))[1] nm FROM (SELECT *, {near} nr FROM ({pieces}))) WHERE nm IS NOT NULL")
+    unit = "CASE WHEN lower(replace(un, '.', '')) IN ('ie', 'iu') THEN 'IE' WHEN lower(replace(un, '.', '')) IN ('µg', 'ug', 'mcg') THEN 'µg' ELSE trim(un) END"
+    return f"""WITH st AS (SELECT p_partkey image_id, {STATEMENTS} t FROM part),
+al AS ({' UNION ALL '.join(f'SELECT {i} k, * FROM ({x})' for i, x in enumerate(out))}),
+nu AS (SELECT image_id, k, nutrient, replace(quantity, ',', '.') quantity, {unit} AS unit FROM al)
+SELECT image_id, lower(nutrient) AS key, quantity, unit, min({{'k': k, 'n': nutrient}}).n AS nutrient, 'per_daily_dose' AS context FROM nu GROUP BY 1, 2, 3, 4"""
+
+
 def replace_if_more() -> str:
     return "SELECT p_partkey image_id, greatest(2, 1 + p_size % 4)::BIGINT n, CASE WHEN 1 + p_size % 4 >= 2 THEN 'x' ELSE 'Zink' END nutrient FROM part"
 

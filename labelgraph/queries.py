@@ -303,7 +303,7 @@ def _edge_sums(e: DataFrame) -> DataFrame:
 
 @query(O.edges(2, "SELECT type, count(*) n_edges, count(DISTINCT image_id) n_images, sum(round(weight * 10000)::BIGINT)::BIGINT weight FROM edg GROUP BY type"))
 def graph_summary(spark, d):
-    return G.summary(_graph(spark, d)[1])
+    return G.summary_of_nodes(G.nodes(E.enrich(C.classify(tokens(spark, d)))))
 
 
 @query(O.edges(2, "SELECT e.image_id, e.src id, count(*) n, min(o.tok_idx) first_id, round(max(e.weight), 4) weight FROM edg e JOIN nod o ON o.image_id = e.image_id AND o.tok_idx = e.dst AND o.label = 'UNIT' WHERE e.type = 'ROW_COMPAT' GROUP BY e.image_id, e.src"))
@@ -830,3 +830,22 @@ def enrich_oriented(spark, d):
 @query(O.oriented_angles())
 def enrich_oriented_angles(spark, d):
     return E.geometry(_oriented(spark, d)).select("image_id", "tok_idx", (F.round("angle_deg", 6) + 0.0).alias("angle_deg"))
+
+
+# Full tables of the correctors and sentences
+
+
+@query(O.first_level())
+def correct_first_level(spark, d):
+    return K.correct_texts(tokens(spark, d).withColumn("token", F.expr(O.MISREAD)))
+
+
+@query(O.rewrite("SELECT token, array_to_string(fired, '+') fired, count(*) n FROM rw GROUP BY 1, 2", O.MISREAD))
+def correct_misread(spark, d):
+    t = K.rewrite(tokens(spark, d).withColumn("token", F.expr(O.MISREAD)))
+    return t.groupBy("token", F.array_join("rules_fired", "+").alias("fired")).agg(F.count("*").alias("n"))
+
+
+@query(O.sentence_families())
+def extract_sentence_families(spark, d):
+    return X.sentence_tuples(_table(spark, d, "part").selectExpr("p_partkey AS image_id", f"{O.STATEMENTS} AS text"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from labelgraph.functions import rules as R
 from labelgraph.operators import associate as A
 from labelgraph.operators import classify as C
+from labelgraph.operators import correct as K
 from labelgraph.operators import enrich as E
 from labelgraph.operators import evaluate as V
+from labelgraph.operators import extract as X
 from labelgraph.operators import graph as G
 from labelgraph.operators import hybrid as H
 from labelgraph.operators import match as M
@@ -211,3 +213,23 @@ def test_corners_change_rows_and_columns(spark):
 def test_matching_keeps_what_comes_along(spark):
     pairs = spark.createDataFrame([(1, 0, 0, 2.0, "a"), (1, 0, 1, 3.0, "b"), (1, 1, 1, 2.5, "c"), (1, 1, 0, 1.0, "d")], "image_id long, g long, p long, score double, note string")
     assert sorted((r.g, r.p, r.note) for r in M.greedy(pairs).collect()) == [(0, 1, "b"), (1, 0, "d")]
+
+
+def test_sentences_of_five_kinds(spark):
+    texts = {
+        1: "Jede Tablette enthält 25 µg Colecalciferol, entsprechend 1000 I.E. Vitamin D",
+        2: "Die Tagesdosis bis zu 2,5 mcg deckt Vitamin B12",
+        3: "Vitamin D3 25 ug und VITAMIN D3 25 µg",
+        4: "entsprechend 5 mg",
+    }
+    got = {(r.image_id, r.nutrient, r.quantity, r.unit) for r in X.sentence_tuples(spark.createDataFrame(list(texts.items()), "image_id long, text string")).collect()}
+    assert got == {(1, "Colecalciferol", "25", "µg"), (1, "Colecalciferol", "1000", "IE"), (1, "Vitamin", "1000", "IE"), (2, "Vitamin B12", "2.5", "µg"), (3, "Vitamin D3", "25", "µg")}
+
+
+def test_corrector_tables(spark):
+    first = {"Hagnesium": "Magnesium", "25 m0": "25mg", "4O5": "405", "|Salz|}": "Salz", "40µ": "40µg", "'Zink'": "Zink", "KCAI": "kcal", "12m": "12mg", "Saiz|Sait": "Salz/Salt", "fettsauren": "Fettsäuren", "Milch": "Milch"}
+    df = spark.createDataFrame([(t,) for t in first], "token string")
+    assert {r.token: r.c for r in df.select("token", K.first_level(F.col("token")).alias("c")).collect()} == first
+    targeted = {"O406": "0406", "4O6": "406", "4l6": "416", "30 M9": "30mg", "Mcg": "µg", "Kj/kcal": "kJ/kcal", "Vltamln": "Vitamin", "Ph0sphor": "Phosphor", "Bailaststoffe": "Ballaststoffe"}
+    t = spark.createDataFrame([(1, i, x) for i, x in enumerate(targeted)], "image_id long, tok_idx long, token string")
+    assert {r.original: r.token for r in K.rewrite(t).collect()} == targeted
