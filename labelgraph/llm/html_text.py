@@ -10,7 +10,8 @@ and column spans. Hidden are: elements that are never displayed, the ``hidden``
 attribute, closed dialogs, inline ``display: none`` or ``visibility: hidden``, and
 simple rules of the page's own style sheets (tag, .class, #id) that say so.
 
-Nothing is cut: cells wider than ``WIDE`` are emitted whole, only not padded for.
+Nothing is cut. Columns are as wide as their widest cell; only where the padding of one table would come to
+over ``PAD`` characters, which takes a page of that kind of size, its widest columns are left unpadded.
 Elements nested deeper than ``DEPTH``, as deep as usual browsers go, become siblings
 of the deepest one; their text stays.
 
@@ -33,7 +34,7 @@ from pyspark.sql.types import StructType
 
 from .store import bounded_batches
 
-WIDE, DEPTH = 40, 512
+PAD, DEPTH = 1 << 24, 512
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
@@ -386,7 +387,13 @@ class _Renderer:
         for cells in grid:
             for c, (span, lines) in cells.items():
                 if lines and span == 1:
-                    width[c] = max(width[c], min(WIDE, max(map(len, lines))))
+                    width[c] = max(width[c], max(map(len, lines)))
+        padded = len(grid) * sum(width.values())
+        for c in sorted(width, key=lambda c: -width[c]):
+            if padded <= PAD:
+                break
+            padded -= len(grid) * width[c]
+            width[c] = 0
         for cells in grid:
             filled = {c: x for c, x in cells.items() if x[1]}
             if not filled:

@@ -114,6 +114,25 @@ def test_search_empty_tables(spark):
     assert search(docs, items).collect() == search(full, items).collect() == search(docs, full.withColumnRenamed("doc_id", "item_id")).collect() == []
 
 
+# Tables of pages
+
+
+def test_wide_cells_are_aligned():
+    from labelgraph.llm import html_text
+
+    wide = "x" * 90
+    page = f"<table><tr><td>{wide}<td>1<tr><td>a<td>22<tr><td>bb<td>3</table>"
+    assert html_text.page_text(page).split("\n") == [f"{wide} | 1", f"{'a':90} | 22", f"{'bb':90} | 3"]
+
+
+def test_padding_is_bounded(monkeypatch):
+    from labelgraph.llm import html_text
+
+    monkeypatch.setattr(html_text, "PAD", 100)
+    page = "<table>" + f"<tr><td>{'x' * 60}<td>a<td>1" + "<tr><td>y<td>bbb<td>2" + "</table>"
+    assert html_text.page_text(page).split("\n") == [f"{'x' * 60} | a   | 1", "y | bbb | 2"]
+
+
 # Passages
 
 
