@@ -114,14 +114,15 @@ def common_shingles(docs: DataFrame, k: int = K, least: int = COMMON, most: int
 
 
 def signatures(docs: DataFrame, percent: int, k: int, bits: int, common) -> DataFrame:
-    """(doc_id, n, fp, grp, prefix): set size, set fingerprint, group of prefix and size."""
+    """(doc_id, n, fp, grp, prefix, sketch): set size, set fingerprint, group of prefix and size, set of shingles as bits."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = common.value
         for batch in parts(batches):
-            n, fp, grp, prefix = [], [], [], []
+            n, fp, grp, prefix, bitmaps = [], [], [], [], []
             for _, s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
+                bitmaps.append(sketch(s))
                 fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 p = prefix_size(len(s), percent) if len(s) else 0
                 if len(last) and len(s):
@@ -134,9 +135,35 @@ def signatures(docs: DataFrame, percent: int, k: int, bits: int, common) -> Data
                 grp.append(int.from_bytes(hashlib.blake2b(head.tobytes() + len(s).to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True))
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             at = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(grp, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc_id", "n", "fp", "grp", "prefix"])
+            held = np.cumsum([0, *map(len, bitmaps)], dtype=np.int32)
+            bits_of = pa.ListArray.from_arrays(pa.array(held), pa.array(np.concatenate(bitmaps) if bitmaps else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(grp, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), bits_of], names=["doc_id", "n", "fp", "grp", "prefix", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, fp binary, grp long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, fp binary, grp long, prefix array<long>, sketch array<long>")
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each shingle's hash in a string of 8 to 16 bits a shingle, a power of two of 64-bit words."""
+    words = 1 << max(0, int(np.ceil(np.log2(max(1, len(shingles)) / 8))))
+    bits = np.zeros(64 * words, bool)
+    bits[(shingles & np.uint64(64 * words - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
+def sketched(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sketches leave them similar enough.
+
+    A bit that only one sketch has stands for at least one shingle that only that set has, so that
+    what the bits leave in common is never less than what the sets have in common.
+    """
+    own = signed.where("doc_id is not null").select(F.col("doc_id").alias("id"), "n", "sketch")
+    both = pairs.join(own.toDF("a", "na", "x"), "a").join(own.toDF("b", "nb", "y"), "b")
+    # The longer of two bit strings is folded to the length of the other.
+    half = lambda v: F.zip_with(F.slice(v, F.lit(1), (F.size(v) / 2).cast("int")), F.slice(v, (F.size(v) / 2).cast("int") + 1, (F.size(v) / 2).cast("int")), lambda p, q: p.bitwiseOR(q))
+    both = both.select("a", "b", "na", "nb", F.when(F.size("x") == 2 * F.size("y"), half("x")).otherwise(F.col("x")).alias("x"), F.when(F.size("y") == 2 * F.size("x"), half("y")).otherwise(F.col("y")).alias("y"))
+    alone = lambda v, w: F.aggregate(F.zip_with(v, w, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
+    both = both.withColumn("most", F.least(F.col("na") - alone("x", "y"), F.col("nb") - alone("y", "x")))
+    return both.where(f"size(x) <> size(y) or {100 + percent} * most >= {percent} * (na + nb)").select("a", "b")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -182,8 +209,8 @@ def _star(at: DataFrame, of: DataFrame, states: DataFrame, percent: int) -> Data
     return both.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
-def _rest(at: DataFrame, of: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of members of two components that the group pairs' filters leave."""
+def _rest(at: DataFrame, of: DataFrame, prefixes: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of members of two components that the filters of group pairs, then of whole sets leave."""
     # Of two sets the smaller one needs only the prefix for partners of its size or more.
     x = at.where(f"pos <= n - ceil({2 * percent} * n / {100 + percent})").withColumn("top", F.floor(100 * F.col("n") / percent))
     x = x.select("token", F.explode(F.sequence("band", _band("top", percent))).alias("band"), F.col("gid").alias("ga"), F.col("n").alias("na"), F.col("lo").alias("la"), F.col("hi").alias("ha"), (F.col("n") - F.col("pos")).alias("ra"))
@@ -200,7 +227,7 @@ def _rest(at: DataFrame, of: DataFrame, prefixes: DataFrame, percent: int) -> Da
     a = of.select(F.col("gid").alias("ga"), F.col("id").alias("a"), F.col("comp").alias("ca"))
     b = of.select(F.col("gid").alias("gb"), F.col("id").alias("b"), F.col("comp").alias("cb"))
     found = written(pairs.unionByName(own), "grouppairs").join(a, "ga").join(b, "gb").where("ca <> cb and (ga <> gb or a < b)")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return sketched(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), signed, percent)
 
 
 def ngram_jaccard_join(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
@@ -237,7 +264,7 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 80, k: int = K) -> DataFr
             mixed = at.groupBy("token").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("token")
             at = at.join(mixed, "token", "left_semi")
         at = at.withColumn("band", _band("n", percent))
-        pairs = _star(at, of, states, percent) if r < ROUNDS else _rest(at, of, prefixes, percent)
+        pairs = _star(at, of, states, percent) if r < ROUNDS else _rest(at, of, prefixes, signed.select("doc_id", "n", "sketch"), percent)
         new = verified(docs, written(pairs, "pairs"), percent, k)
         links = written(new if links is None else links.unionByName(new).distinct(), "links")
         comp = written(components(links), "component")

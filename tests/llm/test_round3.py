@@ -133,6 +133,55 @@ def test_padding_is_bounded(monkeypatch):
     assert html_text.page_text(page).split("\n") == [f"{'x' * 60} | a   | 1", "y | bbb | 2"]
 
 
+# Jaccard join
+
+
+def _family(rng, n, words, edits):
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for d in range(n):
+        w = list(base)
+        for at in rng.sample(range(words), edits):
+            w[at] = f"x{d}y{at}"
+        out.append((d, " ".join(w)))
+    return out
+
+
+def test_template_family_below_the_limit_sends_few_pairs(spark, monkeypatch):
+    from labelgraph.llm import ngram_jaccard as J
+
+    sent = []
+    plain = J.verified
+
+    def counted(docs, pairs, percent, k):
+        sent.append(pairs.count())
+        return plain(docs, pairs, percent, k)
+
+    monkeypatch.setattr(J, "verified", counted)
+    rng = random.Random(8)
+    docs = _family(rng, 300, 200, 3) + [(1000 + d, t) for d, t in _family(random.Random(9), 20, 150, 1)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()}
+    assert got == brute.components(docs)
+    assert sum(sent) < 5000
+
+
+def test_sketches_never_hide_a_link(spark):
+    from labelgraph.llm import ngram_jaccard as J
+
+    rng = np.random.default_rng(3)
+    rows, sets = [], []
+    for i in range(60):
+        base = rng.integers(0, 1 << 63, int(rng.integers(20, 300)), np.uint64)
+        for _ in range(2):
+            s = np.unique(np.r_[base[rng.random(len(base)) > 0.05], rng.integers(0, 1 << 63, len(base) // 15, np.uint64)])
+            sets.append(set(s.tolist()))
+            rows.append((len(rows), len(s), J.sketch(s).tolist()))
+    pairs = [(2 * i, 2 * i + 1) for i in range(60)] + [(i, j) for i in range(100) for j in range(i + 2, 120) if 100 * min(len(sets[i]), len(sets[j])) >= 80 * max(len(sets[i]), len(sets[j]))]
+    kept = {tuple(r) for r in J.sketched(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(rows, "doc_id long, n long, sketch array<long>"), 80).collect()}
+    alike = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(alike) > 10 and alike <= kept and len(kept) < len(alike) + 20
+
+
 # Passages
 
 
