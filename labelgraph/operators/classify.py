@@ -101,21 +101,21 @@ def decide(scores: DataFrame, category: str, threshold: float = THRESHOLD, margi
 
 
 def row_contexts(tokens: DataFrame, tolerance: float = 15) -> DataFrame:
-    """(image_id, tok_idx, row): a token joins the current row while its cy is within ``tolerance`` of the row's running mean."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["cy", "tok_idx"])
-        row, mean, n, out = -1, 0.0, 0, []
-        for cy in rows["cy"]:
-            if row < 0 or abs(cy - mean) > tolerance:
-                row, mean, n = row + 1, cy, 1
-            else:
-                n += 1
-                mean += (cy - mean) / n
-            out.append(row)
-        return pd.DataFrame({"image_id": rows["image_id"], "tok_idx": rows["tok_idx"], "row": out})
-
-    return tokens.select("image_id", "tok_idx", "cy").groupBy("image_id").applyInPandas(walk, "image_id long, tok_idx long, row long")
+    """(image_id, tok_idx, row): a token joins the current row while its cy is within ``tolerance`` of the row's running mean.
+
+    The tokens of an image are one sorted array, folded in place.
+    """
+    images = tokens.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col("cy").cast("double").alias("cy"), "tok_idx"))).alias("_all"))
+    start = F.struct(F.lit(-1).cast("long").alias("row"), F.lit(0.0).alias("mean"), F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        new = (s["row"] < 0) | (F.abs(t["cy"] - s["mean"]) > tolerance)
+        row, n = F.when(new, s["row"] + 1).otherwise(s["row"]), F.when(new, F.lit(1)).otherwise(s["n"] + 1).cast("long")
+        mean = F.when(new, t["cy"]).otherwise(s["mean"] + (t["cy"] - s["mean"]) / (s["n"] + 1))
+        return F.struct(row.alias("row"), mean.alias("mean"), n.alias("n"), F.array_append(s["out"], row).alias("out"))
+
+    images = images.withColumn("_rows", F.aggregate("_all", start, step, lambda s: s["out"]))
+    return images.select("image_id", F.inline(F.zip_with("_all", "_rows", lambda t, r: F.struct(t["tok_idx"].alias("tok_idx"), r.alias("row")))))
 
 
 def context_strings(tokens: DataFrame, reach: int = 3) -> DataFrame:

@@ -136,32 +136,27 @@ def edit_snap(tokens: DataFrame, lexicon: DataFrame, most: int = 2, shortest: in
     return pairs.groupBy("word").agg(F.min(F.struct("distance", "term")).alias("m")).select("word", "m.term", "m.distance")
 
 
-_MERGE = "image_id long, tok_idx long, token string, x1 long, x2 long, y1 long, y2 long, n_merged long"
-
-
 def merge_compounds(tokens: DataFrame, prefixes: tuple[str, ...] = ("davon", "vitamin", "vitamin c"), followers: int = 4, dy: float = 20, gap: float = 80) -> DataFrame:
     """A prefix token takes up to ``followers`` next tokens of its line, near it, up to a number; taken ones go.
 
-    Takes depend on earlier ones, so each image is walked in order.
+    Takes depend on earlier ones, so the tokens of each image are one sorted array, folded in place.
     """
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        t = rows.sort_values("tok_idx").to_dict("records")
-        out, i = [], 0
-        while i < len(t):
-            a, n = dict(t[i]), 0
-            if a["token"].lower() in prefixes:
-                while n < followers and i + n + 1 < len(t):
-                    b = t[i + n + 1]
-                    if abs(b["cy"] - a["cy"]) > dy or b["x1"] - a["x2"] > gap or b["token"][:1].isdigit():
-                        break
-                    a |= {"token": f"{a['token']} {b['token']}", "x2": max(a["x2"], b["x2"]), "y1": min(a["y1"], b["y1"]), "y2": max(a["y2"], b["y2"])}
-                    n += 1
-            out.append((a["image_id"], a["tok_idx"], a["token"], a["x1"], a["x2"], a["y1"], a["y2"], n))
-            i += n + 1
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _MERGE.split(", ")])
-
-    return tokens.groupBy("image_id").applyInPandas(walk, _MERGE)
+    fields = {"tok_idx": "long", "token": "string", "x1": "long", "x2": "long", "y1": "long", "y2": "long", "cy": "double"}
+    images = tokens.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).cast(t).alias(c) for c, t in fields.items())))).alias("_all"))
+    kept = "struct<" + ",".join(f"{c}:{t}" for c, t in fields.items()).replace(":long", ":bigint") + ",n_merged:bigint>"
+
+    def step(s: Column, b: Column) -> Column:
+        a = F.get(s, F.size(s) - 1)
+        near = a["open"] & (a["t"]["n_merged"] < followers) & (F.abs(b["cy"] - a["t"]["cy"]) <= dy) & (b["x1"] - a["t"]["x2"] <= gap) & ~b["token"].rlike("^[0-9]")
+        t = a["t"]
+        grown = F.struct(t["tok_idx"].alias("tok_idx"), F.concat(t["token"], F.lit(" "), b["token"]).alias("token"), t["x1"].alias("x1"), F.greatest(t["x2"], b["x2"]).alias("x2"), F.least(t["y1"], b["y1"]).alias("y1"), F.greatest(t["y2"], b["y2"]).alias("y2"), t["cy"].alias("cy"), (t["n_merged"] + 1).alias("n_merged"))
+        fresh = F.struct(*(b[c].alias(c) for c in fields), F.lit(0).cast("long").alias("n_merged"))
+        item = lambda x, o: F.struct(x.alias("t"), o.alias("open"))
+        added = F.array_append(s, item(fresh, F.lower(b["token"]).isin(*prefixes)))
+        return F.when(F.coalesce(near, F.lit(False)), F.array_append(F.slice(s, F.lit(1), F.size(s) - 1), item(grown, F.lit(True)))).otherwise(added)
+
+    merged = F.aggregate("_all", F.array().cast(f"array<struct<t:{kept},open:boolean>>"), step)
+    return images.select("image_id", F.inline(F.transform(merged, lambda x: x["t"]))).select("image_id", "tok_idx", "token", "x1", "x2", "y1", "y2", "n_merged")
 
 
 def merge_across_lines(tokens: DataFrame, heads: tuple[str, ...] = ("davon", "energie"), back: int = 7, dy: float = 60, dx: float = 140) -> DataFrame:

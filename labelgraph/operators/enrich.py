@@ -5,7 +5,6 @@ All windows are partitioned by image, whose tokens are few; images are many.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,28 +178,26 @@ def local_thresholds(tokens: DataFrame, reach: int = 3, least: float = 8.0) -> D
 def lines(tokens: DataFrame) -> DataFrame:
     """(image_id, tok_idx, line_id): each token goes to the nearest open line within its threshold of the line's mean, else opens one.
 
-    The sweep runs by cy; lines are numbered by their mean.
+    The sweep runs by cy; lines are numbered by their mean. The tokens of an image are one sorted array,
+    folded in place.
     """
-    t = tokens.join(local_thresholds(tokens), ["image_id", "tok_idx"]).select("image_id", "tok_idx", "cy", "threshold")
-
-    def sweep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["cy", "tok_idx"])
-        means: list[list[float]] = []
-        own = []
-        for cy, limit in zip(rows["cy"], rows["threshold"], strict=True):
-            near = min(((abs(cy - m), i) for i, (m, _) in enumerate(means)), default=None)
-            if near is None or near[0] > limit:
-                means.append([cy, 1])
-                own.append(len(means) - 1)
-            else:
-                m = means[near[1]]
-                m[1] += 1
-                m[0] += (cy - m[0]) / m[1]
-                own.append(near[1])
-        order = {i: k for k, i in enumerate(sorted(range(len(means)), key=lambda i: (means[i][0], i)))}
-        return pd.DataFrame({"image_id": rows["image_id"], "tok_idx": rows["tok_idx"], "line_id": [order[i] for i in own]})
-
-    return t.groupBy("image_id").applyInPandas(sweep, "image_id long, tok_idx long, line_id long")
+    t = tokens.join(local_thresholds(tokens), ["image_id", "tok_idx"])
+    images = t.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col("cy").cast("double").alias("cy"), "tok_idx", "threshold"))).alias("_all"))
+    start = F.struct(F.array().cast("array<double>").alias("means"), F.array().cast("array<bigint>").alias("counts"), F.array().cast("array<int>").alias("own"))
+
+    def step(s: Column, x: Column) -> Column:
+        near = F.array_min(F.transform(s["means"], lambda m, i: F.struct(F.abs(x["cy"] - m).alias("d"), i.alias("i"))))
+        joins = F.coalesce(near["d"] <= x["threshold"], F.lit(False))
+        at = F.when(joins, near["i"]).otherwise(F.size(s["means"]))
+        means = F.when(joins, F.zip_with(s["means"], F.transform(s["counts"], lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda m, c: F.when(c["i"] == near["i"], m + (x["cy"] - m) / (c["c"] + 1)).otherwise(m))).otherwise(F.array_append(s["means"], x["cy"]))
+        counts = F.when(joins, F.transform(s["counts"], lambda c, i: F.when(i == near["i"], c + 1).otherwise(c))).otherwise(F.array_append(s["counts"], F.lit(1).cast("long")))
+        return F.struct(means.alias("means"), counts.alias("counts"), F.array_append(s["own"], at).alias("own"))
+
+    images = images.withColumn("_s", F.aggregate("_all", start, step))
+    order = F.transform(F.array_sort(F.transform("_s.means", lambda m, i: F.struct(m.alias("m"), i.alias("i")))), lambda x: x["i"])
+    images = images.withColumn("_order", order)
+    line = lambda own: (F.array_position(F.col("_order"), own) - 1).cast("long")
+    return images.select("image_id", F.inline(F.zip_with("_all", "_s.own", lambda t, o: F.struct(t["tok_idx"].alias("tok_idx"), line(o).alias("line_id")))))
 
 
 def serialize(tokens: DataFrame, line: str = "ln") -> DataFrame:

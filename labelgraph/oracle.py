@@ -652,6 +652,39 @@ def hybrid(sql: str, mode: str = "hybrid") -> str:
     return tok(sql, *_hybrid(mode))
 
 
+# Walks along an image's tokens, one place of all images a step
+
+
+def row_contexts() -> str:
+    return tok(
+        "SELECT image_id, tok_idx, rw AS row FROM walk",
+        "o AS (SELECT image_id, tok_idx, cy, row_number() OVER (PARTITION BY image_id ORDER BY cy, tok_idx) k FROM tok)",
+        """walk AS (SELECT image_id, k, tok_idx, 0::BIGINT rw, cy mean, 1::BIGINT n FROM o WHERE k = 1 UNION ALL
+ SELECT o.image_id, o.k, o.tok_idx, CASE WHEN abs(o.cy - w.mean) > 15 THEN w.rw + 1 ELSE w.rw END, CASE WHEN abs(o.cy - w.mean) > 15 THEN o.cy ELSE w.mean + (o.cy - w.mean) / (w.n + 1) END, CASE WHEN abs(o.cy - w.mean) > 15 THEN 1 ELSE w.n + 1 END FROM walk w JOIN o ON o.image_id = w.image_id AND o.k = w.k + 1)""",
+    )
+
+
+def lines() -> str:
+    return tok(
+        "SELECT o.image_id, o.tok_idx, list_position(ord, own[o.k]) - 1 line_id FROM o JOIN (SELECT image_id, own, list_transform(list_sort(list_transform(range(1, len(ms) + 1), lambda i: {'m': ms[i], 'i': i})), lambda z: z.i) ord FROM (SELECT image_id, arg_max(ms, k) ms, arg_max(own, k) own FROM walk GROUP BY image_id)) USING (image_id)",
+        "th AS (SELECT *, greatest(8.0, 0.5 * quantile_cont((y2 - y1)::DOUBLE, 0.5) OVER (PARTITION BY image_id ORDER BY cy, tok_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))::DOUBLE t FROM tok)",
+        "o AS (SELECT image_id, tok_idx, cy, t, row_number() OVER (PARTITION BY image_id ORDER BY cy, tok_idx) k FROM th)",
+        """walk AS (SELECT image_id, k, [cy] ms, [1::BIGINT] cs, [1::BIGINT] own FROM o WHERE k = 1 UNION ALL
+ SELECT image_id, k, CASE WHEN near.d <= t THEN list_transform(range(1, len(ms) + 1), lambda i: CASE WHEN i = near.i THEN ms[i] + (cy - ms[i]) / (cs[i] + 1) ELSE ms[i] END) ELSE list_append(ms, cy) END, CASE WHEN near.d <= t THEN list_transform(range(1, len(ms) + 1), lambda i: CASE WHEN i = near.i THEN cs[i] + 1 ELSE cs[i] END) ELSE list_append(cs, 1) END, list_append(own, CASE WHEN near.d <= t THEN near.i ELSE len(ms) + 1 END)
+ FROM (SELECT o.image_id, o.k, o.cy, o.t, w.ms, w.cs, w.own, list_sort(list_transform(range(1, len(w.ms) + 1), lambda i: {'d': abs(o.cy - w.ms[i]), 'i': i}))[1] near FROM walk w JOIN o ON o.image_id = w.image_id AND o.k = w.k + 1))""",
+    )
+
+
+def merge_compounds(prefixes: tuple[str, ...], gap: float) -> str:
+    return tok(
+        "SELECT image_id, hd tok_idx, string_agg(token, ' ' ORDER BY tok_idx) AS token, arg_min(x1, tok_idx) x1, max(x2) x2, min(y1) y1, max(y2) y2, count(*) - 1 n_merged FROM walk JOIN tok USING (image_id, tok_idx) GROUP BY 1, 2",
+        "o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY tok_idx) k FROM tok)",
+        f"""walk AS (SELECT image_id, k, tok_idx, tok_idx hd, cy hcy, x2 hx, 0 n, lower(token) IN {_in(prefixes)} op FROM o WHERE k = 1 UNION ALL
+ SELECT o.image_id, o.k, o.tok_idx, CASE WHEN f.nr THEN w.hd ELSE o.tok_idx END, CASE WHEN f.nr THEN w.hcy ELSE o.cy END, CASE WHEN f.nr THEN greatest(w.hx, o.x2) ELSE o.x2 END, CASE WHEN f.nr THEN w.n + 1 ELSE 0 END, CASE WHEN f.nr THEN true ELSE lower(o.token) IN {_in(prefixes)} END
+ FROM walk w JOIN o ON o.image_id = w.image_id AND o.k = w.k + 1, LATERAL (SELECT w.op AND w.n < 4 AND abs(o.cy - w.hcy) <= 20 AND o.x1 - w.hx <= {gap} AND NOT regexp_matches(o.token, '^[0-9]') nr) f)""",
+    )
+
+
 # Regions
 
 BLOCKS = "blk AS (SELECT *, max(x2) OVER (PARTITION BY image_id) AS width, max(y2) OVER (PARTITION BY image_id) AS height FROM tok), tb AS (SELECT *, floor(height * 0.4::DOUBLE)::BIGINT room FROM blk WHERE (x2 - x1) / greatest(y2 - y1, 1) > 2 AND (x2 - x1) / greatest(y2 - y1, 1) < 60 AND (x2 - x1) * (y2 - y1) > 200 AND (x2 - x1) * (y2 - y1) < width * height * 0.15::DOUBLE)"

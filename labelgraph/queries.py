@@ -107,7 +107,7 @@ def correct_edit_snap(spark, d):
     return K.edit_snap(tokens(spark, d), _rules(spark, [(n,) for n in R.NUTRIENTS], "term string"))
 
 
-@query()
+@query(O.merge_compounds(("vitamin c", "calcium", "zink"), 120))
 def correct_merge_compounds(spark, d):
     return K.merge_compounds(tokens(spark, d), prefixes=("vitamin c", "calcium", "zink"), gap=120)
 
@@ -170,7 +170,7 @@ def classify_prototype_decision(spark, d):
     return C.decide(C.category_scores(v, p), "c1", 0.2).select("vec_id", F.round("score", 5).alias("score"), F.round("other", 5).alias("other"), "hit")
 
 
-@query()
+@query(O.row_contexts())
 def classify_row_contexts(spark, d):
     return C.row_contexts(tokens(spark, d))
 
@@ -264,7 +264,7 @@ def enrich_local_thresholds(spark, d):
     return E.local_thresholds(tokens(spark, d))
 
 
-@query()
+@query(O.lines())
 def enrich_lines(spark, d):
     return E.lines(tokens(spark, d))
 

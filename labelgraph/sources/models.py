@@ -24,7 +24,10 @@ def model(name: str, factory: Callable[[], Any]) -> Any:
 
 
 def call(rows: DataFrame, name: str, factory: Callable[[], Any], apply: Callable[[Any, dict], Iterable[tuple]], schema: str, tries: int = 3) -> DataFrame:
-    """``apply(model, row)`` for every row; a row whose tries all fail gives nothing."""
+    """``apply(model, row)`` for every row, and ``error``: null, or why the row's last try failed.
+
+    A row whose tries all fail gives one row with its own values in the columns it shares with ``schema`` and nulls in the others.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,16 +35,18 @@ def call(rows: DataFrame, name: str, factory: Callable[[], Any], apply: Callable
         for batch in batches:
             out: list[tuple] = []
             for row in batch.to_dict("records"):
-                for left in range(tries - 1, -1, -1):
+                why = ""
+                for _ in range(tries):
                     try:
-                        out += apply(m, row)
+                        out += [(*r, None) for r in apply(m, row)]
                         break
-                    except Exception:
-                        if not left:
-                            break
-            yield pd.DataFrame(out, columns=names)
+                    except Exception as e:
+                        why = f"{type(e).__name__}: {e}"
+                else:
+                    out.append((*(row.get(c) for c in names), why))
+            yield pd.DataFrame(out, columns=[*names, "error"])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema + ", error string")
 
 
 def images(spark: Any, path: str) -> DataFrame:

@@ -19,6 +19,7 @@ from labelgraph.operators import names as N
 from labelgraph.operators import profile as P
 from labelgraph.operators import regions as W
 from labelgraph.plans import pipeline
+from labelgraph.sources import models
 from labelgraph.sources.adapters import tokens
 
 SF = "/root/testdata/sf0.001"
@@ -233,3 +234,20 @@ def test_corrector_tables(spark):
     targeted = {"O406": "0406", "4O6": "406", "4l6": "416", "30 M9": "30mg", "Mcg": "µg", "Kj/kcal": "kJ/kcal", "Vltamln": "Vitamin", "Ph0sphor": "Phosphor", "Bailaststoffe": "Ballaststoffe"}
     t = spark.createDataFrame([(1, i, x) for i, x in enumerate(targeted)], "image_id long, tok_idx long, token string")
     assert {r.original: r.token for r in K.rewrite(t).collect()} == targeted
+
+
+class Flaky:
+    def __init__(self):
+        self.calls = 0
+
+    def __call__(self, row):
+        self.calls += 1
+        if row["text"] == "bad" or (row["text"] == "slow" and self.calls % 2):
+            raise ValueError(row["text"])
+        return [(row["id"], row["text"].upper())]
+
+
+def test_failed_model_calls_are_reported(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "slow")], "id long, text string").coalesce(1)
+    got = models.call(rows, "flaky", Flaky, lambda m, r: m(r), "id long, reply string").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "A", None), (2, None, "ValueError: bad"), (3, "SLOW", None)]
