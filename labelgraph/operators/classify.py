@@ -42,10 +42,12 @@ def needs_embedding(labelled: DataFrame, mode: str = "hybrid") -> DataFrame:
     return labelled.where(left_open(mode))
 
 
-def classify(tokens: DataFrame, least_conf: float = 0.30) -> DataFrame:
+def classify(tokens: DataFrame, least_conf: float = 0.30, order: str = "context first") -> DataFrame:
     """Adds ``norm`` and ``label``: NOISE, UNIT, CONTEXT, QUANTITY, NUTRIENT or UNKNOWN; the first rule that holds decides.
 
     ``reference`` is NRV or SERVING for tokens that are NOISE as a percentage or serving size.
+    ``order``: with ``noise first``, the earlier classifier's, noise, percentages, serving sizes and
+    units are looked for before contexts, and single letters are noise.
     """
     # The context is a column of its own, so that its patterns run once a token.
     t = tokens.withColumn("norm", R.normal(F.col("token")))
@@ -54,6 +56,15 @@ def classify(tokens: DataFrame, least_conf: float = 0.30) -> DataFrame:
     short = (F.length(n) <= 1) & ~n.rlike("^[0-9]$")
     noise = short | F.exists(F.array(*map(F.lit, L.NOISE)), lambda s: F.contains(n, s))
     bare_unit = F.btrim(n, F.lit(".,*()[] "))
+    quantity = F.btrim(n, F.lit("*'\"()[]. ")).rlike(R.QUANTITY)
+    early = (
+        F.when((F.col("conf") < least_conf) | noise | n.rlike(R.NRV) | n.rlike(R.SERVING), "NOISE")
+        .when(bare_unit.isin(*L.UNITS), "UNIT")
+        .when(context.isNotNull(), "CONTEXT")
+        .when(quantity, "QUANTITY")
+        .when(is_nutrient(n), "NUTRIENT")
+        .otherwise("UNKNOWN")
+    )
     label = (
         F.when(F.col("conf") < least_conf, "NOISE")
         .when(n.isin(*R.SINGLE_UNITS), "UNIT")
@@ -62,13 +73,13 @@ def classify(tokens: DataFrame, least_conf: float = 0.30) -> DataFrame:
         .when(n.rlike(R.SERVING), "NOISE")
         .when(noise, "NOISE")
         .when(bare_unit.isin(*L.UNITS), "UNIT")
-        .when(F.btrim(n, F.lit("*'\"()[]. ")).rlike(R.QUANTITY), "QUANTITY")
+        .when(quantity, "QUANTITY")
         .when(is_nutrient(n), "NUTRIENT")
         .otherwise("UNKNOWN")
     )
     sure = (F.col("conf") >= least_conf) & ~n.isin(*R.SINGLE_UNITS)
     reference = F.when(sure & n.rlike(R.NRV), "NRV").when(sure & context.isNull() & n.rlike(R.SERVING), "SERVING")
-    t = t.withColumns({"label": label, "reference": reference})
+    t = t.withColumns({"label": early if order == "noise first" else label, "reference": reference})
     return t.withColumn("norm", F.when(F.col("label") == "CONTEXT", context).when(F.col("label") == "UNIT", bare_unit).otherwise(n)).drop("_context")
 
 

@@ -24,8 +24,18 @@ def gate(tokens: DataFrame, tuples: DataFrame, few: int = 8, long: int = 60, amo
 
 
 def contexts_of(text: str) -> list[str]:
+    """Contexts that a paragraph speaks of, in order: 100 g or ml, other amounts after per or a slash (a second one counts as a daily dose), a daily dose; 100 g if none."""
     low = text.lower()
-    return [name for pattern, name in (("100 ?g", "per_100g"), ("100 ?ml", "per_100ml"), ("tagesdosis|daily", "per_daily_dose"), ("portion|serving", "per_serving")) if re.search(pattern, low)]
+    found = ["per_100g"] if re.search(r"(per|pro|je)\s*(/per\s*)?100\s*(g|ml)", low) or "100 g" in low or "100g" in low else []
+    for amount, _ in re.findall(r"(?:per|pro|je|/)\s*([0-9]+[.,]?[0-9]*)\s*(g|ml)", low):
+        if amount != "100":
+            found += ["per_serving"] if "per_serving" not in found else []
+            if len(found) >= 2 and "per_daily_dose" not in found:
+                found.append("per_daily_dose")
+                break
+    if re.search(r"(tagesdosis|daily\s*dose|tagesration)", low) and "per_daily_dose" not in found:
+        found.append("per_daily_dose")
+    return found or ["per_100g"]
 
 
 def paragraphs(texts: DataFrame, reach: int = 80, most: int = 3) -> DataFrame:

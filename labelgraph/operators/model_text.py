@@ -90,6 +90,12 @@ def dedupe(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def dropped(rows: DataFrame) -> DataFrame:
+    """(image_id, n, n_dropped): rows, and how many of them ``dedupe`` takes away."""
+    keys = [F.coalesce(F.lower(c), F.lit("")) for c in ("nutrient", "quantity", "unit", "context")]
+    return rows.groupBy("image_id").agg(F.count("*").alias("n"), F.countDistinct(F.struct(*keys)).alias("_d")).select("image_id", "n", (F.col("n") - F.col("_d")).alias("n_dropped"))
+
+
 def postprocess(parsed: DataFrame) -> DataFrame:
     """Clean fields, then give an ambiguous or missing context the image's majority, then dedupe."""
     unit_in_name = F.regexp_extract(F.lower("nutrient"), r"\((g|mg|µg|kj|kcal)\)$", 1)

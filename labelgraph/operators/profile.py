@@ -90,6 +90,46 @@ def run_totals(labelled: DataFrame) -> DataFrame:
     return labelled.agg(F.countDistinct("image_id").alias("images"), F.count("*").alias("tokens"), *(F.count_if(F.col("label") == x).alias(f"n_{x.lower()}") for x in labels))
 
 
+def silent_images(images: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Images (image_id) without a token."""
+    return images.join(tokens.select("image_id"), "image_id", "left_anti")
+
+
+def zero_images(images: DataFrame) -> DataFrame:
+    """(image_id, gt, pred) of images with gold tuples of which none is fully matched."""
+    return images.where("gt > 0 and full4f_pct * match = 0").select("image_id", "gt", "pred")
+
+
+def node_counts(nodes: DataFrame) -> DataFrame:
+    """(kind, value, n): how many nodes have each label and each column role."""
+    rows = nodes.select(F.inline(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("value")) for kind, c in (("label", "label"), ("role", "column_role"))))))
+    return rows.where("value is not null").groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
+def image_diagnostics(labelled: DataFrame, edges: DataFrame, tuples: DataFrame, gold: DataFrame, least_conf: float = 0.30) -> DataFrame:
+    """One row an image of any of the tables: its tokens, labels, edges (mirrored ones counted once), tuples, gold tuples, and how many each step lost."""
+    label = lambda x: F.count_if(F.col("label") == x).alias(f"clf_{x.lower()}")
+    low = (F.col("conf") < least_conf).cast("int")
+    out = labelled.groupBy("image_id").agg(F.count("*").alias("ocr_total"), F.sum(low).alias("ocr_low_conf"), *map(label, ("NUTRIENT", "QUANTITY", "UNIT", "CONTEXT", "NOISE", "UNKNOWN")))
+    kind = lambda name, *types: (F.count_if(F.col("type").isin(*types)) / (1 if name == "ctx_scope" else 2)).cast("long").alias(f"graph_{name}")
+    e = edges.groupBy("image_id").agg(kind("same_row", "SAME_ROW", "ROW_COMPAT"), kind("same_col", "SAME_COL", "COL_COMPAT"), kind("adjacent", "ADJACENT", "DIRECTIONAL_ADJ"), kind("ctx_scope", "CONTEXT_SCOPE"))
+    t = tuples.groupBy("image_id").agg(F.count("*").alias("assoc_tuples"), *(F.count_if(F.col(c).isNull()).alias(f"assoc_no_{n}") for c, n in (("quantity", "qty"), ("unit", "unit"), ("context", "ctx"))))
+    g = gold.groupBy("image_id").agg(F.count("*").alias("gt_tuples"))
+    out = out.join(e, "image_id", "full_outer").join(t, "image_id", "full_outer").join(g, "image_id", "full_outer").na.fill(0)
+    none, gt = F.lit(0).cast("long"), F.col("gt_tuples")
+    return out.withColumns(
+        {
+            "ocr_passed": F.col("ocr_total") - F.col("ocr_low_conf"),
+            "clf_noise_pct": F.round(100 * F.col("clf_noise") / F.greatest("ocr_total", F.lit(1)), 1),
+            "graph_total_edges": sum((F.col(f"graph_{k}") for k in ("same_col", "adjacent", "ctx_scope")), F.col("graph_same_row")),
+            "lost_at_ocr": F.greatest(none, gt - F.col("clf_nutrient")),
+            "lost_at_clf": F.col("clf_unknown"),
+            "lost_at_graph": F.when(F.col("clf_context") > 0, F.greatest(none, gt - F.col("graph_ctx_scope"))).otherwise(none),
+            "lost_at_assoc": F.col("assoc_no_qty"),
+        }
+    )
+
+
 def image_scores(images: DataFrame) -> DataFrame:
     """(image_id, precision, recall, f1) of the per-image counts."""
     return images.select("image_id", *prf(F.col("match"), F.col("pred"), F.col("gt")))

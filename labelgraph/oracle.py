@@ -163,6 +163,29 @@ def lab(sql: str) -> str:
     return tok(sql, *_lab())
 
 
+def early_labels() -> str:
+    """The order of the earlier classifier, from the parts of the later one's."""
+    parts = _lab()
+    case = parts[2][parts[2].index("CASE WHEN conf") : parts[2].index(" AS label, CASE")]
+    grab = lambda name: case.split(f" THEN '{name}'")
+    quantity = grab("QUANTITY")[0].rsplit("WHEN ", 1)[1]
+    nutrient = grab("NUTRIENT")[0].split("THEN 'QUANTITY' WHEN ", 1)[1]
+    noise = " OR ".join(f"contains(nn, {q(s)})" for s in L.NOISE)
+    early = f"CASE WHEN conf < 0.30 OR (length(nn) <= 1 AND NOT regexp_matches(nn, '^[0-9]$')) OR {noise} OR regexp_matches(nn, {q(R.NRV)}) OR regexp_matches(nn, {q(R.SERVING)}) THEN 'NOISE' WHEN un IN {_in(L.UNITS)} THEN 'UNIT' WHEN ctx IS NOT NULL THEN 'CONTEXT' WHEN {quantity} THEN 'QUANTITY' WHEN {nutrient} THEN 'NUTRIENT' ELSE 'UNKNOWN' END"
+    return tok("SELECT image_id, tok_idx, label FROM l3", *parts[:2], f"l3 AS (SELECT image_id, tok_idx, {early} AS label FROM l1)")
+
+
+def image_diagnostics() -> str:
+    return tuples().rsplit("\nSELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY nutrient, rank, q) AS ord", 1)[0] + """,
+tp AS (SELECT image_id, count(*) assoc_tuples, count(*) FILTER (quantity IS NULL) assoc_no_qty, count(*) FILTER (unit IS NULL) assoc_no_unit, count(*) FILTER (context IS NULL) assoc_no_ctx FROM tp3 WHERE k = 1 GROUP BY 1),
+lb AS (SELECT image_id, count(*) ocr_total, count(*) FILTER (conf < 0.30) ocr_low_conf, count(*) FILTER (label = 'NUTRIENT') clf_nutrient, count(*) FILTER (label = 'QUANTITY') clf_quantity, count(*) FILTER (label = 'UNIT') clf_unit, count(*) FILTER (label = 'CONTEXT') clf_context, count(*) FILTER (label = 'NOISE') clf_noise, count(*) FILTER (label = 'UNKNOWN') clf_unknown FROM lab GROUP BY 1),
+eg AS (SELECT image_id, count(*) FILTER (type = 'ROW_COMPAT') // 2 graph_same_row, count(*) FILTER (type = 'COL_COMPAT') // 2 graph_same_col, count(*) FILTER (type = 'DIRECTIONAL_ADJ') // 2 graph_adjacent, count(*) FILTER (type = 'CONTEXT_SCOPE') graph_ctx_scope FROM edg GROUP BY 1),
+gd AS (SELECT image_id, count(*) gt_tuples FROM tok WHERE wn = 0 AND ln % 2 = 0 GROUP BY 1),
+jn AS (SELECT image_id, COLUMNS(* EXCLUDE (image_id)) FROM lb LEFT JOIN eg USING (image_id) LEFT JOIN tp USING (image_id) LEFT JOIN gd USING (image_id)),
+al AS (SELECT image_id, coalesce(COLUMNS(* EXCLUDE (image_id)), 0) FROM jn)
+SELECT *, ocr_total - ocr_low_conf ocr_passed, round(100 * clf_noise / greatest(ocr_total, 1), 1) clf_noise_pct, graph_same_row + graph_same_col + graph_adjacent + graph_ctx_scope graph_total_edges, greatest(0, gt_tuples - clf_nutrient) lost_at_ocr, clf_unknown lost_at_clf, CASE WHEN clf_context > 0 THEN greatest(0, gt_tuples - graph_ctx_scope) ELSE 0 END lost_at_graph, assoc_no_qty lost_at_assoc FROM al"""
+
+
 def prototypes(sql: str) -> str:
     return f"""WITH f AS (SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) k FROM (SELECT DISTINCT vec_id, label FROM embeddings)) WHERE k <= 3),
 p AS (SELECT 'c' || label category, embedding::DOUBLE[] v FROM embeddings WHERE vec_id IN (SELECT vec_id FROM f)),

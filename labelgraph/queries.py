@@ -849,3 +849,40 @@ def correct_misread(spark, d):
 @query(O.sentence_families())
 def extract_sentence_families(spark, d):
     return X.sentence_tuples(_table(spark, d, "part").selectExpr("p_partkey AS image_id", f"{O.STATEMENTS} AS text"))
+
+
+# Earlier classifier and reports by image
+
+
+@query(O.early_labels())
+def classify_noise_first(spark, d):
+    return C.classify(tokens(spark, d), order="noise first").select("image_id", "tok_idx", "label")
+
+
+@query(O.image_diagnostics())
+def profile_image_diagnostics(spark, d):
+    n, e = _graph(spark, d)
+    gold = tokens(spark, d).where("wn = 0 and ln % 2 = 0").select("image_id")
+    return P.image_diagnostics(_lab(spark, d), e, pipeline.tuples(tokens(spark, d)), gold)
+
+
+@query(O.edges(2, "SELECT 'label' kind, label AS value, count(*) n FROM nod GROUP BY ALL UNION ALL SELECT 'role', role, count(*) FROM nod GROUP BY ALL"))
+def graph_node_counts(spark, d):
+    return P.node_counts(_graph(spark, d)[0])
+
+
+@query(O.tok("SELECT doc_id * 100000 image_id FROM documents WHERE doc_id * 100000 NOT IN (SELECT image_id FROM tok WHERE conf >= 0.5 AND wn = 5)"))
+def profile_silent_images(spark, d):
+    images = _table(spark, d, "documents").select((F.col("doc_id") * 100000).alias("image_id"))
+    return P.silent_images(images, tokens(spark, d).where("conf >= 0.5 and wn = 5"))
+
+
+@query(O.evaluation(f"SELECT image_id, gt, pred FROM ({O.PER_IMAGE}) WHERE gt > 0 AND full4f_pct * match = 0"))
+def profile_zero_images(spark, d):
+    return P.zero_images(V.per_image(*_matched(spark, d)))
+
+
+@query(O.replies("SELECT image_id, count(*) n, count(*) - count(DISTINCT {'a': lower(nutrient), 'b': idx}) AS n_dropped FROM it WHERE mode <> 'fail' GROUP BY image_id"))
+def model_dropped(spark, d):
+    """Items that repeat another one of the reply whatever the case."""
+    return T.dropped(T.parse(_replies(spark, d)).where("parse_mode <> 'fail'").withColumn("context", F.col("idx").cast("string")))
