@@ -161,7 +161,7 @@ def _sliding(x: np.ndarray, size: int, op: Callable, beyond: np.uint64) -> np.nd
     return out
 
 
-def _bits(n: float, room: int) -> int:
+def bucket_bits(n: float, room: int) -> int:
     return max(6, int(np.ceil(np.log2(max(1.0, n / room)))))
 
 
@@ -170,7 +170,7 @@ def shared(blocks: DataFrame, values: Callable[[dict], np.ndarray], n: float, ho
 
     ``n`` is about how many values there are. Buckets compare 32 bits beyond their number.
     """
-    bits = _bits(n, VALUES)
+    bits = bucket_bits(n, VALUES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -193,7 +193,7 @@ def shared(blocks: DataFrame, values: Callable[[dict], np.ndarray], n: float, ho
     return told.groupBy("block").agg(F.collect_list(F.struct("bucket", "codes")).alias("found"))
 
 
-def _told(values: np.ndarray, asked: np.ndarray, found: list | None) -> np.ndarray:
+def told(values: np.ndarray, asked: np.ndarray, found: list | None) -> np.ndarray:
     """The codes of ``values``, some of the values ``asked`` about."""
     u = np.unique(mix(asked))
     codes = np.frombuffer(b"".join(f["codes"] for f in sorted(found or (), key=lambda f: f["bucket"])), np.uint8)
@@ -210,7 +210,7 @@ def _after_anchors(row: dict) -> tuple[Texts, np.ndarray, np.ndarray]:
     t = Texts(row)
     least, places = t.anchors()
     window = np.flatnonzero(t.begins(WINDOW))
-    code = _told(least[window], t.hashes(GRAM)[places], row["found"])
+    code = told(least[window], t.hashes(GRAM)[places], row["found"])
     return t, window[code > 0], code[code > 0] == 2
 
 
@@ -224,7 +224,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
         t, window, hot = _after_anchors(row)
         value = t.hashes(WINDOW)[window]
-        keep = _told(value, value, row["again"]) > 0
+        keep = told(value, value, row["again"]) > 0
         mask, very = np.zeros(len(t.h), bool), np.zeros(len(t.h), bool)
         mask[window[keep]], very[window[keep]] = True, hot[keep]
         docs = np.unique(np.searchsorted(t.first, window[keep], "right") - 1)
@@ -369,7 +369,7 @@ def remove_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     blocks = blocks.join(found, "block", "left")
     again = written(shared(blocks, _asked_windows, n), "windows").withColumnRenamed("found", "again")
     left = written(blocks.join(again, "block", "left").mapInArrow(_candidates, _ddl(_LEFT)), "word-candidates")
-    bits = _bits(left.agg(F.sum("n")).first()[0] or 0, SHARD)
+    bits = bucket_bits(left.agg(F.sum("n")).first()[0] or 0, SHARD)
     cuts = written(cut_texts(left, written(later_windows(left, bits), "later-windows"), bits), "word-cuts").dropDuplicates(["doc_id", "sub"])
 
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))

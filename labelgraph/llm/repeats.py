@@ -10,15 +10,17 @@ smaller doc_id, or earlier in the same document). Matches stay inside documents.
    whose next V places hold no sample of a class shared with another one has
    no equal elsewhere and needs no sorting.
 3. Blockwise: the suffixes left are dealt to buckets by a fingerprint of their
-   first LENGTH bytes, and one bucket at a time is sorted by (fingerprint,
-   document, place). Ties longer than LENGTH need no further bytes. All but the
-   first of equal ones are repeats; their bytes are removed.
+   first LENGTH bytes, and one bucket at a time is sorted by (fingerprint, document).
+   Ties longer than LENGTH need no further bytes. All but the first of equal ones
+   are repeats; their bytes are removed.
 
 Only equality of LENGTH-byte prefixes matters here, so classes and buckets are
-ordered by 64-bit fingerprints instead of the bytes themselves. Memory is
-bounded by a block of text (``BLOCK`` bytes or one longer text) and by a bucket
-(about ``BUCKET`` suffixes, their number growing with the input). Buckets get
-only fingerprints; what they find returns as one bit a suffix, in order.
+ordered by fingerprints instead of the bytes themselves: 96 bits of two polynomials decide
+equality in the buckets (at 1e13 suffixes, the 100 TB case, some 6e-4 false matches are expected in all).
+A block of texts names each distinct string once, by its first place there, so a string
+of very many texts costs a bucket one entry a block. Memory is bounded by a block of text
+(``BLOCK`` bytes or one longer text) and by a bucket (about ``BUCKET`` entries,
+their number growing with the input). What buckets find returns as one bit an entry, in order.
 
 Edge cases: null text is empty; texts shorter than LENGTH lose nothing; a text
 wholly removed has kept_sha256 of the empty string; rows that repeat a doc_id
@@ -39,6 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .passages import bucket_bits, shared, told
 from .store import released, written
 from .words import _BYTE, mix, powers, text_buffers
 
@@ -48,9 +51,10 @@ V, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 BLOCK, BUCKET = 2 << 20, 1_000_000
 IDS_SENT = 1_000_000
 _IN_COVER = np.isin(np.arange(V), COVER)
+_OTHER = mix(_BYTE + np.uint64(0x2545F4914F6CDD1D))
 
 
-def fingerprints(raw: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+def fingerprints(raw: np.ndarray, at: np.ndarray, size: int, letters: np.ndarray = _BYTE) -> np.ndarray:
     """64-bit fingerprints of raw[p : p + size] for p in ``at``, in pieces of bounded size."""
     out = np.empty(len(at), np.uint64)
     step = 1 << 19
@@ -60,7 +64,7 @@ def fingerprints(raw: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
             part = raw[lo : lo + step + size]
             p, inv = powers(len(part) + 1)
             total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_BYTE[part] * p[: len(part)], out=total[1:])
+            np.cumsum(letters[part] * p[: len(part)], out=total[1:])
             x = at[a:b] - lo
             out[a:b] = (total[x + size] - total[x]) * inv[x]
     return mix(out)
@@ -78,27 +82,6 @@ def _samples(off: np.ndarray, raw: np.ndarray, length: int) -> np.ndarray:
     return at[_IN_COVER[(at - start) % V] & (at + length - V + 1 <= end)]
 
 
-def _dealt(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stable order by bucket, and the buckets' bounds in it."""
-    bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
-    return order, np.r_[0, np.cumsum(np.bincount(bucket, minlength=1 << bits))]
-
-
-def _returned(h: np.ndarray, bits: int, found: list[dict]) -> np.ndarray:
-    """The buckets' bits, back in the order of ``h``."""
-    order, cut = _dealt(h, bits)
-    flags = np.zeros(len(h), bool)
-    for f in found or ():
-        a, b = cut[f["bucket"]], cut[f["bucket"] + 1]
-        flags[order[a:b]] = np.unpackbits(np.frombuffer(f["bits"], np.uint8), count=b - a).astype(bool)
-    return flags
-
-
-def _bits(n: float) -> int:
-    return max(6, int(np.ceil(np.log2(max(1.0, n / BUCKET)))))
-
-
 _BLOCKS = "block long, doc_ids binary, lengths binary, data binary, size long"
 
 
@@ -135,39 +118,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([_block(block, ids, lengths, b"".join(parts))], schema)
 
 
-def _back(found: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Blocks with what the buckets found in them."""
-    by = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))
-    return blocks.join(by, "block", "left")
-
-
-def shared_samples(blocks: DataFrame, bits: int, length: int) -> DataFrame:
-    """(block, bucket, bits): which samples' strings occur at another sample too."""
+def shared_samples(blocks: DataFrame, n: float, length: int) -> DataFrame:
+    """(block, found): which of a block's sample strings occur at another sample too."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            _, off, raw = _open(row)
-            h = fingerprints(raw, _samples(off, raw, length), length - V + 1)
-            order, cut = _dealt(h, bits)
-            low = (h >> np.uint64(32 - bits)).astype("<u4")[order]
-            own = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([row["block"]] * len(own), pa.int64()), pa.array([low[cut[b] : cut[b + 1]].tobytes() for b in own], pa.binary())], names=["bucket", "block", "low"])
-
-    def rank(rows: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, "<u4") for x in rows["low"].to_pylist()]
-        low = np.concatenate(parts)
-        order = np.argsort(low, kind="stable")
-        same = low[order][1:] == low[order][:-1]
-        shared = np.zeros(len(low), bool)
-        shared[order] = np.r_[False, same] | np.r_[same, False]
-        at = np.cumsum([0, *map(len, parts)])
-        return pa.table({"block": rows["block"], "bucket": rows["bucket"], "bits": pa.array([np.packbits(shared[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
+    def asked(row: dict) -> np.ndarray:
+        _, off, raw = _open(row)
+        return fingerprints(raw, _samples(off, raw, length), length - V + 1)
 
-    sent = blocks.mapInArrow(send, "bucket int, block long, low binary")
-    return sent.groupBy("bucket").applyInArrow(rank, "block long, bucket int, bits binary")
+    return shared(blocks, asked, n)
 
 
-def candidates(blocks: DataFrame, shared: DataFrame, bits: int, length: int) -> DataFrame:
+def candidates(blocks: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """Blocks of just the texts that hold suffixes to sort; mask: those suffixes' places, one bit a byte."""
     schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary()), ("size", pa.int64()), ("mask", pa.binary()), ("n", pa.int64())])
 
@@ -175,7 +136,8 @@ def candidates(blocks: DataFrame, shared: DataFrame, bits: int, length: int) ->
         for row in _rows(batches):
             ids, off, raw = _open(row)
             at = _samples(off, raw, length)
-            at = at[_returned(fingerprints(raw, at, length - V + 1), bits, row["found"])]
+            h = fingerprints(raw, at, length - V + 1)
+            at = at[told(h, h, row["found"]) > 0]
             start, end = _places(off)
             reach = np.zeros(len(raw) + 1, np.int32)
             np.add.at(reach, np.maximum(at - V + 1, start[at]), 1)
@@ -188,42 +150,68 @@ def candidates(blocks: DataFrame, shared: DataFrame, bits: int, length: int) ->
                 mask = want[pick]
                 yield pa.RecordBatch.from_pylist([out | {"mask": pa.compress(np.packbits(mask).tobytes(), "zstd", asbytes=True), "n": int(mask.sum())}], schema)
 
-    return _back(shared, blocks).mapInArrow(keep, _BLOCKS + ", mask binary, n long")
+    return blocks.join(found, "block", "left").mapInArrow(keep, _BLOCKS + ", mask binary, n long")
+
 
+class Suffixes:
+    """A block's suffixes to sort: places ``at``, and their distinct strings in order of fingerprint with the first place of each.
 
-def _wanted(row: dict, raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    packed = np.frombuffer(pa.decompress(row["mask"], (len(raw) + 7) // 8, "zstd", asbytes=True), np.uint8)
-    at = np.flatnonzero(np.unpackbits(packed, count=len(raw)))
-    return at, fingerprints(raw, at, length)
+    h, more: 96 bits of each string; first: its first suffix by document and place; string: each suffix's string.
+    """
+
+    def __init__(self, row: dict, length: int):
+        self.ids, self.off, self.raw = _open(row)
+        packed = np.frombuffer(pa.decompress(row["mask"], (len(self.raw) + 7) // 8, "zstd", asbytes=True), np.uint8)
+        self.at = np.flatnonzero(np.unpackbits(packed, count=len(self.raw)))
+        h = fingerprints(self.raw, self.at, length)
+        more = (fingerprints(self.raw, self.at, length, _OTHER) >> np.uint64(32)).astype("<u4")
+        self.doc = np.searchsorted(self.off, self.at, "right") - 1
+        rank = np.empty(len(self.ids), np.int64)
+        rank[np.argsort(self.ids, kind="stable")] = np.arange(len(self.ids))
+        order = np.lexsort((self.at, rank[self.doc], more, h))
+        new = np.ones(len(order), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (more[order][1:] != more[order][:-1])
+        self.first = order[new]
+        self.string = np.empty(len(order), np.int64)
+        self.string[order] = np.cumsum(new) - 1
+        self.h, self.more = h[self.first], more[self.first]
+
+    def dealt(self, bits: int) -> Iterator[tuple[int, slice]]:
+        """(bucket, its strings)."""
+        own, at = np.unique((self.h >> np.uint64(64 - bits)).astype(np.int64), return_index=True)
+        for b, i, j in zip(own, at, np.r_[at[1:], len(self.h)][: len(at)], strict=True):
+            yield int(b), slice(i, j)
 
 
 def later_suffixes(left: DataFrame, bits: int, length: int) -> DataFrame:
-    """(block, bucket, bits): which suffixes have an equal that starts earlier."""
+    """(block, found): for the strings that a block sent to a bucket, whether another block has it in an earlier document."""
+    columns = [("bucket", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("h", "more", "docs", "doc"))]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            ids, off, raw = _open(row)
-            at, h = _wanted(row, raw, length)
-            doc = np.searchsorted(off, at, "right") - 1
-            order, cut = _dealt(h, bits)
-            h, doc = h[order], doc[order]
-            own = np.flatnonzero(np.diff(cut))
-            docs, counts = zip(*(np.unique(doc[cut[b] : cut[b + 1]], return_counts=True) for b in own), strict=True) if len(own) else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([row["block"]] * len(own), pa.int64()), pa.array([h[cut[b] : cut[b + 1]].tobytes() for b in own], pa.binary()), pa.array([ids[d].tobytes() for d in docs], pa.binary()), pa.array([c.astype("<u4").tobytes() for c in counts], pa.binary())], names=["bucket", "block", "h", "docs", "counts"])
+            s, out = Suffixes(row, length), []
+            for bucket, part in s.dealt(bits):
+                docs, doc = np.unique(s.ids[s.doc[s.first[part]]], return_inverse=True)
+                out.append((bucket, row["block"], s.h[part].tobytes(), s.more[part].tobytes(), docs.tobytes(), doc.astype("<u2" if len(docs) < 1 << 16 else "<u4").tobytes()))
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(columns)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, columns, strict=True)], names=[n for n, _ in columns])
 
     def sort(rows: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, "<u8") for x in rows["h"].to_pylist()]
-        h = np.concatenate(parts)
-        doc = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4")) for d, c in zip(rows["docs"].to_pylist(), rows["counts"].to_pylist(), strict=True)])
-        by_doc = np.argsort(doc, kind="stable")  # a text is in one block, its places ascend there
-        order = by_doc[np.argsort(h[by_doc], kind="stable")]
-        later = np.zeros(len(h), bool)
-        later[order[1:]] = h[order][1:] == h[order][:-1]
+        h, more = np.concatenate(parts), np.concatenate([np.frombuffer(x, "<u4") for x in rows["more"].to_pylist()])
+        docs = [np.frombuffer(x, "<i8") for x in rows["docs"].to_pylist()]
+        doc = np.concatenate([d[np.frombuffer(x, "<u2" if len(d) < 1 << 16 else "<u4")] for d, x in zip(docs, rows["doc"].to_pylist(), strict=True)])
+        order = np.lexsort((doc, more, h))
+        new = np.ones(len(order), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (more[order][1:] != more[order][:-1])
+        earliest = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        later = np.empty(len(order), bool)
+        later[order] = doc[order] != earliest
         at = np.cumsum([0, *map(len, parts)])
         return pa.table({"block": rows["block"], "bucket": rows["bucket"], "bits": pa.array([np.packbits(later[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
 
-    sent = left.mapInArrow(send, "bucket int, block long, h binary, docs binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(sort, "block long, bucket int, bits binary")
+    found = left.mapInArrow(send, "bucket int, block long, h binary, more binary, docs binary, doc binary").groupBy("bucket").applyInArrow(sort, "block long, bucket int, bits binary")
+    return found.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))
 
 
 def cut_texts(left: DataFrame, later: DataFrame, bits: int, length: int) -> DataFrame:
@@ -231,9 +219,14 @@ def cut_texts(left: DataFrame, later: DataFrame, bits: int, length: int) -> Data
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            ids, off, raw = _open(row)
-            at, h = _wanted(row, raw, length)
-            at = at[_returned(h, bits, row["found"])]
+            s, back = Suffixes(row, length), {f["bucket"]: f["bits"] for f in row["found"] or ()}
+            ids, off, raw = s.ids, s.off, s.raw
+            after = np.zeros(len(s.h), bool)
+            for bucket, part in s.dealt(bits):
+                after[part] = np.unpackbits(np.frombuffer(back[bucket], np.uint8), count=part.stop - part.start).astype(bool)
+            later = np.ones(len(s.at), bool)
+            later[s.first] = False
+            at = s.at[later | after[s.string]]
             step = np.zeros(len(raw) + 1, np.int32)
             step[at] += 1
             step[at + length] -= 1
@@ -248,7 +241,7 @@ def cut_texts(left: DataFrame, later: DataFrame, bits: int, length: int) -> Data
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return _back(later, left).mapInArrow(cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return left.join(later, "block", "left").mapInArrow(cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -264,10 +257,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     blocks = written(chosen.mapInArrow(_blocks, _BLOCKS), "blocks")
     size = blocks.agg(F.sum("size")).first()[0] or 0
-    bits = _bits(size * len(COVER) / V)
-    left = written(candidates(blocks, written(shared_samples(blocks, bits, length), "shared"), bits, length), "suffixes")
+    left = written(candidates(blocks, written(shared_samples(blocks, size * len(COVER) / V, length), "shared"), length), "suffixes")
     released(blocks)
-    bits = _bits(left.agg(F.sum("n")).first()[0] or 0)
+    bits = bucket_bits(left.agg(F.sum("n")).first()[0] or 0, BUCKET)
     found = written(cut_texts(left, written(later_suffixes(left, bits, length), "later"), bits, length), "cuts")
     released(left)
 
