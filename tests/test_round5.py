@@ -4,7 +4,17 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
+from labelgraph.operators import associate as A
+from labelgraph.operators import classify as C
+from labelgraph.operators import enrich as E
 from labelgraph.operators import evaluate as V
+from labelgraph.operators import graph as G
+from labelgraph.queries import QUERIES
+from labelgraph.sources.adapters import tokens
+
+SF = "/root/testdata/sf0.001"
 
 TUPLE = "image_id long, {} long, nutrient string, quantity string, unit string, context string"
 
@@ -41,3 +51,21 @@ def test_diff_and_verdicts_make_the_pairs_once(spark):
     assert _plan(late).count("Join Inner") == 1
     rows = {(r.g, r.p): (r.name_ok, r.qty_ok, r.unit_ok, r.method, r.nutrient_reason, r.unit_reason) for r in late.collect()}
     assert len(rows) == 9 and rows[3, 9] == (True, False, True, "fast+llm", "same", "u") and rows[2, 2][3:5] == ("fast", "exact/substring match") and rows[3, 1] == (False, False, False, "fast", "no match", "mismatch")
+
+
+@pytest.mark.parametrize("name", ["graph_edges_v1", "graph_node_counts", "associate_contexts", "associate_smallest_context", "associate_leftmost_quantities", "associate_column_fallback", "associate_match_scores"])
+def test_nodes_of_an_image_are_made_once_and_not_kept(spark, name):
+    plan = _plan(QUERIES[name](spark, SF))
+    assert "Join" not in plan and "InMemoryRelation" not in plan and plan.count("Relation [") == 1
+
+
+def test_neighbours_by_geometry_are_those_by_edges(spark):
+    # Names moved down by some lines have quantities in their column only.
+    t = C.classify(tokens(spark, SF).where("image_id % 13 = 0")).withColumns({"cy": A.F.expr("cy + CASE WHEN label = 'NUTRIENT' AND tok_idx % 4 = 0 THEN 3000 ELSE 0 END"), "cx": A.F.expr("CASE WHEN image_id % 2 = 0 AND tok_idx % 6 < 2 THEN 10 ELSE cx END")})
+    n = G.nodes(E.enrich(t)).cache()
+    e = G.edges(n).cache()
+    for f in (A.contexts, A.smallest_context, A.match_scores, A.quantities):
+        mine, theirs = f(n), f(n, e)
+        assert mine.count() and mine.exceptAll(theirs).count() == 0 and theirs.exceptAll(mine).count() == 0
+    mine, theirs = A.column_fallback(n), A.column_fallback(n, e, A.quantities(n, e))
+    assert mine.exceptAll(theirs).count() == 0 and theirs.exceptAll(mine).count() == 0
