@@ -75,3 +75,7 @@ def test_totals_of_compatible_pairs(spark):
     t = spark.createDataFrame([(1, 1, 0, 0, 10, 10, 5.0, 5.0), (1, 2, 100, 5, 110, 15, 105.0, 10.0), (1, 3, 0, 90, 10, 100, 5.0, 95.0), (2, 1, 0, 0, 1, 1, 0.5, 0.5)], "image_id long, tok_idx long, x1 long, y1 long, x2 long, y2 long, cx double, cy double")
     totals = E.compatible_totals(t)
     assert [tuple(r) for r in totals.collect()] == [(1, 1, 1, 8000, 10000)] and "Join" not in _plan(totals)
+
+
+def test_image_diagnostics_keep_no_edges(spark):
+    assert "InMemoryRelation" not in _plan(QUERIES["profile_image_diagnostics"](spark, SF))
