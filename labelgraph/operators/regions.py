@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
+
 SHARE, LEAST, WIDTH = 0.4, 4, 0.2
 
 
@@ -20,24 +22,45 @@ def densest_window(boxes: DataFrame, share: float = SHARE, least: int = LEAST, w
 
     A window begins at the top of a box and holds the boxes that lie within ``share`` of the image's
     height; of equal ones the highest counts, which must hold ``least`` boxes and span
-    more than ``width`` of the image. Boxes (image_id, x1, y1, x2, y2, width, height) are swept once by
-    height: those that end in time less those that began before; taller ones than
+    more than ``width`` of the image. Boxes (image_id, x1, y1, x2, y2, width, height) of an image meet in one
+    row and are counted by height: those that end in time less those that began before; taller ones than
     the window fit in none.
     """
-    b = boxes.withColumn("_room", F.floor(F.col("height") * share)).withColumn("_fits", F.col("y2") - F.col("y1") <= F.col("_room"))
-    event = lambda at, kind: F.struct(at.cast("long").alias("at"), F.lit(kind).alias("kind"))
-    # Ends (0) at a height count for windows (1) that close there.
-    ends = F.array_compact(F.array(F.when(F.col("_fits"), event(F.col("y2"), 0)), event(F.col("y1") + F.col("_room"), 1)))
-    events = b.select("image_id", "y1", "_room", F.explode(ends).alias("e"))
-    sweep = Window.partitionBy("image_id").orderBy("e.at", "e.kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ended = events.withColumn("_ended", F.sum((F.col("e.kind") == 0).cast("long")).over(sweep)).where("e.kind = 1").select("image_id", "y1", "_room", "_ended").distinct()
-    began = b.groupBy("image_id", "y1").agg(F.count_if("_fits").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("image_id").orderBy("y1").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    windows = ended.join(began.withColumn("_before", before), ["image_id", "y1"]).withColumn("n", F.col("_ended") - F.col("_before"))
-    best = windows.groupBy("image_id").agg(F.min(F.struct(F.negative("n").alias("k"), F.col("y1").alias("top"), "_room", "n")).alias("_b")).select("image_id", "_b.top", F.col("_b._room").alias("_reach"), "_b.n")
-    inside = b.where("_fits").join(best.where(F.col("n") >= least), "image_id").where((F.col("y1") >= F.col("top")) & (F.col("y2") <= F.col("top") + F.col("_reach")))
-    hull = inside.groupBy("image_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n"), F.first("width").alias("_w"))
-    return hull.where(F.col("x2") - F.col("x1") > F.col("_w") * width).drop("_w")
+    images = boxes.groupBy("image_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("boxes"), F.first("width").alias("width"), F.first("height").alias("height"))
+    return densest_of_images(images, share, least, width)
+
+
+def text_images(tokens: DataFrame) -> DataFrame:
+    """(image_id, width, height, boxes): the ``text_blocks`` of each image, whose size is that of its tokens."""
+    # What a box must have besides the share of the image's area, which is not known yet.
+    one = tokens.select("image_id", F.struct("x1", "y1", "x2", "y2").alias("box"), *(F.col(c).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    aspect = w / F.greatest(h, F.lit(1))
+    shaped = (aspect > 2) & (aspect < 60) & (w * h > 200)
+    images = one.groupBy("image_id").agg(F.max("x2").alias("width"), F.max("y2").alias("height"), F.collect_list(F.when(shaped, F.col("box"))).alias("_all"))
+    area = lambda b: (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
+    small = F.filter("_all", lambda b: area(b) < F.col("width") * F.col("height") * 0.15)
+    return images.select("image_id", "width", "height", small.alias("boxes"))
+
+
+def densest_of_images(images: DataFrame, share: float = SHARE, least: int = LEAST, width: float = WIDTH) -> DataFrame:
+    """``densest_window`` of images (image_id, width, height, boxes) whose boxes are an array."""
+    room = F.floor(F.col("height") * share).cast("long")
+    images = R.once(images.where(F.size("boxes") >= least), _room=room)
+    fit = F.filter("boxes", lambda b: b["y2"] - b["y1"] <= F.col("_room"))
+    images = R.once(images, boxes=fit, _tops=F.array_distinct(F.col("boxes")["y1"]))
+    # Places doubled, so that tops come after ends that equal them among ``_ended`` and before tops among ``_began``. A top is as far from
+    # the beginning as there are earlier tops and, here, boxes that end in time, there, boxes that began before.
+    twice = lambda c, more=0: F.transform(c, lambda y: y.cast("long") * 2 + more)
+    ended = F.concat(twice(F.col("boxes")["y2"], -2 * F.col("_room")), twice("_tops", 1))
+    began = F.concat(twice(F.col("boxes")["y1"], 1), twice("_tops"))
+    images = R.once(images, _ended=F.sort_array(ended), _began=F.sort_array(began))
+    at = lambda c, y: F.array_position(c, y.cast("long") * 2 + (1 if c == "_ended" else 0))
+    best = F.array_min(F.transform("_tops", lambda y: F.struct((at("_began", y) - at("_ended", y)).alias("k"), y.alias("top"))))
+    images = R.once(images, _b=best).where(F.col("_b.k") <= -least)
+    images = R.once(images, _in=F.filter("boxes", lambda b: (b["y1"] >= F.col("_b.top")) & (b["y2"] <= F.col("_b.top") + F.col("_room"))))
+    hull = images.select("image_id", *(f(F.col(f"_in.{c}")).alias(c) for c, f in (("x1", F.array_min), ("y1", F.array_min), ("x2", F.array_max), ("y2", F.array_max))), F.size("_in").cast("long").alias("n"), "width")
+    return hull.where(F.col("x2") - F.col("x1") > F.col("width") * width).drop("width")
 
 
 def file_name(number: Column, name: Column) -> Column:

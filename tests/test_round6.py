@@ -8,6 +8,7 @@ from labelgraph import oracle as O
 from labelgraph.operators import classify as C
 from labelgraph.operators import enrich as E
 from labelgraph.operators import graph as G
+from labelgraph.operators import regions as W
 from labelgraph.queries import QUERIES
 from labelgraph.sources.adapters import tokens
 
@@ -36,3 +37,19 @@ def test_images_as_rows_have_what_enrichment_adds(spark):
 def test_tokens_are_not_sorted_for_each_step(spark):
     for name in ("associate_reference_values", "associate_tuples", "associate_tuples_v1"):
         assert "RepartitionByExpression" not in _plan(QUERIES[name](spark, SF)) and _plan(QUERIES[name](spark, SF)).count("Window [") <= 2
+
+
+def test_densest_window_meets_by_image(spark):
+    plan = _plan(QUERIES["region_densest_window"](spark, SF))
+    assert "Join" not in plan and "Window [" not in plan and plan.count("Relation [") == 1
+    # Against all windows: equal tops, boxes taller than a window, ends on its border.
+    rows = [(i, 10 * (k % 3), y, 90 + 10 * (k % 3), y + h, 100, 100) for i in range(40) for k, (y, h) in enumerate(((i * 7 + k * k * (3 + i % 5)) % 90, (i * k) % 60) for k in range(9))]
+    want = {}
+    for i in range(40):
+        b = [r[1:5] for r in rows if r[0] == i]
+        n, top = max((sum(y <= c[1] and c[3] <= y + 40 for c in b), -y) for _, y, _, _ in b)
+        inside = [c for c in b if -top <= c[1] and c[3] <= -top + 40]
+        if n >= 4:
+            want[i] = (min(c[0] for c in inside), min(c[1] for c in inside), max(c[2] for c in inside), max(c[3] for c in inside), n)
+    df = spark.createDataFrame(rows, "image_id long, x1 long, y1 long, x2 long, y2 long, width long, height long")
+    assert 5 < len(want) < 40 and {r[0]: tuple(r)[1:] for r in W.densest_window(df).collect()} == want
