@@ -8,6 +8,7 @@ from labelgraph import oracle as O
 from labelgraph.operators import classify as C
 from labelgraph.operators import enrich as E
 from labelgraph.operators import graph as G
+from labelgraph.operators import profile as P
 from labelgraph.operators import regions as W
 from labelgraph.queries import QUERIES
 from labelgraph.sources.adapters import tokens
@@ -53,3 +54,18 @@ def test_densest_window_meets_by_image(spark):
             want[i] = (min(c[0] for c in inside), min(c[1] for c in inside), max(c[2] for c in inside), max(c[3] for c in inside), n)
     df = spark.createDataFrame(rows, "image_id long, x1 long, y1 long, x2 long, y2 long, width long, height long")
     assert 5 < len(want) < 40 and {r[0]: tuple(r)[1:] for r in W.densest_window(df).collect()} == want
+
+
+def test_rank_alignment_keeps_no_graph(spark):
+    plan = _plan(QUERIES["profile_rank_alignment"](spark, SF))
+    assert "InMemoryRelation" not in plan and plan.count("Join ") == 1 and plan.count("Relation [") == 2
+
+
+def test_rank_alignment_by_image_is_that_by_edges(spark):
+    # Tokens moved to other columns, so that ranks and rows differ.
+    t = tokens(spark, SF).where("image_id % 13 = 0").withColumns({"cx": F.expr("cx + (tok_idx * 7 + image_id) % 3 * 60"), "cy": F.expr("cy + CASE WHEN tok_idx % 7 = 0 THEN 30 ELSE 0 END")})
+    labelled = C.classify(t).cache()
+    gold = t.groupBy("image_id", F.col("ln").alias("g")).agg(F.max(F.when(F.col("wn") == 0, F.col("token"))).alias("nutrient"), F.max(F.when(F.col("wn") == 1, F.col("token"))).alias("quantity"))
+    n = G.nodes(E.enrich(labelled)).cache()
+    mine, theirs = P.rank_alignment_of_images(E.by_image(labelled), gold).first().asDict(), P.rank_alignment(n, G.edges(n), gold).first().asDict()
+    assert mine == theirs and mine["with_rank"] > 100
